@@ -55,7 +55,7 @@ def edge_events_max(filtered: DataFrame, host: str) -> DataFrame:
     return keyed.groupBy(*keys).agg(F.max("event_time").alias("last_event_time"))
 
 
-def edges_union(grouped: DataFrame) -> DataFrame:
+def edges_union(grouped: DataFrame, drop_null: bool = True) -> DataFrame:
     """Each grouped event gives entity->target and source->entity; distinct non-NULL edges.
 
     One pass with ``inline(array(struct, struct))`` replaces the two scans of a
@@ -74,7 +74,8 @@ def edges_union(grouped: DataFrame) -> DataFrame:
         edge(ent, F.col("source_entity_type"), F.col("target_table_full_name"), F.col("target_type")),
         edge(F.col("source_table_full_name"), F.col("source_type"), ent, F.col("source_entity_type")),
     )
-    return edge_not_null(grouped.select(F.inline(both))).distinct()
+    flat = grouped.select(F.inline(both))
+    return (edge_not_null(flat) if drop_null else flat).distinct()
 
 
 def edge_not_null(edges: DataFrame) -> DataFrame:
