@@ -19,6 +19,7 @@ WORKSPACE = "w1"
 OFFSET_DAYS = 30
 AS_OF = _dt.date(2024, 2, 10)
 UPSERT_SPLIT = _dt.date(2024, 1, 21)
+PURGE_DAYS = 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
