@@ -32,6 +32,7 @@ __all__ = [
     "entity_node_id",
     "window_start",
     "undirected_pair_key",
+    "http_date",
 ]
 
 
@@ -109,3 +110,12 @@ def undirected_pair_key(a, b, mode: str = "reference") -> list[Column]:
     if mode == "strict":
         return [F.least(a, b), F.greatest(a, b)]
     return [F.concat_ws("", F.array_sort(F.array(a, b)))]
+
+
+# Fixed value: how the served JSON writes dates (HTTP date, as Flask's encoder does).
+HTTP_DATE_FORMAT = "EEE, dd MMM yyyy HH:mm:ss 'GMT'"
+
+
+def http_date(c) -> Column:
+    """DATE -> ``Tue, 30 Jan 2024 00:00:00 GMT``."""
+    return F.date_format(as_col(c), HTTP_DATE_FORMAT)

@@ -118,3 +118,21 @@ def q_visible_types_only(c):
 
 
 __all__ = ["nodes_api", "links_api", "TR"]
+
+
+_HTTP = "strftime(last_event_date, '%a, %d %b %Y %H:%M:%S GMT')"
+
+
+@register("graph_export", W(f"""
+SELECT 'node' AS kind, to_json(struct_pack(id := id, name := name, type := type, entity_path := entity_path,
+       days_last_interaction := CAST(days_last_interaction AS BIGINT), last_event_date := {_HTTP},
+       total_connections := CAST(total_connections AS BIGINT), lineage_source_table := lineage_source_table)) AS record
+FROM api_nodes
+UNION ALL
+SELECT 'link', to_json(struct_pack(source := source, target := target, entity_path := entity_path,
+       source_type := source_type, target_type := target_type, last_event_date := {_HTTP},
+       lineage_source_table := lineage_source_table))
+FROM api_links""", "api_nodes", "api_links"))
+def q_graph_export(c):
+    from edgeloom.sources.sinks import graph_export
+    return graph_export(nodes_api(c), links_api(c))

@@ -55,13 +55,25 @@ def overwrite_via_staging(df: DataFrame, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
 
 
+def _record(df: DataFrame) -> F.Column:
+    from pyspark.sql import types as T
+
+    from edgeloom.functions.columns import http_date
+
+    fields = [http_date(f.name).alias(f.name) if isinstance(f.dataType, T.DateType) else F.col(f.name)
+              for f in df.schema.fields]
+    # NULLs are written as ``null`` (not dropped), like the served payload.
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def graph_export(nodes_api: DataFrame, links_api: DataFrame) -> DataFrame:
     """Nodes and links as JSON records, one row each: ``(kind, record)``.
 
-    Write it with ``.write.text`` (after ``select("record")``) or partition by kind.
+    Field names and order follow the served API; dates are HTTP dates. Write
+    it with :func:`write_graph_json` (one JSON-lines folder per kind).
     """
-    n = nodes_api.select(F.lit("node").alias("kind"), F.to_json(F.struct(*nodes_api.columns)).alias("record"))
-    lk = links_api.select(F.lit("link").alias("kind"), F.to_json(F.struct(*links_api.columns)).alias("record"))
+    n = nodes_api.select(F.lit("node").alias("kind"), _record(nodes_api).alias("record"))
+    lk = links_api.select(F.lit("link").alias("kind"), _record(links_api).alias("record"))
     return n.unionByName(lk)
 
 
