@@ -43,6 +43,7 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(cpus, 8),
                       extra={"spark.driver.memory": "16g"})
     registry.load_all()
+    registry.MATERIALIZE = os.environ.get("BENCH_MATERIALIZE", "1") == "1"
     qs = registry.queries()
     names = only or HEADLINE
     # warm up the JVM and the parquet reader on a tiny query

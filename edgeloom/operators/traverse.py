@@ -5,12 +5,13 @@ Every operator takes a ``seeds`` DataFrame (column ``seed``) so one run answers
 many start nodes; results are rows ``(seed, node, depth)``. The graph is never
 collected: each BFS level is a join of the frontier with the adjacency, a
 distinct, and an anti join against the nodes already reached; the driver only
-decides whether another level is needed (one emptiness check per level, on a
-staged level, so it reads a single file split).
+decides whether another level is needed, from a row count observed while the
+level is staged (no extra job). Upstream and downstream searches share one
+loop (keys carry the direction), so a search costs max(up, down) levels.
 
 Scale notes:
-* the adjacency is deduplicated, hash-partitioned by its probe key and staged
-  once, so later levels shuffle only the (small) frontier against it; when the
+* the adjacency is deduplicated and staged once as a table bucketed by its
+  probe key, so every level shuffles only the frontier against it; when the
   frontier is small AQE broadcasts it and the adjacency is streamed in place;
 * a hub whose links are a large share of the adjacency is one skewed probe key;
   AQE's skew-join split handles it (the frontier row is replicated per split);
@@ -22,23 +23,28 @@ Scale notes:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from edgeloom.session import stage
+from edgeloom.session import stage, stage_bucketed
 
 RESTAGE_EVERY = 8
 UP, DOWN = "up", "down"
 
 
-def adjacency(links: DataFrame, direction: str, src: str = "source", dst: str = "target") -> DataFrame:
-    """Distinct ``(_from, _to)`` pairs to follow; NULL endpoints are never followed."""
-    a, b = (src, dst) if direction == DOWN else (dst, src)
-    adj = (links.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
+def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst: str = "target") -> DataFrame:
+    """Distinct ``(_dir, _from, _to)`` steps to follow, staged and hash-partitioned
+    by the probe key ``(_dir, _from)``; NULL endpoints are never followed."""
+    if isinstance(directions, str):
+        directions = (directions,)
+    steps = []
+    for d in directions:
+        a, b = (src, dst) if d == DOWN else (dst, src)
+        steps.append(F.struct(F.lit(d).alias("_dir"), F.col(a).alias("_from"), F.col(b).alias("_to")))
+    adj = (links.select(F.inline(F.array(*steps)))
            .filter(F.col("_from").isNotNull() & F.col("_to").isNotNull())
            .distinct())
-    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stage(adj.repartition(n, "_from"))
+    return stage_bucketed(adj, ["_dir", "_from"])
 
 
 def _bound(max_depth) -> Column | None:
@@ -49,50 +55,83 @@ def _bound(max_depth) -> Column | None:
     return F.lit(int(max_depth))
 
 
-def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src: str = "source",
-        dst: str = "target", adj: DataFrame | None = None) -> DataFrame:
-    """Nodes reachable from each seed with their hop count (start included, depth 0).
+def _expand(adj: DataFrame, start: DataFrame, max_depth=None) -> DataFrame:
+    """Level-synchronous BFS over keys ``(seed, _dir, node)``.
 
-    ``direction`` ``down`` follows links source -> target, ``up`` goes against
-    them. ``max_depth``: ``None`` = unbounded; an int stops expanding at that
-    depth (0 or less = the start only). If ``seeds`` has a ``max_depth``
-    column, each seed gets its own bound (NULL = unbounded), carried along the
-    frontier so no bound is gathered to the driver.
+    ``start`` rows are ``(seed, _dir, node, depth=0, _lim)``; ``_lim`` bounds the
+    depth per row (NULL = unbounded). Each level is one job: it joins the
+    frontier with the adjacency, drops keys already reached, stages the result
+    and reports its row count through an observed metric, so no separate
+    emptiness job is needed.
     """
-    adj = adj if adj is not None else adjacency(links, direction, src, dst)
-    per_seed = "max_depth" in seeds.columns
-    cols = ["seed", "node", "depth"] + (["_lim"] if per_seed else [])
-    start = seeds.filter(F.col("seed").isNotNull()).select(
-        "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"),
-        *([F.col("max_depth").cast("int").alias("_lim")] if per_seed else []))
-    frontier = stage(start.dropDuplicates(["seed", "node"]) if per_seed else start.distinct())
+    key = ["seed", "_dir", "node"]
+    frontier = stage(start)
     levels = [frontier]
-    visited = frontier.select("seed", "node")
+    visited = frontier.select(*key)
     scalar = _bound(max_depth)
     depth = 0
     while True:
-        grow = frontier
+        grow = frontier.filter(F.col("_lim").isNull() | (F.col("depth") < F.col("_lim")))
         if scalar is not None:
             grow = grow.filter(F.col("depth") < scalar)
-        if per_seed:
-            grow = grow.filter(F.col("_lim").isNull() | (F.col("depth") < F.col("_lim")))
         depth += 1
-        cand = (grow.join(adj, grow["node"] == adj["_from"])
-                .select("seed", F.col("_to").alias("node"), *(["_lim"] if per_seed else [])))
-        cand = cand.dropDuplicates(["seed", "node"]) if per_seed else cand.distinct()
-        nxt = stage(cand.join(visited, ["seed", "node"], "left_anti")
-                    .select("seed", "node", F.lit(depth).alias("depth"), *(["_lim"] if per_seed else [])))
-        if nxt.isEmpty():
+        cand = (grow.join(adj, (grow["_dir"] == adj["_dir"]) & (grow["node"] == adj["_from"]))
+                .select("seed", grow["_dir"], F.col("_to").alias("node"), "_lim")
+                .dropDuplicates(key))
+        obs = Observation(f"bfs_level_{depth}")
+        nxt = (cand.join(visited, key, "left_anti")
+               .select(*key, F.lit(depth).alias("depth"), "_lim")
+               .observe(obs, F.count(F.lit(1)).alias("rows")))
+        nxt = stage(nxt)
+        if obs.get["rows"] == 0:
             break
         levels.append(nxt)
-        visited = visited.unionByName(nxt.select("seed", "node"))
+        visited = visited.unionByName(nxt.select(*key))
         if len(levels) % RESTAGE_EVERY == 0:
             visited = stage(visited)
         frontier = nxt
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return out.select("seed", "node", "depth")
+    return out.select("seed", "_dir", "node", "depth")
+
+
+def _start(seeds: DataFrame, direction: str, limit_col: str | None) -> DataFrame:
+    lim = F.col(limit_col).cast("int") if limit_col and limit_col in seeds.columns else F.lit(None).cast("int")
+    return (seeds.filter(F.col("seed").isNotNull())
+            .select("seed", F.lit(direction).alias("_dir"), F.col("seed").alias("node"),
+                    F.lit(0).alias("depth"), lim.alias("_lim"))
+            .dropDuplicates(["seed", "_dir", "node"]))
+
+
+def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src: str = "source",
+        dst: str = "target", adj: DataFrame | None = None) -> DataFrame:
+    """Nodes reachable from each seed with their hop count (start included, depth 0).
+
+    ``direction`` ``down`` follows links source -> target, ``up`` goes against
+    them. ``max_depth``: ``None`` = unbounded; an int stops expanding at that
+    depth (0 or less = the start only). If ``seeds`` has a ``max_depth``
+    column, each seed gets its own bound (NULL = unbounded), carried along the
+    frontier so no bound is gathered to the driver.
+    """
+    adj = adj if adj is not None else adjacency(links, direction, src, dst)
+    res = _expand(adj, _start(seeds, direction, "max_depth"), max_depth)
+    return res.select("seed", "node", "depth")
+
+
+def bfs_both(links: DataFrame, seeds: DataFrame, up_limit: str | None = None, down_limit: str | None = None,
+             src: str = "source", dst: str = "target", adj: DataFrame | None = None):
+    """Upstream and downstream searches advanced together, one job per level
+    for both: returns ``(up, down)`` frames of ``(seed, node, depth)``.
+
+    ``up_limit`` / ``down_limit`` name per-seed bound columns of ``seeds``.
+    """
+    adj = adj if adj is not None else adjacency(links, (DOWN, UP), src, dst)
+    start = _start(seeds, UP, up_limit).unionByName(_start(seeds, DOWN, down_limit))
+    res = _expand(adj, start)
+    up = res.filter(F.col("_dir") == UP).select("seed", "node", "depth")
+    down = res.filter(F.col("_dir") == DOWN).select("seed", "node", "depth")
+    return up, down
 
 
 def seeds_of(df: DataFrame, col: str = "id") -> DataFrame:
@@ -130,8 +169,9 @@ def traversed_links(links_api: DataFrame, up: DataFrame, down: DataFrame) -> Dat
 
 def max_levels(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """Deepest BFS level reachable upstream and downstream of each seed."""
-    up = bfs(links, seeds, UP).groupBy("seed").agg(F.max("depth").cast("long").alias("max_upstream"))
-    down = bfs(links, seeds, DOWN).groupBy("seed").agg(F.max("depth").cast("long").alias("max_downstream"))
+    up, down = bfs_both(links, seeds)
+    up = up.groupBy("seed").agg(F.max("depth").cast("long").alias("max_upstream"))
+    down = down.groupBy("seed").agg(F.max("depth").cast("long").alias("max_downstream"))
     return up.join(down, "seed")
 
 
@@ -173,8 +213,7 @@ def connected_nodes(links: DataFrame, selection: DataFrame) -> DataFrame:
 
     ``selection``: ``(seed, up_level, down_level)``; a NULL level is unbounded.
     """
-    up = bfs(links, selection.select("seed", F.col("up_level").alias("max_depth")), UP)
-    down = bfs(links, selection.select("seed", F.col("down_level").alias("max_depth")), DOWN)
+    up, down = bfs_both(links, selection, up_limit="up_level", down_limit="down_level")
     return closure(up, down)
 
 
@@ -192,8 +231,9 @@ def highlight_levels(links_api: DataFrame, connected: DataFrame, seeds: DataFram
     link source and the deepest downstream hop count of a link target
     (unbounded shortest hops from the seed, 0 when unreachable)."""
     hl = induced_links(links_api, connected).select("seed", "source", "target")
-    up = bfs(links_api, seeds, UP).select("seed", F.col("node").alias("source"), F.col("depth").alias("du"))
-    dn = bfs(links_api, seeds, DOWN).select("seed", F.col("node").alias("target"), F.col("depth").alias("dd"))
+    up, dn = bfs_both(links_api, seeds)
+    up = up.select("seed", F.col("node").alias("source"), F.col("depth").alias("du"))
+    dn = dn.select("seed", F.col("node").alias("target"), F.col("depth").alias("dd"))
     per = (hl.join(up, ["seed", "source"], "left").join(dn, ["seed", "target"], "left")
            .groupBy("seed")
            .agg(F.max(F.coalesce("du", F.lit(0))).alias("cu"), F.max(F.coalesce("dd", F.lit(0))).alias("cd")))

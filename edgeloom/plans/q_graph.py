@@ -26,12 +26,18 @@ def seeds(c):
     return c.once("seeds", lambda: TR.seeds_of(deg.most_connected(c.g.links())), stage=False)
 
 
+def _both(c):
+    if "bfs_both" not in c.memo:
+        c.memo["bfs_both"] = TR.bfs_both(links_api(c), seeds(c))
+    return c.memo["bfs_both"]
+
+
 def up(c):
-    return c.once("bfs_up", lambda: TR.bfs(links_api(c), seeds(c), TR.UP))
+    return _both(c)[0]
 
 
 def down(c):
-    return c.once("bfs_down", lambda: TR.bfs(links_api(c), seeds(c), TR.DOWN))
+    return _both(c)[1]
 
 
 def levels(c):

@@ -20,12 +20,13 @@ from edgeloom.sources.fixtures import AS_OF, HOST, OFFSET_DAYS, WORKSPACE, Fixtu
 
 
 class Ctx:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark, self.sf_dir = spark, sf_dir
         self.fx = Fixture(spark, sf_dir)
         self.params = BuildParams(WORKSPACE, HOST, AS_OF, OFFSET_DAYS)
         self.host, self.as_of, self.days = HOST, AS_OF, OFFSET_DAYS
-        self.g = GraphBuild(self.fx.events(), self.params, self.fx.inventory(), self.fx.legacy())
+        self.g = GraphBuild(self.fx.events(), self.params, self.fx.inventory(), self.fx.legacy(),
+                            materialize=materialize)
         self.memo: dict = {}
 
     def once(self, name: str, make: Callable[[], DataFrame], stage: bool = True) -> DataFrame:
@@ -36,12 +37,13 @@ class Ctx:
 
 
 _CTX: dict = {}
+MATERIALIZE = True
 
 
 def ctx_for(spark: SparkSession, sf_dir: str) -> Ctx:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CTX:
-        _CTX[key] = Ctx(spark, sf_dir)
+        _CTX[key] = Ctx(spark, sf_dir, MATERIALIZE)
     return _CTX[key]
 
 

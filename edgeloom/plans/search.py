@@ -41,8 +41,7 @@ def search_graph(nodes: DataFrame, links: DataFrame, node_id: str, source: str |
         target = TR.seeds_of(most_connected(by_source(links, source), mode))
     else:
         target = links.sparkSession.range(1).select(F.lit(node_id).cast("string").alias("seed"))
-    up = TR.bfs(la, target, TR.UP)
-    down = TR.bfs(la, target, TR.DOWN)
+    up, down = TR.bfs_both(la, target)
     cl = TR.closure(up, down)
     out_nodes = (na.join(cl.select(F.col("seed").alias("search_target"), F.col("node").alias("id")), "id")
                  .select("search_target", *na.columns))

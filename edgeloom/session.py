@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,10 +54,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialize a shared intermediate into the checkpoint folder.
+    """Materialize a shared intermediate under the checkpoint folder.
 
-    Reliable checkpoints survive executor loss (unlike local checkpoints) and
-    stop a stage that is read several times from being recomputed each time.
+    The frame is written once as parquet into ``spark.checkpoint.dir`` (a
+    shared folder on a cluster) and read back: the result no longer depends on
+    its lineage, so a lost executor costs a re-read, not a recomputation of
+    the chain; the read carries real file sizes, so AQE can broadcast small
+    stages. (``Dataset.checkpoint`` would run the plan twice: once for the
+    eager count and once more to write the files.)
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = _stage_path(spark)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _stage_path(spark: SparkSession) -> str:
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/edgeloom-stages/{uuid.uuid4().hex}"
+
+
+def stage_bucketed(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
+    """Like :func:`stage`, but bucketed (hash-partitioned into files) by ``cols``.
+
+    A frame joined on ``cols`` again and again (the BFS adjacency) is then
+    never shuffled for those joins: only the other side moves. The table is
+    external (its files live under the checkpoint folder) and registered under
+    a generated name in the session catalog.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"edgeloom_stage_{uuid.uuid4().hex}"
+    (df.write.mode("overwrite").format("parquet").option("path", _stage_path(spark))
+     .bucketBy(n, *cols).saveAsTable(name))
+    return spark.table(name)
