@@ -247,3 +247,37 @@ def q_upsert_metrics(c):
                   .cast("long").alias("updated")))
         out = m if out is None else out.unionByName(m)
     return out
+
+
+# ------------------------------------------------------------------ sinks
+GRAPH_SCHEMA = "edgeloom_graph"
+
+
+def _graph_schema(c) -> str:
+    from edgeloom.session import ensure_checkpoint_dir
+    from edgeloom.sources.sinks import ensure_schema
+    root = ensure_checkpoint_dir(c.spark).rstrip("/")
+    ensure_schema(c.spark, GRAPH_SCHEMA, f"{root}/warehouse/{GRAPH_SCHEMA}.db")
+    return GRAPH_SCHEMA
+
+
+@register("bootstrap_schema", W(f"SELECT {O.NODE_COLS} FROM nodes", "nodes"))
+def q_bootstrap_schema(c):
+    """Schema created on first use; the node table is written into it and read back."""
+    from edgeloom.sources.sinks import save_or_upsert
+    schema = _graph_schema(c)
+    table = f"{schema}.lineage_nodes_{c.spark.sparkContext.applicationId.replace('-', '_')}"
+    if not c.spark.catalog.tableExists(table):
+        save_or_upsert(c.g.nodes(), table, U.NODE_KEYS, U.ORDER_COL)
+    return c.spark.table(table)
+
+
+@register("create_if_absent", W(f"SELECT {O.LINK_COLS} FROM links_upsert_target", "t_links",
+                                extra={"links_upsert_target": ("SELECT * FROM t_links", ("t_links",))}))
+def q_create_if_absent(c):
+    """First run writes the target batch's links as the table."""
+    from edgeloom.sources.sinks import save_or_upsert
+    table = f"{_graph_schema(c)}.lineage_links_{c.spark.sparkContext.applicationId.replace('-', '_')}"
+    if not c.spark.catalog.tableExists(table):
+        save_or_upsert(batch(c, "target").links(), table, U.LINK_KEYS, U.ORDER_COL)
+    return c.spark.table(table)

@@ -15,9 +15,10 @@ def publish(df: DataFrame, name: str, global_view: bool = False) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def ensure_schema(spark: SparkSession, name: str) -> None:
-    """Create the target schema when it is missing."""
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create the target schema when it is missing (optionally at a storage location)."""
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}{loc}")
 
 
 def save_or_upsert(df: DataFrame, table: str, keys: list[str], order_col: str,
@@ -43,6 +44,7 @@ def save_or_upsert(df: DataFrame, table: str, keys: list[str], order_col: str,
     merged.write.mode("overwrite").saveAsTable(staging)
     spark.table(staging).write.mode("overwrite").saveAsTable(table)
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    spark.catalog.refreshTable(table)
     return {"inserted": counts.get("inserted", 0), "updated": counts.get("updated", 0), "created": False}
 
 
