@@ -272,8 +272,7 @@ def q_bootstrap_schema(c):
     return c.spark.table(table)
 
 
-@register("create_if_absent", W(f"SELECT {O.LINK_COLS} FROM links_upsert_target", "t_links",
-                                extra={"links_upsert_target": ("SELECT * FROM t_links", ("t_links",))}))
+@register("create_if_absent", W(f"SELECT {O.LINK_COLS} FROM t_links", "t_links"))
 def q_create_if_absent(c):
     """First run writes the target batch's links as the table."""
     from edgeloom.sources.sinks import save_or_upsert
