@@ -42,17 +42,21 @@ def bucket_patterns(patterns: DataFrame, pattern_col: str) -> DataFrame:
     return patterns.withColumn("_lvl", lvl).withColumn("_bkey", lit.substr(F.lit(1), lvl))
 
 
-def bucket_values(values: DataFrame, value_col: str) -> DataFrame:
+def bucket_values(values: DataFrame, value_col: str, levels=LEVELS) -> DataFrame:
     v = F.col(value_col)
-    keys = F.array(*[F.struct(F.lit(lv).alias("_lvl"), F.substring(v, 1, lv).alias("_bkey")) for lv in LEVELS])
+    keys = F.array(*[F.struct(F.lit(lv).alias("_lvl"), F.substring(v, 1, lv).alias("_bkey")) for lv in levels])
     return values.select("*", F.inline(keys))
 
 
 def like_join(values: DataFrame, value_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
     """Inner join of ``values`` and ``patterns`` on ``values.value_col LIKE patterns.pattern_col``."""
     # NULL values or patterns never satisfy LIKE.
-    bv = bucket_values(values.filter(F.col(value_col).isNotNull()), value_col)
     bp = bucket_patterns(patterns.filter(F.col(pattern_col).isNotNull()), pattern_col)
+    # Values are listed only at levels some pattern uses (at most len(LEVELS)
+    # numbers reach the driver); otherwise the empty level-0 key would gather
+    # every value under one join key.
+    used = sorted(r[0] for r in bp.select("_lvl").distinct().collect()) or [0]
+    bv = bucket_values(values.filter(F.col(value_col).isNotNull()), value_col, used)
     joined = bv.join(bp, ["_lvl", "_bkey"])
     return joined.filter(F.like(F.col(value_col), F.col(pattern_col))).drop("_lvl", "_bkey")
 

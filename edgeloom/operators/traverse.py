@@ -13,8 +13,9 @@ Scale notes:
 * the adjacency is deduplicated and staged once as a table bucketed by its
   probe key, so every level shuffles only the frontier against it; when the
   frontier is small AQE broadcasts it and the adjacency is streamed in place;
-* a hub whose links are a large share of the adjacency is one skewed probe key;
-  AQE's skew-join split handles it (the frontier row is replicated per split);
+* a hub whose links are a large share of the adjacency would be one bucket read
+  by one task every level (AQE cannot split a bucketed scan), so hot probe keys
+  are salted over several buckets and their frontier rows probe each salt;
 * each level is staged to the checkpoint folder: levels are independent of
   their lineage, so a lost executor recomputes one level, not the whole search;
 * the visited set is the union of staged levels and is re-staged every
@@ -23,6 +24,8 @@ Scale notes:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -32,19 +35,67 @@ RESTAGE_EVERY = 8
 UP, DOWN = "up", "down"
 
 
-def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst: str = "target") -> DataFrame:
-    """Distinct ``(_dir, _from, _to)`` steps to follow, staged and hash-partitioned
-    by the probe key ``(_dir, _from)``; NULL endpoints are never followed."""
+# Hub handling: a probe key with more steps than an average bucket is "hot"
+# and its steps are spread over several salted buckets.
+MIN_HOT_STEPS = 10_000
+MAX_SALTS = 64
+
+
+@dataclass
+class Adjacency:
+    """Staged steps ``(_dir, _from, _to, _salt)`` bucketed by ``(_dir, _from, _salt)``,
+    plus the hot probe keys and how many salts each one is spread over."""
+
+    steps: DataFrame
+    hot: DataFrame | None  # (_dir, _from, _salts); None when no key is hot
+
+
+def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst: str = "target") -> Adjacency:
+    """Distinct steps to follow, staged once as a bucketed table; NULL endpoints
+    are never followed.
+
+    A hub whose steps would fill one bucket (one task per BFS level) is split:
+    the number of its steps is known from one aggregate, and a key with more
+    than an average bucket's share gets ``ceil(steps / share)`` salts (at most
+    ``MAX_SALTS``); its steps are spread by a hash of the target. The hot-key
+    table has at most ``steps / share`` rows, a bound that does not depend on
+    the data's skew.
+    """
     if isinstance(directions, str):
         directions = (directions,)
-    steps = []
+    spark = links.sparkSession
+    parts = []
     for d in directions:
         a, b = (src, dst) if d == DOWN else (dst, src)
-        steps.append(F.struct(F.lit(d).alias("_dir"), F.col(a).alias("_from"), F.col(b).alias("_to")))
-    adj = (links.select(F.inline(F.array(*steps)))
-           .filter(F.col("_from").isNotNull() & F.col("_to").isNotNull())
-           .distinct())
-    return stage_bucketed(adj, ["_dir", "_from"])
+        parts.append(F.struct(F.lit(d).alias("_dir"), F.col(a).alias("_from"), F.col(b).alias("_to")))
+    adj = stage(links.select(F.inline(F.array(*parts)))
+                .filter(F.col("_from").isNotNull() & F.col("_to").isNotNull())
+                .distinct())
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deg = adj.groupBy("_dir", "_from").agg(F.count(F.lit(1)).alias("_n"))
+    total, top = deg.agg(F.sum("_n"), F.max("_n")).first()
+    share = max(MIN_HOT_STEPS, -(-(total or 0) // buckets))
+    hot = None
+    salt = F.lit(0)
+    if top and top > share:
+        hot = stage(deg.filter(F.col("_n") > share)
+                    .select("_dir", "_from", F.least(F.ceil(F.col("_n") / share), F.lit(MAX_SALTS))
+                            .cast("int").alias("_salts")))
+        adj = adj.join(hot, ["_dir", "_from"], "left")
+        salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_to"), F.col("_salts")))
+    steps = stage_bucketed(adj.select("_dir", "_from", "_to", salt.cast("int").alias("_salt")),
+                           ["_dir", "_from", "_salt"], buckets)
+    return Adjacency(steps, hot)
+
+
+def _probe(frontier: DataFrame, adj: Adjacency) -> DataFrame:
+    """Frontier rows with the salt(s) to probe: hot keys are probed once per salt."""
+    if adj.hot is None:
+        return frontier.withColumn("_salt", F.lit(0))
+    h = adj.hot.select("_dir", F.col("_from").alias("node"), "_salts")
+    return (frontier.join(h, ["_dir", "node"], "left")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+            .drop("_salts"))
 
 
 def _bound(max_depth) -> Column | None:
@@ -55,7 +106,7 @@ def _bound(max_depth) -> Column | None:
     return F.lit(int(max_depth))
 
 
-def _expand(adj: DataFrame, start: DataFrame, max_depth=None) -> DataFrame:
+def _expand(adj: Adjacency, start: DataFrame, max_depth=None) -> DataFrame:
     """Level-synchronous BFS over keys ``(seed, _dir, node)``.
 
     ``start`` rows are ``(seed, _dir, node, depth=0, _lim)``; ``_lim`` bounds the
@@ -75,8 +126,11 @@ def _expand(adj: DataFrame, start: DataFrame, max_depth=None) -> DataFrame:
         if scalar is not None:
             grow = grow.filter(F.col("depth") < scalar)
         depth += 1
-        cand = (grow.join(adj, (grow["_dir"] == adj["_dir"]) & (grow["node"] == adj["_from"]))
-                .select("seed", grow["_dir"], F.col("_to").alias("node"), "_lim")
+        probe = _probe(grow, adj)
+        steps = adj.steps
+        cand = (probe.join(steps, (probe["_dir"] == steps["_dir"]) & (probe["node"] == steps["_from"])
+                           & (probe["_salt"] == steps["_salt"]))
+                .select("seed", probe["_dir"], F.col("_to").alias("node"), "_lim")
                 .dropDuplicates(key))
         obs = Observation(f"bfs_level_{depth}")
         nxt = (cand.join(visited, key, "left_anti")
@@ -105,7 +159,7 @@ def _start(seeds: DataFrame, direction: str, limit_col: str | None) -> DataFrame
 
 
 def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src: str = "source",
-        dst: str = "target", adj: DataFrame | None = None) -> DataFrame:
+        dst: str = "target", adj: Adjacency | None = None) -> DataFrame:
     """Nodes reachable from each seed with their hop count (start included, depth 0).
 
     ``direction`` ``down`` follows links source -> target, ``up`` goes against
@@ -120,7 +174,7 @@ def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src:
 
 
 def bfs_both(links: DataFrame, seeds: DataFrame, up_limit: str | None = None, down_limit: str | None = None,
-             src: str = "source", dst: str = "target", adj: DataFrame | None = None):
+             src: str = "source", dst: str = "target", adj: Adjacency | None = None):
     """Upstream and downstream searches advanced together, one job per level
     for both: returns ``(up, down)`` frames of ``(seed, node, depth)``.
 

@@ -80,8 +80,10 @@ def test_bfs_adjacency_not_shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        f = spark.createDataFrame([("down", "a")], "_dir string, node string")
-        p = plan(f.join(adj, (f["_dir"] == adj["_dir"]) & (f["node"] == adj["_from"])), "simple")
+        f = spark.createDataFrame([("down", "a", 0)], "_dir string, node string, _salt int")
+        st_ = adj.steps
+        p = plan(f.join(st_, (f["_dir"] == st_["_dir"]) & (f["node"] == st_["_from"]) & (f["_salt"] == st_["_salt"])),
+                 "simple")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -175,3 +177,21 @@ def test_synthetic_dag_links_go_forward(spark):
                                                                            "Dataset"}
     n2, _ = synthetic_dag(spark, 200, seed=7)
     assert rows(nodes) == rows(n2)
+
+
+def test_hub_is_salted_and_bfs_stays_exact(spark, monkeypatch):
+    monkeypatch.setattr(TR, "MIN_HOT_STEPS", 4)
+    # the hub holds most of the steps (far more than an average bucket)
+    edges = [("hub", f"l{i}") for i in range(100)] + [(f"l{i}", f"m{i % 5}") for i in range(10)] + [("r", "hub")]
+    la = api(spark, edges)
+    adj = TR.adjacency(la)
+    assert adj.hot is not None
+    hot = {(r["_dir"], r["_from"]): r["_salts"] for r in adj.hot.collect()}
+    assert hot[("down", "hub")] >= 2
+    assert adj.steps.select("_salt").distinct().count() > 1
+    up, down = TR.bfs_both(la, seeds(spark, "r", "hub", "m1"), adj=adj)
+    down_r = {(r.seed, r.node): r.depth for r in down.collect()}
+    up_r = {(r.seed, r.node): r.depth for r in up.collect()}
+    for s in ("r", "hub", "m1"):
+        assert {n: d for (x, n), d in down_r.items() if x == s} == _reach(edges, s, False)
+        assert {n: d for (x, n), d in up_r.items() if x == s} == _reach(edges, s, True)
