@@ -19,25 +19,40 @@ from edgeloom.functions.constants import DELETE_ACTIONS, LIKE_DELETE_ACTIONS, TA
 from edgeloom.operators.patterns import like_join, like_semi_values
 
 
-def deleted_name(action, full_name) -> Column:
-    """Name a deletion removes: the table name, or the schema name + ``%``."""
+def escape_like(c: Column) -> Column:
+    """Make every character of ``c`` literal inside a LIKE pattern (escape ``\\``)."""
+    c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    c = F.replace(c, F.lit("%"), F.lit("\\%"))
+    return F.replace(c, F.lit("_"), F.lit("\\_"))
+
+
+def deleted_name(action, full_name, mode: str = "reference") -> Column:
+    """Name a deletion removes: the table name, or a pattern for the schema's tables.
+
+    ``reference``: schema name + ``%`` (``_`` in the name is a wildcard and
+    ``main.s1`` also hits ``main.s10``); ``strict``: the literal schema name
+    followed by ``.`` and ``%``.
+    """
     a, n = as_col(action), as_col(full_name)
-    return F.when(a == "deleteTable", n).when(a == "deleteSchema", F.concat(n, F.lit("%")))
+    schema = F.concat(n, F.lit("%")) if mode == "reference" else F.concat(escape_like(n), F.lit(".%"))
+    return F.when(a == "deleteTable", n).when(a == "deleteSchema", schema)
 
 
-def deleted_path(action, service, params: dict, host: str) -> Column:
+def deleted_path(action, service, params: dict, host: str, mode: str = "reference") -> Column:
     """URL (or LIKE pattern) of the deleted asset; NULL for deletions without one
     (``deleteJob``, ``delete`` outside the jobs service).
 
-    ``params`` maps request parameter names to columns.
+    ``params`` maps request parameter names to columns. In ``strict`` mode the
+    schema pattern is literal up to its ``/%`` (see :func:`deleted_name`).
     """
     a, s = as_col(action), as_col(service)
     p = {k: as_col(v) for k, v in params.items()}
     ex = explore_prefix(host)
     dotted = F.replace(p["full_name_arg"], F.lit("."), F.lit("/"))
+    schema_dir = dotted if mode == "reference" else escape_like(dotted)
     return (
         F.when(a == "deleteTable", F.concat(F.lit(ex), dotted))
-        .when(a == "deleteSchema", F.concat(F.lit(ex), dotted, F.lit("/%")))
+        .when(a == "deleteSchema", F.concat(F.lit(ex), schema_dir, F.lit("/%")))
         .when((a == "delete") & (s == "jobs"), F.concat(F.lit(f"https://{host}/jobs/"), p["job_id"]))
         .when(a == "deletePipeline", F.concat(F.lit(f"https://{host}/pipelines/"), p["pipelineId"]))
         .when(a == "deleteNotebook", F.concat(F.lit(f"https://{host}/#notebook/"), p["notebookId"]))
@@ -53,22 +68,34 @@ def filter_deletes(audit: DataFrame, as_of, days: int) -> DataFrame:
                         & (F.to_date("event_time") >= window_start(as_of, days)))
 
 
-def deletions(audit_flat: DataFrame, host: str, as_of, days: int) -> DataFrame:
+def deletions(audit_flat: DataFrame, host: str, as_of, days: int, mode: str = "reference") -> DataFrame:
     """``(event_date, action_name, schema_table_name, deleted_entity_path)`` per
-    deletion; ``audit_flat`` is :func:`edgeloom.sources.scans.audit_scan` output."""
+    deletion; ``audit_flat`` is :func:`edgeloom.sources.scans.audit_scan` output.
+
+    ``strict``: a dashboard deletion gives its two exact URLs (legacy and v3
+    form) instead of the ``dashboards%/id`` pattern.
+    """
     params = {k: k for k in ("full_name_arg", "job_id", "pipelineId", "notebookId", "dashboardId", "queryId")}
-    return filter_deletes(audit_flat, as_of, days).select(
+    out = filter_deletes(audit_flat, as_of, days).select(
         F.to_date("event_time").alias("event_date"),
         "action_name",
-        deleted_name("action_name", "full_name_arg").alias("schema_table_name"),
-        deleted_path("action_name", "service_name", params, host).alias("deleted_entity_path"),
+        deleted_name("action_name", "full_name_arg", mode).alias("schema_table_name"),
+        deleted_path("action_name", "service_name", params, host, mode).alias("deleted_entity_path"),
+        F.col("dashboardId"),
     )
+    if mode == "strict":
+        forms = F.array(*[F.concat(F.lit(f"https://{host}{p}"), F.col("dashboardId"))
+                          for p in ("/sql/dashboards/", "/sql/dashboardsv3/")])
+        dash = out.filter(F.col("action_name") == "deleteDashboard").withColumn("deleted_entity_path",
+                                                                               F.explode(forms))
+        out = out.filter(~F.coalesce(F.col("action_name") == "deleteDashboard", F.lit(False))).unionByName(dash)
+    return out.drop("dashboardId")
 
 
 _HIT_COLS = ("node", "node_type", "entity_path", "action_name", "schema_table_name")
 
 
-def deleted_entities(nodes: DataFrame, dels: DataFrame) -> DataFrame:
+def deleted_entities(nodes: DataFrame, dels: DataFrame, mode: str = "reference") -> DataFrame:
     """Nodes hit by a deletion that happened after their last event (strict ``>``).
 
     Schema and dashboard deletions match the node URL with LIKE; the others
@@ -76,7 +103,8 @@ def deleted_entities(nodes: DataFrame, dels: DataFrame) -> DataFrame:
     ALL of an equi join and a bucketed LIKE join equals the reference's OR join.
     """
     n = nodes.select("node", "node_type", "entity_path", "last_event_date")
-    like = F.col("action_name").isin(*LIKE_DELETE_ACTIONS)
+    like_actions = LIKE_DELETE_ACTIONS if mode == "reference" else ("deleteSchema",)
+    like = F.col("action_name").isin(*like_actions)
     eq_d = dels.filter(~like & F.col("deleted_entity_path").isNotNull())
     lk_d = dels.filter(like)
     eq_hits = n.join(eq_d, n["entity_path"] == eq_d["deleted_entity_path"])

@@ -208,3 +208,34 @@ def test_traversed_links_dedupe_pair(spark):
     up, down = TR.bfs(la, s, TR.UP), TR.bfs(la, s, TR.DOWN)
     got = rows(TR.traversed_links(la, up, down), "source", "target", "entity_path")
     assert got == [("a", "b", "u2"), ("b", "c", None)]
+
+
+def test_strict_schema_and_dashboard_deletes(spark):
+    nd = spark.createDataFrame([
+        ("main.a_b.t", T, "https://ws/explore/data/main/a_b/t", d("2024-01-01"), "table_lineage"),
+        ("main.axb.t", T, "https://ws/explore/data/main/axb/t", d("2024-01-01"), "table_lineage"),
+        ("main.a_b_old.t", T, "https://ws/explore/data/main/a_b_old/t", d("2024-01-01"), "table_lineage"),
+        ("DASHBOARD-7", "DASHBOARD", "https://ws/sql/dashboardsv3/7", d("2024-01-01"), "table_lineage"),
+        ("DASHBOARD-71", "DASHBOARD", "https://ws/sql/dashboards/71", d("2024-01-01"), "table_lineage"),
+    ], NODE_SCHEMA)
+    audit = spark.createDataFrame([
+        (dt.datetime(2024, 1, 25), "deleteSchema", "unityCatalog", "main.a_b", None, None, None, None, None),
+        (dt.datetime(2024, 1, 25), "deleteDashboard", "unityCatalog", None, None, None, None, "7", None),
+    ], "event_time timestamp, action_name string, service_name string, full_name_arg string, job_id string, "
+       "pipelineId string, notebookId string, dashboardId string, queryId string")
+    ref = rows(P.deleted_entities(nd, P.deletions(audit, "ws", AS_OF, 30)), "node")
+    assert ref == [("DASHBOARD-7",), ("main.a_b.t",), ("main.axb.t",)]
+    strict = rows(P.deleted_entities(nd, P.deletions(audit, "ws", AS_OF, 30, "strict"), "strict"), "node")
+    assert strict == [("DASHBOARD-7",), ("main.a_b.t",)]
+    lk = links(spark, [("main.a_b.t", "x"), ("main.axb.t", "y"), ("main.a_b_old.t", "z")])
+    hits_ref = P.deleted_entities(nd.limit(0), P.deletions(audit, "ws", AS_OF, 30))
+    dels_ref = P.deletions(audit, "ws", AS_OF, 30).select(
+        F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("node_type"),
+        F.lit(None).cast("string").alias("entity_path"), "action_name", "schema_table_name")
+    assert hits_ref.count() == 0
+    left_ref = rows(P.match_deleted_links(lk, dels_ref), "source_node")
+    assert left_ref == []  # main.a_b% also hits main.a_b_old and (via _) main.axb
+    dels_strict = P.deletions(audit, "ws", AS_OF, 30, "strict").select(
+        F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("node_type"),
+        F.lit(None).cast("string").alias("entity_path"), "action_name", "schema_table_name")
+    assert rows(P.match_deleted_links(lk, dels_strict), "source_node") == [("main.a_b_old.t",), ("main.axb.t",)]
