@@ -221,17 +221,17 @@ def traversed_links(links_api: DataFrame, up: DataFrame, down: DataFrame) -> Dat
             .select("seed", "source", "target", *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 
-def max_levels(links: DataFrame, seeds: DataFrame) -> DataFrame:
+def max_levels(links: DataFrame, seeds: DataFrame, adj: Adjacency | None = None) -> DataFrame:
     """Deepest BFS level reachable upstream and downstream of each seed."""
-    up, down = bfs_both(links, seeds)
+    up, down = bfs_both(links, seeds, adj=adj)
     up = up.groupBy("seed").agg(F.max("depth").cast("long").alias("max_upstream"))
     down = down.groupBy("seed").agg(F.max("depth").cast("long").alias("max_downstream"))
     return up.join(down, "seed")
 
 
-def node_depth(links: DataFrame, pairs: DataFrame, direction: str) -> DataFrame:
+def node_depth(links: DataFrame, pairs: DataFrame, direction: str, adj: Adjacency | None = None) -> DataFrame:
     """Shortest hops from ``seed`` to ``node`` in one direction; 0 if unreachable."""
-    reach = bfs(links, pairs.select("seed").distinct(), direction)
+    reach = bfs(links, pairs.select("seed").distinct(), direction, adj=adj)
     return (pairs.join(reach, ["seed", "node"], "left")
             .select("seed", "node", F.coalesce(F.col("depth"), F.lit(0)).cast("long").alias("depth")))
 
@@ -262,12 +262,12 @@ def default_levels(levels: DataFrame, default: int = 3) -> DataFrame:
                          F.least(F.lit(default).cast("long"), F.col("max_downstream")).alias("down_level"))
 
 
-def connected_nodes(links: DataFrame, selection: DataFrame) -> DataFrame:
+def connected_nodes(links: DataFrame, selection: DataFrame, adj: Adjacency | None = None) -> DataFrame:
     """Bounded upstream set plus bounded downstream set per selected seed.
 
     ``selection``: ``(seed, up_level, down_level)``; a NULL level is unbounded.
     """
-    up, down = bfs_both(links, selection, up_limit="up_level", down_limit="down_level")
+    up, down = bfs_both(links, selection, up_limit="up_level", down_limit="down_level", adj=adj)
     return closure(up, down)
 
 
@@ -280,12 +280,13 @@ def induced_links(links_api: DataFrame, node_set: DataFrame) -> DataFrame:
 highlighted_links = induced_links
 
 
-def highlight_levels(links_api: DataFrame, connected: DataFrame, seeds: DataFrame) -> DataFrame:
+def highlight_levels(links_api: DataFrame, connected: DataFrame, seeds: DataFrame,
+                     adj: Adjacency | None = None) -> DataFrame:
     """Over a seed's highlighted links: the deepest upstream hop count of a
     link source and the deepest downstream hop count of a link target
     (unbounded shortest hops from the seed, 0 when unreachable)."""
     hl = induced_links(links_api, connected).select("seed", "source", "target")
-    up, dn = bfs_both(links_api, seeds)
+    up, dn = bfs_both(links_api, seeds, adj=adj)
     up = up.select("seed", F.col("node").alias("source"), F.col("depth").alias("du"))
     dn = dn.select("seed", F.col("node").alias("target"), F.col("depth").alias("dd"))
     per = (hl.join(up, ["seed", "source"], "left").join(dn, ["seed", "target"], "left")

@@ -26,9 +26,16 @@ def seeds(c):
     return c.once("seeds", lambda: TR.seeds_of(deg.most_connected(c.g.links())), stage=False)
 
 
+def adj(c):
+    """One staged adjacency per graph, shared by every traversal query."""
+    if "adjacency" not in c.memo:
+        c.memo["adjacency"] = TR.adjacency(links_api(c))
+    return c.memo["adjacency"]
+
+
 def _both(c):
     if "bfs_both" not in c.memo:
-        c.memo["bfs_both"] = TR.bfs_both(links_api(c), seeds(c))
+        c.memo["bfs_both"] = TR.bfs_both(links_api(c), seeds(c), adj=adj(c))
     return c.memo["bfs_both"]
 
 
@@ -41,7 +48,7 @@ def down(c):
 
 
 def levels(c):
-    return c.once("maxlv", lambda: TR.max_levels(links_api(c), seeds(c)))
+    return c.once("maxlv", lambda: TR.max_levels(links_api(c), seeds(c), adj=adj(c)))
 
 
 def selection(c):
@@ -49,7 +56,7 @@ def selection(c):
 
 
 def connected(c):
-    return c.once("connected", lambda: TR.connected_nodes(links_api(c), selection(c)))
+    return c.once("connected", lambda: TR.connected_nodes(links_api(c), selection(c), adj=adj(c)))
 
 
 @register("bfs_downstream", W("SELECT seed, node, CAST(depth AS BIGINT) AS depth FROM bfs_down", "bfs_down"))
@@ -64,13 +71,13 @@ def q_bfs_upstream(c):
 
 @register("bfs_bounded", W("SELECT seed, node, CAST(depth AS BIGINT) AS depth FROM bfs_down3", "bfs_down3"))
 def q_bfs_bounded(c):
-    return TR.bfs(links_api(c), seeds(c), TR.DOWN, max_depth=BOUNDED_LEVEL)
+    return TR.bfs(links_api(c), seeds(c), TR.DOWN, max_depth=BOUNDED_LEVEL, adj=adj(c))
 
 
 @register("frontier_join", W("""
 SELECT seed, node, CAST(depth AS BIGINT) AS depth FROM bfs_down WHERE depth = 1""", "bfs_down"))
 def q_frontier_join(c):
-    return TR.bfs(links_api(c), seeds(c), TR.DOWN, max_depth=1).filter(F.col("depth") == 1)
+    return TR.bfs(links_api(c), seeds(c), TR.DOWN, max_depth=1, adj=adj(c)).filter(F.col("depth") == 1)
 
 
 @register("connected_union", W("SELECT seed, node FROM closure", "closure"))
@@ -93,13 +100,13 @@ def q_traversed_links(c):
 SELECT c.seed AS search_target, {O.API_NODE_COLS} FROM api_nodes n JOIN closure c ON c.node = n.id""",
                            "api_nodes", "closure"))
 def q_search_graph(c):
-    res = search_graph(c.g.nodes(), c.g.links(), "most_connected", "all", c.as_of)
+    res = search_graph(c.g.nodes(), c.g.links(), "most_connected", "all", c.as_of, adj=adj(c))
     return res.nodes
 
 
 @register("search_graph_links", W(f"SELECT seed AS search_target, {O.API_LINK_COLS} FROM traversed", "traversed"))
 def q_search_graph_links(c):
-    res = search_graph(c.g.nodes(), c.g.links(), "most_connected", "all", c.as_of)
+    res = search_graph(c.g.nodes(), c.g.links(), "most_connected", "all", c.as_of, adj=adj(c))
     return res.links
 
 
@@ -168,7 +175,7 @@ LEFT JOIN bfs_down b ON b.seed = p.seed AND b.node = p.node""", "traversed", "bf
 def q_node_depth(c):
     t = TR.traversed_links(links_api(c), up(c), down(c))
     pairs = t.select("seed", F.col("source").alias("node")).union(t.select("seed", F.col("target"))).distinct()
-    return TR.node_depth(links_api(c), pairs, TR.DOWN)
+    return TR.node_depth(links_api(c), pairs, TR.DOWN, adj=adj(c))
 
 
 @register("highlight_levels", W("""
@@ -179,7 +186,7 @@ LEFT JOIN bfs_up u ON u.seed = h.seed AND u.node = h.source
 LEFT JOIN bfs_down d ON d.seed = h.seed AND d.node = h.target
 GROUP BY s.seed""", "seeds", "highlighted", "bfs_up", "bfs_down"))
 def q_highlight_levels(c):
-    return TR.highlight_levels(links_api(c), connected(c), seeds(c))
+    return TR.highlight_levels(links_api(c), connected(c), seeds(c), adj=adj(c))
 
 
 @register("selection_indicators", W("""

@@ -29,11 +29,13 @@ class SearchResult:
 
 
 def search_graph(nodes: DataFrame, links: DataFrame, node_id: str, source: str | None, as_of,
-                 mode: str = "reference") -> SearchResult:
+                 mode: str = "reference", adj: TR.Adjacency | None = None) -> SearchResult:
     """Payload for ``node_id`` (or the most connected node) under a source filter.
 
     An unknown start node, or an empty graph with ``most_connected``, gives
-    empty node and link lists instead of an error.
+    empty node and link lists instead of an error. ``adj``: a prebuilt
+    :func:`edgeloom.operators.traverse.adjacency` of the filtered links, shared
+    by many searches of one graph.
     """
     na = api_nodes(nodes, links, source, as_of, mode)
     la = api_links(links, source)
@@ -41,7 +43,7 @@ def search_graph(nodes: DataFrame, links: DataFrame, node_id: str, source: str |
         target = TR.seeds_of(most_connected(by_source(links, source), mode))
     else:
         target = links.sparkSession.range(1).select(F.lit(node_id).cast("string").alias("seed"))
-    up, down = TR.bfs_both(la, target)
+    up, down = TR.bfs_both(la, target, adj=adj)
     cl = TR.closure(up, down)
     out_nodes = (na.join(cl.select(F.col("seed").alias("search_target"), F.col("node").alias("id")), "id")
                  .select("search_target", *na.columns))
