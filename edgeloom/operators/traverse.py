@@ -16,8 +16,9 @@ Scale notes:
 * a hub whose links are a large share of the adjacency would be one bucket read
   by one task every level (AQE cannot split a bucketed scan), so hot probe keys
   are salted over several buckets and their frontier rows probe each salt;
-* each level is staged to the checkpoint folder: levels are independent of
-  their lineage, so a lost executor recomputes one level, not the whole search;
+* one job advances ``HOPS_PER_JOB`` levels and its new keys are staged to the
+  checkpoint folder: they are independent of their lineage, so a lost
+  executor recomputes at most one job's levels, not the whole search;
 * the visited set is the union of staged levels and is re-staged every
   ``RESTAGE_EVERY`` levels to keep plans short on deep graphs.
 """
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 from edgeloom.session import stage, stage_bucketed
 
 RESTAGE_EVERY = 8
+# BFS levels advanced per Spark job (see _expand): fewer jobs on deep graphs,
+# at most this factor of repeated work where paths of unequal length meet.
+HOPS_PER_JOB = 4
 UP, DOWN = "up", "down"
 
 
@@ -106,44 +110,58 @@ def _bound(max_depth) -> Column | None:
     return F.lit(int(max_depth))
 
 
-def _expand(adj: Adjacency, start: DataFrame, max_depth=None) -> DataFrame:
-    """Level-synchronous BFS over keys ``(seed, _dir, node)``.
+def _expand(adj: Adjacency, start: DataFrame, max_depth=None, hops: int | None = None) -> DataFrame:
+    """Breadth-first search over keys ``(seed, _dir, node)``, ``hops`` levels per job.
 
     ``start`` rows are ``(seed, _dir, node, depth=0, _lim)``; ``_lim`` bounds the
-    depth per row (NULL = unbounded). Each level is one job: it joins the
-    frontier with the adjacency, drops keys already reached, stages the result
-    and reports its row count through an observed metric, so no separate
-    emptiness job is needed.
+    depth per row (NULL = unbounded). One job advances up to ``hops`` levels:
+    every hop joins the current rows with the adjacency and drops keys reached
+    before the job started; keys reached twice inside the job keep their
+    smallest depth. That is exact: a shortest path never returns to a key
+    reached earlier, so pruning only those removes no shortest path, and the
+    minimum over hops is the BFS depth. The job's new keys are staged; those at
+    its last depth are the next frontier. Its row counts come from metrics
+    observed while staging, so the driver loop adds no job of its own.
     """
+    hops = max(1, int(hops or HOPS_PER_JOB))
     key = ["seed", "_dir", "node"]
     frontier = stage(start)
     levels = [frontier]
     visited = frontier.select(*key)
     scalar = _bound(max_depth)
     depth = 0
+    steps = adj.steps
     while True:
-        grow = frontier.filter(F.col("_lim").isNull() | (F.col("depth") < F.col("_lim")))
-        if scalar is not None:
-            grow = grow.filter(F.col("depth") < scalar)
-        depth += 1
-        probe = _probe(grow, adj)
-        steps = adj.steps
-        cand = (probe.join(steps, (probe["_dir"] == steps["_dir"]) & (probe["node"] == steps["_from"])
-                           & (probe["_salt"] == steps["_salt"]))
-                .select("seed", probe["_dir"], F.col("_to").alias("node"), "_lim")
-                .dropDuplicates(key))
-        obs = Observation(f"bfs_level_{depth}")
-        nxt = (cand.join(visited, key, "left_anti")
-               .select(*key, F.lit(depth).alias("depth"), "_lim")
-               .observe(obs, F.count(F.lit(1)).alias("rows")))
-        nxt = stage(nxt)
-        if obs.get["rows"] == 0:
+        cur, found = frontier, None
+        for h in range(1, hops + 1):
+            grow = cur.filter(F.col("_lim").isNull() | (F.col("depth") < F.col("_lim")))
+            if scalar is not None:
+                grow = grow.filter(F.col("depth") < scalar)
+            probe = _probe(grow, adj)
+            cur = (probe.join(steps, (probe["_dir"] == steps["_dir"]) & (probe["node"] == steps["_from"])
+                              & (probe["_salt"] == steps["_salt"]))
+                   .select("seed", probe["_dir"], F.col("_to").alias("node"),
+                           F.lit(depth + h).alias("depth"), "_lim")
+                   .dropDuplicates(key)
+                   .join(visited, key, "left_anti"))
+            found = cur if found is None else found.unionByName(cur)
+        last = depth + hops
+        obs = Observation(f"bfs_job_{last}")
+        new = (found.groupBy(*key).agg(F.min("depth").alias("depth"), F.first("_lim").alias("_lim"))
+               .observe(obs, F.count(F.lit(1)).alias("rows"),
+                        F.count(F.when(F.col("depth") == last, 1)).alias("edge")))
+        new = stage(new)
+        m = obs.get
+        if m["rows"] == 0:
             break
-        levels.append(nxt)
-        visited = visited.unionByName(nxt.select(*key))
+        levels.append(new)
+        visited = visited.unionByName(new.select(*key))
         if len(levels) % RESTAGE_EVERY == 0:
             visited = stage(visited)
-        frontier = nxt
+        if m["edge"] == 0:
+            break
+        frontier = new.filter(F.col("depth") == last)
+        depth = last
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

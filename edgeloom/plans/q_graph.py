@@ -197,3 +197,33 @@ LEFT JOIN (SELECT seed, count(*) AS n FROM highlighted GROUP BY seed) h ON h.see
                                    "connected", "highlighted", "api_nodes"))
 def q_selection_indicators(c):
     return TR.selection_indicators(nodes_api(c), links_api(c), connected(c))
+
+
+# ------------------------------------------------------------ named search
+def _named(c):
+    if "named" not in c.memo:
+        seed = c.spark.range(1).select(F.lit(O.NAMED_NODE).alias("seed"))
+        c.memo["named"] = TR.bfs_both(links_api(c), seed, adj=adj(c))
+    return c.memo["named"]
+
+
+@register("search_named_levels", W("""
+SELECT u.seed, u.max_upstream, d.max_downstream, d.n_down, u.n_up FROM
+ (SELECT seed, CAST(max(depth) AS BIGINT) AS max_upstream, count(*) AS n_up FROM nbfs_up GROUP BY seed) u
+ JOIN (SELECT seed, CAST(max(depth) AS BIGINT) AS max_downstream, count(*) AS n_down FROM nbfs_down GROUP BY seed) d
+ ON u.seed = d.seed""", "nbfs_up", "nbfs_down"))
+def q_search_named_levels(c):
+    up, down = _named(c)
+    u = up.groupBy("seed").agg(F.max("depth").cast("long").alias("max_upstream"), F.count(F.lit(1)).alias("n_up"))
+    d = down.groupBy("seed").agg(F.max("depth").cast("long").alias("max_downstream"),
+                                 F.count(F.lit(1)).alias("n_down"))
+    return u.join(d, "seed").select("seed", "max_upstream", "max_downstream", "n_down", "n_up")
+
+
+@register("search_named", W(f"""
+SELECT c.seed AS search_target, {O.API_NODE_COLS} FROM api_nodes n
+JOIN (SELECT seed, node FROM nbfs_up UNION SELECT seed, node FROM nbfs_down) c ON c.node = n.id""",
+                           "api_nodes", "nbfs_up", "nbfs_down"))
+def q_search_named(c):
+    res = search_graph(c.g.nodes(), c.g.links(), O.NAMED_NODE, "all", c.as_of, adj=adj(c))
+    return res.nodes
