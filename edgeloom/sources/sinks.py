@@ -6,6 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_READY = "edgeloom.swap"
+
+
+def _swap_in(spark: SparkSession, staging: str, table: str) -> None:
+    """Replace ``table`` with the complete ``staging`` table, then drop it.
+
+    The staging table is marked ready only after it is fully written. If the
+    driver dies while the target is being overwritten, :func:`recover_swap`
+    finds the ready staging table and finishes the swap on the next write.
+    """
+    spark.sql(f"ALTER TABLE {staging} SET TBLPROPERTIES ('{_READY}' = 'ready')")
+    spark.table(staging).write.mode("overwrite").saveAsTable(table)
+    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    spark.catalog.refreshTable(table)
+
+
+def recover_swap(spark: SparkSession, table: str) -> None:
+    """Finish a swap that a dead driver left half done, or drop an incomplete staging table."""
+    staging = f"{table}__staging"
+    if not spark.catalog.tableExists(staging):
+        return
+    props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {staging}").collect()}
+    if props.get(_READY) == "ready":
+        _swap_in(spark, staging, table)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+
+
 def publish(df: DataFrame, name: str, global_view: bool = False) -> DataFrame:
     """Expose a stage by name (temp view) and return the view."""
     if global_view:
@@ -33,6 +61,7 @@ def save_or_upsert(df: DataFrame, table: str, keys: list[str], order_col: str,
     from edgeloom.operators.upsert import upsert, upsert_metrics
 
     spark = df.sparkSession
+    recover_swap(spark, table)
     if not spark.catalog.tableExists(table):
         df.write.saveAsTable(table)
         return {"inserted": None, "updated": None, "created": True}
@@ -51,19 +80,17 @@ def save_or_upsert(df: DataFrame, table: str, keys: list[str], order_col: str,
     merged = upsert(target, df, keys, order_col, null_safe)
     staging = f"{table}__staging"
     merged.write.mode("overwrite").saveAsTable(staging)
-    spark.table(staging).write.mode("overwrite").saveAsTable(table)
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    spark.catalog.refreshTable(table)
+    _swap_in(spark, staging, table)
     return {"inserted": counts.get("inserted", 0), "updated": counts.get("updated", 0), "created": False}
 
 
 def overwrite_via_staging(df: DataFrame, table: str) -> None:
     """Replace a table with a frame that may read it (purges, retention)."""
     spark = df.sparkSession
+    recover_swap(spark, table)
     staging = f"{table}__staging"
     df.write.mode("overwrite").saveAsTable(staging)
-    spark.table(staging).write.mode("overwrite").saveAsTable(table)
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    _swap_in(spark, staging, table)
 
 
 def _record(df: DataFrame) -> F.Column:

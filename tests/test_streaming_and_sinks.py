@@ -80,3 +80,22 @@ def test_publish_and_export(spark, tmp_path):
     assert back.count() == g.links().count()
     assert set(back.columns) == {"source", "target", "entity_path", "source_type", "target_type",
                                  "last_event_date", "lineage_source_table"}
+
+
+def test_recover_half_done_swap(spark, tmp_path):
+    from edgeloom.sources.sinks import overwrite_via_staging, recover_swap
+    ensure_schema(spark, "swap_t", str(tmp_path / "wh"))
+    a = spark.createDataFrame([(1,), (2,)], "x int")
+    b = spark.createDataFrame([(3,)], "x int")
+    overwrite_via_staging(a, "swap_t.t")
+    # a driver died after the staging table was complete, before the target was replaced
+    b.write.saveAsTable("swap_t.t__staging")
+    spark.sql("ALTER TABLE swap_t.t__staging SET TBLPROPERTIES ('edgeloom.swap' = 'ready')")
+    recover_swap(spark, "swap_t.t")
+    assert rows(table(spark, "swap_t.t")) == [(3,)]
+    assert not spark.catalog.tableExists("swap_t.t__staging")
+    # a driver died while writing the staging table: it is dropped, the target stays
+    a.write.saveAsTable("swap_t.t__staging")
+    recover_swap(spark, "swap_t.t")
+    assert rows(table(spark, "swap_t.t")) == [(3,)]
+    assert not spark.catalog.tableExists("swap_t.t__staging")
