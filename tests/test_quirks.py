@@ -124,8 +124,8 @@ def test_same_day_delete_kept(spark):
                                 ("main.s.u", T, "https://ws/explore/data/main/s/u", d("2024-01-24"), "table_lineage"),
                                 ("x", "NOTEBOOK", None, d("2024-01-01"), "table_lineage")], NODE_SCHEMA)
     audit = spark.createDataFrame([
-        (dt.datetime(2024, 1, 25), "deleteTable", "unityCatalog", "main.s.t", None, None, None, None, None),
-        (dt.datetime(2024, 1, 25), "deleteTable", "unityCatalog", "main.s.u", None, None, None, None, None),
+        (dt.datetime(2024, 1, 25), "deleteTable", "catalog", "main.s.t", None, None, None, None, None),
+        (dt.datetime(2024, 1, 25), "deleteTable", "catalog", "main.s.u", None, None, None, None, None),
     ], "event_time timestamp, action_name string, service_name string, full_name_arg string, job_id string, "
        "pipelineId string, notebookId string, dashboardId string, queryId string")
     dels = P.deletions(audit, "ws", AS_OF, 30)
@@ -219,8 +219,8 @@ def test_strict_schema_and_dashboard_deletes(spark):
         ("DASHBOARD-71", "DASHBOARD", "https://ws/sql/dashboards/71", d("2024-01-01"), "table_lineage"),
     ], NODE_SCHEMA)
     audit = spark.createDataFrame([
-        (dt.datetime(2024, 1, 25), "deleteSchema", "unityCatalog", "main.a_b", None, None, None, None, None),
-        (dt.datetime(2024, 1, 25), "deleteDashboard", "unityCatalog", None, None, None, None, "7", None),
+        (dt.datetime(2024, 1, 25), "deleteSchema", "catalog", "main.a_b", None, None, None, None, None),
+        (dt.datetime(2024, 1, 25), "deleteDashboard", "catalog", None, None, None, None, "7", None),
     ], "event_time timestamp, action_name string, service_name string, full_name_arg string, job_id string, "
        "pipelineId string, notebookId string, dashboardId string, queryId string")
     ref = rows(P.deleted_entities(nd, P.deletions(audit, "ws", AS_OF, 30)), "node")
