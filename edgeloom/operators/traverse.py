@@ -43,6 +43,10 @@ UP, DOWN = "up", "down"
 # and its steps are spread over several salted buckets.
 MIN_HOT_STEPS = 10_000
 MAX_SALTS = 64
+# Adjacency buckets are sized by data (about this many steps each), never more
+# than the shuffle partitions: the frontier is shuffled to the bucket count, so
+# a small graph is not spread over hundreds of near-empty tasks per level.
+STEPS_PER_BUCKET = 1_000_000
 
 
 @dataclass
@@ -75,10 +79,12 @@ def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst:
     adj = stage(links.select(F.inline(F.array(*parts)))
                 .filter(F.col("_from").isNotNull() & F.col("_to").isNotNull())
                 .distinct())
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     deg = adj.groupBy("_dir", "_from").agg(F.count(F.lit(1)).alias("_n"))
     total, top = deg.agg(F.sum("_n"), F.max("_n")).first()
-    share = max(MIN_HOT_STEPS, -(-(total or 0) // buckets))
+    total = total or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(partitions, -(-total // STEPS_PER_BUCKET)))
+    share = max(MIN_HOT_STEPS, -(-total // buckets))
     hot = None
     salt = F.lit(0)
     if top and top > share:
