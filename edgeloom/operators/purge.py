@@ -146,18 +146,24 @@ def id_facts(ids: DataFrame, col: str = "table_id") -> tuple[int, int]:
 
 def _not_in_flag(df: DataFrame, col: str, ids: DataFrame, facts: tuple[int, int], flag: str,
                  strict: bool) -> DataFrame:
-    """Add ``flag`` = ``col NOT IN (ids)`` is TRUE (SQL three-valued logic)."""
+    """Add ``flag`` = ``col NOT IN (ids)`` is TRUE (SQL three-valued logic).
+
+    ``strict``: values containing ``://`` (storage paths, never table ids)
+    are never flagged.
+    """
     n, z = facts
     if n == 0:
-        return df.withColumn(flag, F.lit(True))
-    if z > 0:
-        return df.withColumn(flag, F.lit(False))
-    known = ids.select(F.col("table_id").alias(col), F.lit(True).alias(f"_{flag}_in")).distinct()
-    out = df.join(known, col, "left")
-    missing = F.col(col).isNotNull() & F.col(f"_{flag}_in").isNull()
+        out, missing = df, F.lit(True)
+    elif z > 0:
+        out, missing = df, F.lit(False)
+    else:
+        known = ids.select(F.col("table_id").alias(col), F.lit(True).alias(f"_{flag}_in")).distinct()
+        out = df.join(known, col, "left")
+        missing = F.col(col).isNotNull() & F.col(f"_{flag}_in").isNull()
     if strict:
-        missing = missing & ~F.col(col).contains("://")
-    return out.withColumn(flag, missing).drop(f"_{flag}_in")
+        missing = missing & F.coalesce(~F.col(col).contains("://"), F.lit(True))
+    out = out.withColumn(flag, missing)
+    return out.drop(f"_{flag}_in") if f"_{flag}_in" in out.columns else out
 
 
 def drop_orphan_links(links: DataFrame, ids: DataFrame, mode: str = "reference") -> DataFrame:

@@ -280,3 +280,50 @@ def q_create_if_absent(c):
     if not c.spark.catalog.tableExists(table):
         save_or_upsert(batch(c, "target").links(), table, U.LINK_KEYS, U.ORDER_COL)
     return c.spark.table(table)
+
+
+# ------------------------------------------------------------- strict mode
+@register("deleted_entities_strict", W(
+    "SELECT node, node_type, entity_path, action_name, schema_table_name FROM deleted_strict", "deleted_strict"))
+def q_deleted_entities_strict(c):
+    d = P.deletions(audit_flat(c), c.host, c.as_of, c.days, "strict")
+    return P.deleted_entities(c.g.nodes(), d, "strict")
+
+
+def _strict_orphan(col, typ):
+    return (f"({typ} = {T} AND {col} NOT IN (SELECT table_id FROM valid_ids) "
+            f"AND NOT coalesce(contains({col}, '://'), false))")
+
+
+@register("delete_orphan_links_strict", W(f"""
+SELECT {O.LINK_COLS} FROM links
+WHERE ({_strict_orphan('source_node', 'source_node_type')} OR {_strict_orphan('target_node', 'target_node_type')})
+      IS NOT TRUE""", "links", "valid_ids"))
+def q_delete_orphan_links_strict(c):
+    return P.drop_orphan_links(c.g.links(), ids(c), "strict")
+
+
+@register("delete_orphan_nodes_strict", W(f"""
+SELECT {O.NODE_COLS} FROM nodes WHERE {_strict_orphan('node', 'node_type')} IS NOT TRUE""", "nodes", "valid_ids"))
+def q_delete_orphan_nodes_strict(c):
+    return P.drop_orphan_nodes(c.g.nodes(), ids(c), "strict")
+
+
+def _merge_sql_ns(table, keys, cols):
+    on = " AND ".join(f"t.{k} IS NOT DISTINCT FROM s.{k}" for k in keys)
+    take_s = "t.p IS NULL OR (s.p IS NOT NULL AND t.last_event_date <= s.last_event_date)"
+    sel = ", ".join(
+        (f"CAST(CASE WHEN {take_s} THEN s.{c} ELSE t.{c} END AS VARCHAR) AS {c}" if c == "last_event_date"
+         else f"CASE WHEN {take_s} THEN s.{c} ELSE t.{c} END AS {c}") for c in cols)
+    return f"""SELECT {sel} FROM (SELECT *, 1 AS p FROM t_{table}) t
+FULL OUTER JOIN (SELECT *, 1 AS p FROM s_{table}) s ON {on}"""
+
+
+@register("links_upsert_strict", W(_merge_sql_ns("links", U.LINK_KEYS, _LCOLS), "t_links", "s_links"))
+def q_links_upsert_strict(c):
+    return U.upsert(batch(c, "target").links(), batch(c, "source").links(), U.LINK_KEYS, null_safe=True)
+
+
+@register("nodes_upsert_strict", W(_merge_sql_ns("nodes", U.NODE_KEYS, _NCOLS), "t_nodes", "s_nodes"))
+def q_nodes_upsert_strict(c):
+    return U.upsert(batch(c, "target").nodes(), batch(c, "source").nodes(), U.NODE_KEYS, null_safe=True)
