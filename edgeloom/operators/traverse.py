@@ -19,8 +19,8 @@ Scale notes:
 * one job advances ``HOPS_PER_JOB`` levels and its new keys are staged to the
   checkpoint folder: they are independent of their lineage, so a lost
   executor recomputes at most one job's levels, not the whole search;
-* the visited set is the union of staged levels and is re-staged every
-  ``RESTAGE_EVERY`` levels to keep plans short on deep graphs.
+* the visited set is the union of the staged jobs' keys and is re-staged every
+  ``RESTAGE_EVERY`` jobs to keep plans short on deep graphs.
 """
 
 from __future__ import annotations
@@ -199,8 +199,8 @@ def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src:
 
 def bfs_both(links: DataFrame, seeds: DataFrame, up_limit: str | None = None, down_limit: str | None = None,
              src: str = "source", dst: str = "target", adj: Adjacency | None = None):
-    """Upstream and downstream searches advanced together, one job per level
-    for both: returns ``(up, down)`` frames of ``(seed, node, depth)``.
+    """Upstream and downstream searches advanced together (the same jobs serve
+    both directions): returns ``(up, down)`` frames of ``(seed, node, depth)``.
 
     ``up_limit`` / ``down_limit`` name per-seed bound columns of ``seeds``.
     """

@@ -22,7 +22,7 @@ def audit_flat(c):
 
 
 def dels(c):
-    return c.once("deletions", lambda: P.deletions(audit_flat(c), c.host, c.as_of, c.days))
+    return c.once("deletions", lambda: P.deletions(audit_flat(c), c.host, c.as_of, c.days), stage=False)
 
 
 def ids(c):
