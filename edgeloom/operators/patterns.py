@@ -1,17 +1,26 @@
 """Joins on ``value LIKE pattern`` where the pattern is a column.
 
 Spark plans a non-equi join condition as a nested-loop join, which compares
-every value with every pattern. Here each pattern is placed in a bucket by its
-literal prefix (the text before its first wildcard): a bucket level is the
-largest of ``LEVELS`` not longer than that prefix, and the bucket key is the
-prefix cut to that length. Each value is listed once per level with its own
-first characters as key. A value can only match a pattern whose literal
-prefix it starts with, so joining on (level, key) and then applying LIKE
-gives exactly the nested-loop result, while the equi join is hash-partitioned
-(or broadcasts the pattern side when AQE finds it small).
-
-Level 0 (empty key) holds patterns that start with a wildcard; those must be
-compared with every value, as in any LIKE join.
+every value with every pattern. Here each pattern gets a bucket key from one
+of its literal ends: the text before its first wildcard (prefix) or after its
+last one (suffix), whichever is longer. A value can only match a pattern if
+it starts with the pattern's literal prefix and ends with its literal suffix,
+so comparing the value's own first (or last) characters with the key loses
+no match. Keys are cut to a level, the largest of ``LEVELS`` not longer than
+the literal end, and each value is listed once per (end, level) that some
+pattern uses. Joining on (end, level, key) and then applying LIKE gives
+exactly the nested-loop result, while the join is hash-partitioned (or
+broadcast by AQE when the patterns are few).
+
+The suffix matters for patterns such as ``.../dashboards%/<id>``: their
+prefix is shared by every pattern, their suffix is selective. LIKE itself
+runs once per distinct (value, pattern) pair; the matches are joined back to
+the rows with equi joins, so repeated patterns and repeated values cost
+nothing extra.
+
+A pattern that starts and ends with a wildcard and has no literal end (such
+as ``%x%``) falls in level 0 with an empty key and is compared with every
+value, as in any LIKE join.
 """
 
 from __future__ import annotations
@@ -19,7 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.session import stage
+
 LEVELS = (0, 4, 8, 16, 32, 64, 128)
+PREFIX, SUFFIX = 0, 1
 
 
 def literal_prefix(pattern: Column) -> Column:
@@ -27,6 +39,11 @@ def literal_prefix(pattern: Column) -> Column:
     return F.regexp_extract(pattern, r"^([^%_\\]*)", 1)
 
 
+def literal_suffix(pattern: Column) -> Column:
+    """Text after the last ``%``, ``_`` or escape character."""
+    return F.regexp_extract(pattern, r"([^%_\\]*)$", 1)
+
+
 def _level(n: Column) -> Column:
     expr = None
     for lv in sorted(LEVELS, reverse=True):
@@ -37,32 +54,55 @@ def _level(n: Column) -> Column:
 
 
 def bucket_patterns(patterns: DataFrame, pattern_col: str) -> DataFrame:
-    lit = literal_prefix(F.col(pattern_col))
-    lvl = _level(F.length(lit))
-    return patterns.withColumn("_lvl", lvl).withColumn("_bkey", lit.substr(F.lit(1), lvl))
-
-
-def bucket_values(values: DataFrame, value_col: str, levels=LEVELS) -> DataFrame:
+    # Each step refers to the previous columns by name, so every regex runs once
+    # per pattern (nested expression trees would repeat them in every branch).
+    p = F.col(pattern_col)
+    return (patterns
+            .withColumn("_pre", literal_prefix(p))
+            .withColumn("_suf", literal_suffix(p))
+            .withColumn("_end", F.when(F.length("_suf") > F.length("_pre"), F.lit(SUFFIX)).otherwise(F.lit(PREFIX)))
+            .withColumn("_lit", F.when(F.col("_end") == SUFFIX, F.col("_suf")).otherwise(F.col("_pre")))
+            .withColumn("_lvl", _level(F.length("_lit")))
+            .withColumn("_bkey", F.when(F.col("_end") == SUFFIX, F.right("_lit", "_lvl"))
+                        .otherwise(F.left("_lit", "_lvl")))
+            .drop("_pre", "_suf", "_lit"))
+
+
+def bucket_values(values: DataFrame, value_col: str, used) -> DataFrame:
+    """One row per (end, level) in ``used`` with the value's own key."""
     v = F.col(value_col)
-    keys = F.array(*[F.struct(F.lit(lv).alias("_lvl"), F.substring(v, 1, lv).alias("_bkey")) for lv in levels])
+    keys = F.array(*[F.struct(F.lit(end).alias("_end"), F.lit(lv).alias("_lvl"),
+                              (F.left(v, F.lit(lv)) if end == PREFIX else F.right(v, F.lit(lv))).alias("_bkey"))
+                     for end, lv in used])
     return values.select("*", F.inline(keys))
 
 
+def like_pairs(values: DataFrame, value_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
+    """Distinct ``(value, pattern)`` pairs with ``value LIKE pattern``."""
+    # NULL values or patterns never satisfy LIKE.
+    v = values.select(value_col).filter(F.col(value_col).isNotNull()).distinct()
+    p = patterns.select(pattern_col).filter(F.col(pattern_col).isNotNull()).distinct()
+    # The bucketed patterns (one row per distinct pattern) are staged: the
+    # level lookup below reads them anyway, and the join then sees a plain scan
+    # instead of the expressions that derived the patterns, which Catalyst's
+    # constraint propagation would otherwise copy across the join keys.
+    bp = stage(bucket_patterns(p, pattern_col))
+    # Values are listed only at the (end, level) pairs some pattern uses: at
+    # most 2 * len(LEVELS) numbers reach the driver. Otherwise the empty
+    # level-0 key would gather every value under one join key.
+    used = sorted((r[0], r[1]) for r in bp.select("_end", "_lvl").distinct().collect()) or [(PREFIX, 0)]
+    bv = bucket_values(v, value_col, used)
+    return (bv.join(bp, ["_end", "_lvl", "_bkey"])
+            .filter(F.like(F.col(value_col), F.col(pattern_col)))
+            .select(value_col, pattern_col))
+
+
 def like_join(values: DataFrame, value_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
     """Inner join of ``values`` and ``patterns`` on ``values.value_col LIKE patterns.pattern_col``."""
-    # NULL values or patterns never satisfy LIKE.
-    bp = bucket_patterns(patterns.filter(F.col(pattern_col).isNotNull()), pattern_col)
-    # Values are listed only at levels some pattern uses (at most len(LEVELS)
-    # numbers reach the driver); otherwise the empty level-0 key would gather
-    # every value under one join key.
-    used = sorted(r[0] for r in bp.select("_lvl").distinct().collect()) or [0]
-    bv = bucket_values(values.filter(F.col(value_col).isNotNull()), value_col, used)
-    joined = bv.join(bp, ["_lvl", "_bkey"])
-    return joined.filter(F.like(F.col(value_col), F.col(pattern_col))).drop("_lvl", "_bkey")
+    pairs = like_pairs(values, value_col, patterns, pattern_col)
+    return values.join(pairs, value_col).join(patterns, pattern_col)
 
 
 def like_semi_values(values: DataFrame, value_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
     """Distinct values of ``value_col`` matched by at least one pattern."""
-    v = values.select(value_col).filter(F.col(value_col).isNotNull()).distinct()
-    p = patterns.select(pattern_col).filter(F.col(pattern_col).isNotNull()).distinct()
-    return like_join(v, value_col, p, pattern_col).select(value_col).distinct()
+    return like_pairs(values, value_col, patterns, pattern_col).select(value_col).distinct()

@@ -22,7 +22,7 @@ def audit_flat(c):
 
 
 def dels(c):
-    return c.once("deletions", lambda: P.deletions(audit_flat(c), c.host, c.as_of, c.days), stage=False)
+    return c.once("deletions", lambda: P.deletions(audit_flat(c), c.host, c.as_of, c.days))
 
 
 def ids(c):
@@ -286,7 +286,7 @@ def q_create_if_absent(c):
 @register("deleted_entities_strict", W(
     "SELECT node, node_type, entity_path, action_name, schema_table_name FROM deleted_strict", "deleted_strict"))
 def q_deleted_entities_strict(c):
-    d = P.deletions(audit_flat(c), c.host, c.as_of, c.days, "strict")
+    d = c.once("deletions_strict", lambda: P.deletions(audit_flat(c), c.host, c.as_of, c.days, "strict"))
     return P.deleted_entities(c.g.nodes(), d, "strict")
 
 

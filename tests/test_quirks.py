@@ -93,7 +93,10 @@ def test_like_join_equals_nested_loop(spark):
     vals = spark.createDataFrame([(f"https://ws/explore/data/c{i % 3}/s{i % 7}/t{i}",) for i in range(60)] + [(None,)],
                                  "v string")
     pats = spark.createDataFrame([("https://ws/explore/data/c1/s2/%",), ("%/t1%",), ("https://ws/explore/data/c_/s3%",),
-                                  ("https://ws/explore/data/c2/s4/t4",), (None,), ("h%",)], "p string")
+                                  ("https://ws/explore/data/c2/s4/t4",), (None,), ("h%",),
+                                  # suffix-selective patterns (bucketed by their literal end)
+                                  ("%s3/t10",), ("https://ws/%/t17",), ("h%_/t2",), ("%c1/s1/t%2",),
+                                  ("https://ws/explore/data/c1/s2/%",)], "p string")
     fast = rows(like_join(vals, "v", pats, "p"), "v", "p")
     slow = rows(vals.join(pats, F.expr("v LIKE p")), "v", "p")
     assert fast == slow and len(fast) > 60
