@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from edgeloom.session import stage
 
-LEVELS = (0, 4, 8, 16, 32, 64, 128)
+# Key lengths: every even length up to 32 (a short literal such as a schema
+# name loses at most one character of selectivity), coarser beyond.
+LEVELS = (0,) + tuple(range(2, 33, 2)) + (40, 48, 56, 64, 96, 128)
 PREFIX, SUFFIX = 0, 1
 
 
@@ -88,8 +90,8 @@ def like_pairs(values: DataFrame, value_col: str, patterns: DataFrame, pattern_c
     # constraint propagation would otherwise copy across the join keys.
     bp = stage(bucket_patterns(p, pattern_col))
     # Values are listed only at the (end, level) pairs some pattern uses: at
-    # most 2 * len(LEVELS) numbers reach the driver. Otherwise the empty
-    # level-0 key would gather every value under one join key.
+    # most 2 * len(LEVELS) pairs of numbers reach the driver. Otherwise the
+    # empty level-0 key would gather every value under one join key.
     used = sorted((r[0], r[1]) for r in bp.select("_end", "_lvl").distinct().collect()) or [(PREFIX, 0)]
     bv = bucket_values(v, value_col, used)
     return (bv.join(bp, ["_end", "_lvl", "_bkey"])

@@ -181,6 +181,7 @@ def test_synthetic_dag_links_go_forward(spark):
 
 def test_hub_is_salted_and_bfs_stays_exact(spark, monkeypatch):
     monkeypatch.setattr(TR, "MIN_HOT_STEPS", 4)
+    monkeypatch.setattr(TR, "STEPS_PER_BUCKET", 50)  # several buckets even for this small graph
     # the hub holds most of the steps (far more than an average bucket)
     edges = [("hub", f"l{i}") for i in range(100)] + [(f"l{i}", f"m{i % 5}") for i in range(10)] + [("r", "hub")]
     la = api(spark, edges)
