@@ -46,6 +46,21 @@ DELETE_ACTIONS = (
     "delete",
 )
 LIKE_DELETE_ACTIONS = ("deleteSchema", "deleteDashboard")
+# Where a deletion of a non-table asset points, per audit action:
+# the URL path after "https://<host>" and the request parameter holding the id.
+# The dashboard path is a LIKE pattern covering both dashboard URL forms, and
+# "delete" counts only when it comes from the jobs service.
+DELETE_URL_PATHS = (
+    ("delete", "/jobs/", "job_id"),
+    ("deletePipeline", "/pipelines/", "pipelineId"),
+    ("deleteNotebook", "/#notebook/", "notebookId"),
+    ("deleteDashboard", "/sql/dashboards%/", "dashboardId"),
+    ("deleteQuery", "/editor/queries/uuid/", "queryId"),
+    ("deleteQueryDraft", "/editor/queries/uuid/", "queryId"),
+)
+JOBS_SERVICE = "jobs"
+# The two exact dashboard URL forms (strict mode matches these).
+DASHBOARD_URL_FORMS = ("/sql/dashboards/", "/sql/dashboardsv3/")
 
 # Fixed value: last_altered stamped on legacy tables (Python's datetime.max).
 LEGACY_LAST_ALTERED = "9999-12-31 23:59:59.999999"

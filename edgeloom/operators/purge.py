@@ -15,7 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.columns import as_col, explore_prefix, window_start
-from edgeloom.functions.constants import DELETE_ACTIONS, LIKE_DELETE_ACTIONS, TABLE_NODE_TYPE
+from edgeloom.functions.constants import (
+    DASHBOARD_URL_FORMS,
+    DELETE_ACTIONS,
+    DELETE_URL_PATHS,
+    JOBS_SERVICE,
+    LIKE_DELETE_ACTIONS,
+    TABLE_NODE_TYPE,
+)
 from edgeloom.operators.patterns import like_join, like_semi_values
 
 
@@ -50,16 +57,12 @@ def deleted_path(action, service, params: dict, host: str, mode: str = "referenc
     ex = explore_prefix(host)
     dotted = F.replace(p["full_name_arg"], F.lit("."), F.lit("/"))
     schema_dir = dotted if mode == "reference" else escape_like(dotted)
-    return (
-        F.when(a == "deleteTable", F.concat(F.lit(ex), dotted))
-        .when(a == "deleteSchema", F.concat(F.lit(ex), schema_dir, F.lit("/%")))
-        .when((a == "delete") & (s == "jobs"), F.concat(F.lit(f"https://{host}/jobs/"), p["job_id"]))
-        .when(a == "deletePipeline", F.concat(F.lit(f"https://{host}/pipelines/"), p["pipelineId"]))
-        .when(a == "deleteNotebook", F.concat(F.lit(f"https://{host}/#notebook/"), p["notebookId"]))
-        .when(a == "deleteDashboard", F.concat(F.lit(f"https://{host}/sql/dashboards%/"), p["dashboardId"]))
-        .when(a.isin("deleteQuery", "deleteQueryDraft"),
-              F.concat(F.lit(f"https://{host}/editor/queries/uuid/"), p["queryId"]))
-    )
+    expr = (F.when(a == "deleteTable", F.concat(F.lit(ex), dotted))
+            .when(a == "deleteSchema", F.concat(F.lit(ex), schema_dir, F.lit("/%"))))
+    for act, path, param in DELETE_URL_PATHS:
+        cond = (a == act) & (s == JOBS_SERVICE) if act == "delete" else a == act
+        expr = expr.when(cond, F.concat(F.lit(f"https://{host}{path}"), p[param]))
+    return expr
 
 
 def filter_deletes(audit: DataFrame, as_of, days: int) -> DataFrame:
@@ -85,7 +88,7 @@ def deletions(audit_flat: DataFrame, host: str, as_of, days: int, mode: str = "r
     )
     if mode == "strict":
         forms = F.array(*[F.concat(F.lit(f"https://{host}{p}"), F.col("dashboardId"))
-                          for p in ("/sql/dashboards/", "/sql/dashboardsv3/")])
+                          for p in DASHBOARD_URL_FORMS])
         dash = out.filter(F.col("action_name") == "deleteDashboard").withColumn("deleted_entity_path",
                                                                                F.explode(forms))
         out = out.filter(~F.coalesce(F.col("action_name") == "deleteDashboard", F.lit(False))).unionByName(dash)

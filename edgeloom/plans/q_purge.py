@@ -81,15 +81,7 @@ def q_deleted_name(c):
 
 
 @register("deleted_path", W(f"""
-SELECT action_name, service_name,
-  CASE WHEN action_name = 'deleteTable' THEN '{O.EXPLORE}' || replace(full_name_arg, '.', '/')
-       WHEN action_name = 'deleteSchema' THEN '{O.EXPLORE}' || replace(full_name_arg, '.', '/') || '/%'
-       WHEN action_name = 'delete' AND service_name = 'jobs' THEN 'https://ws/jobs/' || object_id
-       WHEN action_name = 'deletePipeline' THEN 'https://ws/pipelines/' || object_id
-       WHEN action_name = 'deleteNotebook' THEN 'https://ws/#notebook/' || object_id
-       WHEN action_name = 'deleteDashboard' THEN 'https://ws/sql/dashboards%/' || object_id
-       WHEN action_name IN ('deleteQuery', 'deleteQueryDraft') THEN 'https://ws/editor/queries/uuid/' || object_id
-  END AS deleted_entity_path
+SELECT action_name, service_name, {O.deleted_path_sql()} AS deleted_entity_path
 FROM audit_fx""", "audit_fx"))
 def q_deleted_path(c):
     a = audit_flat(c)
