@@ -52,3 +52,25 @@ def test_graph_then_purge_job(spark, tmp_path):
     assert out["links"]["total_deleted"] == n_links - len(want_links)
     assert out["nodes"]["total_deleted"] == n_nodes - len(want_nodes)
     assert table(spark, "jobs_t.valid_ids").count() == ids.count()
+
+
+def test_cli_runs_both_jobs(spark, tmp_path):
+    from edgeloom.plans.cli import main
+    fx = Fixture(spark, SF)
+    ensure_schema(spark, "cli_t", str(tmp_path / "wh"))
+    uc, hms = S.split_by_tag(fx.events())
+    uc.write.saveAsTable("cli_t.uc_log")
+    hms.write.saveAsTable("cli_t.hms_log")
+    fx.inventory().write.saveAsTable("cli_t.inventory")
+    fx.legacy().write.saveAsTable("cli_t.legacy")
+    legacy_inventory_source(fx.table("supplier")).write.saveAsTable("cli_t.legacy_source")
+    fx.audit().write.saveAsTable("cli_t.audit")
+    common = ["--links", "cli_t.links", "--nodes", "cli_t.nodes", "--inventory", "cli_t.inventory",
+              "--host", HOST, "--days", str(OFFSET_DAYS), "--as-of", AS_OF.isoformat(), "--workspace", WORKSPACE]
+    out = main(["graph", *common, "--uc-log", "cli_t.uc_log", "--hms-log", "cli_t.hms_log",
+                "--legacy", "cli_t.legacy"], spark=spark)
+    assert out["links"]["created"] and out["nodes"]["created"]
+    g = GraphBuild(fx.events(), BuildParams(WORKSPACE, HOST, AS_OF, OFFSET_DAYS), fx.inventory(), fx.legacy())
+    assert table(spark, "cli_t.links").count() == g.links().count()
+    out = main(["purge", *common, "--audit", "cli_t.audit", "--legacy-source", "cli_t.legacy_source"], spark=spark)
+    assert out["links"]["total_deleted"] > 0 and out["nodes"]["total_deleted"] > 0
