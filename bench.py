@@ -47,8 +47,11 @@ def main() -> None:
     from edgeloom.plans import registry
     from edgeloom.session import get_spark
 
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(cpus, 8),
-                      extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    for kv in filter(None, os.environ.get("BENCH_EXTRA_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        extra[k] = v
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), extra=extra)
     registry.load_all()
     registry.MATERIALIZE = os.environ.get("BENCH_MATERIALIZE", "1") == "1"
     qs = registry.queries()
