@@ -55,3 +55,74 @@ def full_graph(nodes: DataFrame, links: DataFrame, source: str | None, as_of,
                mode: str = "reference") -> tuple[DataFrame, DataFrame]:
     """All served nodes and links for one source filter."""
     return api_nodes(nodes, links, source, as_of, mode), api_links(links, source)
+
+
+@dataclass
+class GraphIndex:
+    """One graph prepared for many questions, as the served app uses it.
+
+    ``build`` stages the served node and link frames and the traversal
+    adjacency once; every search, suggestion or selection afterwards reads
+    them, so a question costs only its own BFS jobs and joins.
+    """
+
+    nodes: DataFrame   # served nodes (api_nodes) for the source filter
+    links: DataFrame   # served links (api_links) for the source filter
+    adj: TR.Adjacency
+    source: str | None
+    mode: str = "reference"
+
+    @classmethod
+    def build(cls, nodes: DataFrame, links: DataFrame, source: str | None, as_of,
+              mode: str = "reference") -> GraphIndex:
+        from edgeloom.session import stage
+        na = stage(api_nodes(nodes, links, source, as_of, mode))
+        la = stage(api_links(links, source))
+        return cls(na, la, TR.adjacency(la), source, mode)
+
+    def most_connected(self) -> DataFrame:
+        """The start node of a default search (degree over the filtered links)."""
+        renamed = self.links.select(F.col("source").alias("source_node"), F.col("target").alias("target_node"))
+        return TR.seeds_of(most_connected(renamed, self.mode))
+
+    def search_many(self, seeds: DataFrame) -> SearchResult:
+        """Search payloads for many start nodes at once (column ``seed``)."""
+        up, down = TR.bfs_both(self.links, seeds, adj=self.adj)
+        cl = TR.closure(up, down)
+        out_nodes = (self.nodes.join(cl.select(F.col("seed").alias("search_target"), F.col("node").alias("id")),
+                                     "id")
+                     .select("search_target", *self.nodes.columns))
+        out_links = TR.traversed_links(self.links, up, down).withColumnRenamed("seed", "search_target")
+        return SearchResult(out_nodes, out_links, node_index(self.nodes), seeds.withColumnRenamed("seed",
+                                                                                                  "search_target"))
+
+    def search(self, node_id: str) -> SearchResult:
+        """Payload for one node, or for the most connected node with ``most_connected``."""
+        if node_id == MOST_CONNECTED:
+            seeds = self.most_connected()
+        else:
+            seeds = self.links.sparkSession.range(1).select(F.lit(node_id).cast("string").alias("seed"))
+        return self.search_many(seeds)
+
+    def suggest(self, text: str, n: int | None = None) -> DataFrame:
+        from edgeloom.operators.serve import suggest
+        return suggest(node_index(self.nodes), text) if n is None else suggest(node_index(self.nodes), text, n)
+
+    def levels(self, seeds: DataFrame) -> DataFrame:
+        return TR.max_levels(self.links, seeds, adj=self.adj)
+
+    def selection(self, seeds: DataFrame, up_level=None, down_level=None) -> dict:
+        """What selecting nodes shows: default (or given) levels, the connected
+        set, its highlighted links and the indicators."""
+        lv = TR.default_levels(self.levels(seeds))
+        if up_level is not None or down_level is not None:
+            req = seeds.select("seed", F.lit(up_level).cast("long").alias("requested_up"),
+                               F.lit(down_level).cast("long").alias("requested_down"))
+            lv = TR.clamp_levels(req, self.levels(seeds)).select("seed", "up_level", "down_level")
+        connected = TR.connected_nodes(self.links, lv, adj=self.adj)
+        return {
+            "levels": lv,
+            "connected": connected,
+            "highlighted_links": TR.highlighted_links(self.links, connected),
+            "indicators": TR.selection_indicators(self.nodes, self.links, connected),
+        }

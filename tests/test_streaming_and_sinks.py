@@ -99,3 +99,22 @@ def test_recover_half_done_swap(spark, tmp_path):
     recover_swap(spark, "swap_t.t")
     assert rows(table(spark, "swap_t.t")) == [(3,)]
     assert not spark.catalog.tableExists("swap_t.t__staging")
+
+
+def test_graph_index_matches_one_off_search(spark):
+    from edgeloom.plans.search import GraphIndex, search_graph
+    fx = Fixture(spark, SF)
+    g = GraphBuild(fx.events(), BuildParams(WORKSPACE, HOST, AS_OF, OFFSET_DAYS), fx.inventory(), fx.legacy())
+    idx = GraphIndex.build(g.nodes(), g.links(), "all", AS_OF)
+    one = search_graph(g.nodes(), g.links(), "most_connected", "all", AS_OF)
+    res = idx.search("most_connected")
+    assert rows(res.nodes) == rows(one.nodes) and rows(res.links) == rows(one.links)
+    named = idx.search("main.s0.t0")
+    assert rows(named.nodes) == rows(search_graph(g.nodes(), g.links(), "main.s0.t0", "all", AS_OF).nodes)
+    seeds = spark.createDataFrame([("main.s0.t0",), ("main.s1.t1",)], "seed string")
+    many = idx.search_many(seeds)
+    assert {r.search_target for r in many.nodes.select("search_target").distinct().collect()} <= {"main.s0.t0",
+                                                                                                 "main.s1.t1"}
+    sel = idx.selection(seeds)
+    assert sel["indicators"].count() == sel["connected"].select("seed").distinct().count()
+    assert idx.suggest("s1.t1").count() <= 5
