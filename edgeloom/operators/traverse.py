@@ -19,8 +19,10 @@ Scale notes:
 * one job advances ``HOPS_PER_JOB`` levels and its new keys are staged to the
   checkpoint folder: they are independent of their lineage, so a lost
   executor recomputes at most one job's levels, not the whole search;
-* the visited set is the union of the staged jobs' keys and is re-staged every
-  ``RESTAGE_EVERY`` jobs to keep plans short on deep graphs.
+* the visited set is the union of the staged jobs' keys, re-staged every
+  ``RESTAGE_EVERY`` jobs to keep plans short on deep graphs; once it passes
+  ``VISITED_BUCKET_ROWS`` keys it is re-staged after every job as a table
+  bucketed by the BFS key, so the per-hop anti join shuffles neither side.
 """
 
 from __future__ import annotations
@@ -47,6 +49,12 @@ MAX_SALTS = 64
 # than the shuffle partitions: the frontier is shuffled to the bucket count, so
 # a small graph is not spread over hundreds of near-empty tasks per level.
 STEPS_PER_BUCKET = 1_000_000
+# Past this many visited keys the visited set is re-staged after every job as a
+# table bucketed by the BFS key (one bucket per shuffle partition): the per-hop
+# distinct already hash-partitions the candidates on that key, so the anti join
+# reads both sides in place instead of shuffling the visited set on every hop.
+# Below it, AQE broadcasts the (small) visited set.
+VISITED_BUCKET_ROWS = 5_000_000
 
 
 @dataclass
@@ -131,9 +139,12 @@ def _expand(adj: Adjacency, start: DataFrame, max_depth=None, hops: int | None =
     """
     hops = max(1, int(hops or HOPS_PER_JOB))
     key = ["seed", "_dir", "node"]
-    frontier = stage(start)
+    obs0 = Observation("bfs_start")
+    frontier = stage(start.observe(obs0, F.count(F.lit(1)).alias("rows")))
+    n_visited = obs0.get["rows"]
     levels = [frontier]
     visited = frontier.select(*key)
+    bucketed = False
     scalar = _bound(max_depth)
     depth = 0
     steps = adj.steps
@@ -161,8 +172,12 @@ def _expand(adj: Adjacency, start: DataFrame, max_depth=None, hops: int | None =
         if m["rows"] == 0:
             break
         levels.append(new)
+        n_visited += m["rows"]
         visited = visited.unionByName(new.select(*key))
-        if len(levels) % RESTAGE_EVERY == 0:
+        if n_visited > VISITED_BUCKET_ROWS:
+            visited = stage_bucketed(visited, key)
+            bucketed = True
+        elif not bucketed and len(levels) % RESTAGE_EVERY == 0:
             visited = stage(visited)
         if m["edge"] == 0:
             break
