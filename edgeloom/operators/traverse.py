@@ -198,22 +198,23 @@ def _start(seeds: DataFrame, direction: str, limit_col: str | None) -> DataFrame
 
 
 def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src: str = "source",
-        dst: str = "target", adj: Adjacency | None = None) -> DataFrame:
+        dst: str = "target", adj: Adjacency | None = None, hops: int | None = None) -> DataFrame:
     """Nodes reachable from each seed with their hop count (start included, depth 0).
 
     ``direction`` ``down`` follows links source -> target, ``up`` goes against
     them. ``max_depth``: ``None`` = unbounded; an int stops expanding at that
     depth (0 or less = the start only). If ``seeds`` has a ``max_depth``
     column, each seed gets its own bound (NULL = unbounded), carried along the
-    frontier so no bound is gathered to the driver.
+    frontier so no bound is gathered to the driver. ``hops``: BFS levels per
+    Spark job (default ``HOPS_PER_JOB``; 1 keeps every hop's work minimal).
     """
     adj = adj if adj is not None else adjacency(links, direction, src, dst)
-    res = _expand(adj, _start(seeds, direction, "max_depth"), max_depth)
+    res = _expand(adj, _start(seeds, direction, "max_depth"), max_depth, hops)
     return res.select("seed", "node", "depth")
 
 
 def bfs_both(links: DataFrame, seeds: DataFrame, up_limit: str | None = None, down_limit: str | None = None,
-             src: str = "source", dst: str = "target", adj: Adjacency | None = None):
+             src: str = "source", dst: str = "target", adj: Adjacency | None = None, hops: int | None = None):
     """Upstream and downstream searches advanced together (the same jobs serve
     both directions): returns ``(up, down)`` frames of ``(seed, node, depth)``.
 
@@ -221,7 +222,7 @@ def bfs_both(links: DataFrame, seeds: DataFrame, up_limit: str | None = None, do
     """
     adj = adj if adj is not None else adjacency(links, (DOWN, UP), src, dst)
     start = _start(seeds, UP, up_limit).unionByName(_start(seeds, DOWN, down_limit))
-    res = _expand(adj, start)
+    res = _expand(adj, start, hops=hops)
     up = res.filter(F.col("_dir") == UP).select("seed", "node", "depth")
     down = res.filter(F.col("_dir") == DOWN).select("seed", "node", "depth")
     return up, down
