@@ -39,6 +39,33 @@ def summarize(plan: str) -> tuple[int, str, int, str]:
     return shuffles, ", ".join(f"{a} {b}" for a, b in joins) or "-", partial, "<br>".join(sorted(scans))
 
 
+NOTES = """
+## Reading the plans at scale
+
+- **edges**: two shuffles, both after a map-side partial aggregate (the
+  grouped max, then the distinct of the exploded edge legs). Only the window's
+  row groups and 5 event columns are read; with the log partitioned by
+  `event_date` the window is a partition filter.
+- **objects, links, two-cycle break, degrees**: one shuffle each, again after
+  partial aggregation, so a hot table or entity (a third of all events)
+  contributes one partial row per task. `links_raw` joins the staged edges
+  with the staged objects; AQE broadcasts objects while they are small, and
+  otherwise it is a sort-merge join with skew splitting.
+- **nodes**: anti joins against the event nodes plus one distinct over the
+  union; inventories are read with their filters pushed down.
+- **bfs level**: the adjacency is a bucketed table, so only the frontier moves
+  (or is broadcast); the anti join against the visited set is broadcast while
+  that set is small and is bucket-to-bucket once it is large.
+- **deleted_entities / match_deleted_links**: equi joins plus the bucketed LIKE
+  join; no nested-loop join. The bucketed pattern side is staged, so these
+  plans stay small.
+- **drop_orphan_links**: one join per endpoint with the valid ids, guarded by
+  the two facts that fix `NOT IN` semantics.
+- **links_upsert**: one full outer join on the merge keys (unique per side, so
+  no key is hot), which yields both the merged table and its metrics.
+"""
+
+
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     from pyspark.sql import functions as F
@@ -104,6 +131,7 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
         sh, jn, pa, sc = summarize(explain(df))
         print(f"| {name} | {sh} | {jn} | {pa} | {sc} |")
+    print(NOTES)
     spark.stop()
 
 
