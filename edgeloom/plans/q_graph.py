@@ -227,3 +227,27 @@ JOIN (SELECT seed, node FROM nbfs_up UNION SELECT seed, node FROM nbfs_down) c O
 def q_search_named(c):
     res = search_graph(c.g.nodes(), c.g.links(), O.NAMED_NODE, "all", c.as_of, adj=adj(c))
     return res.nodes
+
+
+_HTTP = "strftime(last_event_date, '%a, %d %b %Y %H:%M:%S GMT')"
+
+
+@register("search_export", W(f"""
+SELECT 'node' AS kind, to_json(struct_pack(search_target := c.seed, id := id, name := name, type := type,
+       entity_path := entity_path, days_last_interaction := CAST(days_last_interaction AS BIGINT),
+       last_event_date := {_HTTP}, total_connections := CAST(total_connections AS BIGINT),
+       lineage_source_table := lineage_source_table)) AS record
+FROM api_nodes n JOIN closure c ON c.node = n.id
+UNION ALL
+SELECT 'link', to_json(struct_pack(search_target := seed, source := source, target := target,
+       entity_path := entity_path, source_type := source_type, target_type := target_type,
+       last_event_date := {_HTTP}, lineage_source_table := lineage_source_table))
+FROM traversed
+UNION ALL
+SELECT 'index', to_json(struct_pack(name := name, type := type)) FROM api_nodes
+UNION ALL
+SELECT 'target', to_json(struct_pack(target := seed)) FROM seeds""", "api_nodes", "closure", "traversed", "seeds"))
+def q_search_export(c):
+    from edgeloom.sources.sinks import search_export
+    res = search_graph(c.g.nodes(), c.g.links(), "most_connected", "all", c.as_of, adj=adj(c))
+    return search_export(res.nodes, res.links, res.index, res.target)

@@ -115,6 +115,23 @@ def graph_export(nodes_api: DataFrame, links_api: DataFrame) -> DataFrame:
     return n.unionByName(lk)
 
 
+def search_export(nodes: DataFrame, links: DataFrame, index: DataFrame, target: DataFrame) -> DataFrame:
+    """A search payload as JSON records ``(kind, record)``: the closure's nodes
+    and links, the ``{name, type}`` index of all nodes, and the target.
+
+    Pass the parts of :class:`edgeloom.plans.search.SearchResult`; the
+    ``search_target`` column of nodes and links is kept, so one export can hold
+    the payloads of many start nodes.
+    """
+    parts = [("node", nodes), ("link", links), ("index", index),
+             ("target", target.select(F.col("search_target").alias("target")))]
+    out = None
+    for kind, df in parts:
+        rec = df.select(F.lit(kind).alias("kind"), _record(df).alias("record"))
+        out = rec if out is None else out.unionByName(rec)
+    return out
+
+
 def write_graph_json(nodes_api: DataFrame, links_api: DataFrame, path: str) -> None:
     """Export to ``path/kind=node`` and ``path/kind=link`` JSON-lines folders."""
     graph_export(nodes_api, links_api).write.mode("overwrite").partitionBy("kind").text(path)
