@@ -45,10 +45,11 @@ UP, DOWN = "up", "down"
 # and its steps are spread over several salted buckets.
 MIN_HOT_STEPS = 10_000
 MAX_SALTS = 64
-# Adjacency buckets are sized by data (about this many steps each), never more
-# than the shuffle partitions: the frontier is shuffled to the bucket count, so
-# a small graph is not spread over hundreds of near-empty tasks per level.
-STEPS_PER_BUCKET = 1_000_000
+# Adjacency buckets are sized by data (at least this many steps each), never
+# more than the shuffle partitions: the frontier is shuffled to the bucket
+# count, so a small graph is not spread over hundreds of near-empty tasks per
+# level, while a mid-size one already uses every core (one task per bucket).
+STEPS_PER_BUCKET = 50_000
 # Past this many visited keys the visited set is re-staged after every job as a
 # table bucketed by the BFS key (one bucket per shuffle partition): the per-hop
 # distinct already hash-partitions the candidates on that key, so the anti join

@@ -6,7 +6,7 @@ over the other nodes (which also link into the hub). Runs a multi-seed
 ``bfs_both`` with hub salting on (default thresholds) and off, and checks the
 two give the same rows. Not a registered query: its input is synthetic.
 
-usage: python tools/skew_drill.py [n_links] [cpus]
+usage: python tools/skew_drill.py [n_links] [cpus] [n_seeds]
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 def main() -> None:
     n = int(sys.argv[1]) if len(sys.argv) > 1 else 3_000_000
     cpus = int(sys.argv[2]) if len(sys.argv) > 2 else 8
+    n_seeds = int(sys.argv[3]) if len(sys.argv) > 3 else 64
     from pyspark.sql import functions as F
 
     from edgeloom.operators import traverse as TR
@@ -41,7 +42,7 @@ def main() -> None:
         F.concat(F.lit("v"), src.cast("string")).alias("source"),
         F.when(i % 50 == 0, F.lit("h")).otherwise(F.concat(F.lit("v"), dst.cast("string"))).alias("target"))
     links = stage(hub.unionByName(body))
-    seeds = stage(spark.range(64).select(F.concat(F.lit("v"), (F.col("id") * 7).cast("string")).alias("seed"))
+    seeds = stage(spark.range(n_seeds).select(F.concat(F.lit("v"), (F.col("id") * 7).cast("string")).alias("seed"))
                   .unionByName(spark.range(1).select(F.lit("h").alias("seed"))))
     report = {"links": links.count(), "hub_out_links": hub_links}
 
