@@ -5,9 +5,10 @@ Every operator takes a ``seeds`` DataFrame (column ``seed``) so one run answers
 many start nodes; results are rows ``(seed, node, depth)``. The graph is never
 collected: each BFS level is a join of the frontier with the adjacency, a
 distinct, and an anti join against the nodes already reached; the driver only
-decides whether another level is needed, from a row count observed while the
-level is staged (no extra job). Upstream and downstream searches share one
-loop (keys carry the direction), so a search costs max(up, down) levels.
+decides whether another job of levels is needed, from row counts observed
+while the job's result is staged (no extra job). Upstream and downstream
+searches share one loop (keys carry the direction), so a search costs
+max(up, down) levels.
 
 Scale notes:
 * the adjacency is deduplicated and staged once as a table bucketed by its
