@@ -74,3 +74,14 @@ def test_cli_runs_both_jobs(spark, tmp_path):
     assert table(spark, "cli_t.links").count() == g.links().count()
     out = main(["purge", *common, "--audit", "cli_t.audit", "--legacy-source", "cli_t.legacy_source"], spark=spark)
     assert out["links"]["total_deleted"] > 0 and out["nodes"]["total_deleted"] > 0
+
+
+def test_lineage_raw_without_legacy_log(spark, tmp_path):
+    fx = Fixture(spark, SF)
+    ensure_schema(spark, "raw_t", str(tmp_path / "wh"))
+    uc, _ = S.split_by_tag(fx.events())
+    uc.write.saveAsTable("raw_t.uc_log")
+    raw = S.lineage_raw_from_catalog(spark, "raw_t.uc_log", "raw_t.no_such_log")
+    assert raw.count() == uc.count()
+    assert {r.lineage_source_table for r in raw.select("lineage_source_table").distinct().collect()} == \
+        {"table_lineage"}
