@@ -23,7 +23,7 @@ LEVEL_REQUESTS = (-1, 2, 99, None)
 
 
 def seeds(c):
-    return c.once("seeds", lambda: TR.seeds_of(deg.most_connected(c.g.links())), stage=False)
+    return c.once("seeds", lambda: TR.seeds_of(deg.most_connected(c.g.links())))
 
 
 def adj(c):
