@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from edgeloom.llm.secrets import SQL_SECRETS, op7_secret_scans
 from edgeloom.llm.warc import SQL_WARC, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op7_secret_scans": op7_secret_scans,
 }
 
 ORACLES = {
     "op2_warc": SQL_WARC,
+    "op7_secret_scans": SQL_SECRETS,
 }
