@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from edgeloom.llm.secrets import SQL_SECRETS, op7_secret_scans
+from edgeloom.llm.toxicity import op6_toxicity
 from edgeloom.llm.warc import SQL_WARC, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scans": op7_secret_scans,
 }
 
