@@ -28,7 +28,7 @@ MAX_TERMS = 400
 #: A term stands for toxic text from this share of the unlike toxic fit documents (and at least so many), and
 #: from this ratio of document rates.
 MIN_TOXIC_SHARE = 0.004
-MIN_TOXIC_DOCS = 3
+MIN_TOXIC_DOCS = 6
 MIN_RATIO = 12.0
 PREFIXES = (4, 5, 6)
 #: Words on either side of a hit in which an opening and a closing quotation mark make it a quotation.
