@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from edgeloom.llm.packing import op10_best_fit_packing
 from edgeloom.llm.secrets import SQL_SECRETS, op7_secret_scans
 from edgeloom.llm.toxicity import op6_toxicity
 from edgeloom.llm.warc import SQL_WARC, op2_warc
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scans": op7_secret_scans,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES = {
