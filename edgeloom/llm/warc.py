@@ -58,13 +58,14 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     narrow = rec.drop("payload")
     first = narrow.groupBy("address", "sha1", "n").agg(F.min("page_id").alias("first_id"))
     same = F.col("page_id").eqNullSafe(F.col("first_id"))
+    last = F.lit(2**63 - 1)
     typed = narrow.join(first, ["address", "sha1", "n"]).withColumn(
         "record_type", F.when(same | (F.col("n") < min_bytes), "response").otherwise("revisit"))
     typed.select("page_id", "address", _header(min_bytes).alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
     # only the first holder's bytes move; rows that repeat its id hold the same bytes
-    own = rec.select("page_id", "address", "payload").join(
-        first.select("address", "first_id"), "address").where(same)
-    own.dropDuplicates(["address"]).select("address", "payload").write.mode("overwrite").parquet(f"{path}/payloads")
+    own = rec.select("address", F.coalesce("page_id", last).alias("holder"), "payload").join(
+        first.select("address", F.coalesce("first_id", last).alias("holder")), ["address", "holder"])
+    own.dropDuplicates(["address", "holder"]).select("address", "payload").write.mode("overwrite").parquet(f"{path}/payloads")
 
 
 def _verified(spark: SparkSession, path: str) -> DataFrame:
