@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from edgeloom.llm.decontaminate import op1_decontamination
 from edgeloom.llm.packing import op10_best_fit_packing
 from edgeloom.llm.secrets import SQL_SECRETS, op7_secret_scans
 from edgeloom.llm.toxicity import op6_toxicity
 from edgeloom.llm.warc import SQL_WARC, op2_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scans": op7_secret_scans,
