@@ -54,3 +54,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return (cur.groupBy("u").agg(F.min("v").alias("m"))
             .select(F.col("u").alias("node"), F.col("m").alias("component"))
             .unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+
+
+def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """A staged frame, with a broadcast hint only where its counted rows stay within ``max_rows``.
+
+    Beyond that the join is left to Spark, which shuffles both sides.
+    """
+    df = stage(df)
+    return F.broadcast(df) if df.count() <= max_rows else df
