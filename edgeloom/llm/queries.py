@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from edgeloom.llm.decontaminate import op1_decontamination
 from edgeloom.llm.line_dedup import SQL_LINES, op5_line_dedup
+from edgeloom.llm.ngram_join import SQL_NGRAM, op3_ngram_jaccard_join
 from edgeloom.llm.packing import op10_best_fit_packing
 from edgeloom.llm.secrets import SQL_SECRETS, op7_secret_scans
 from edgeloom.llm.toxicity import op6_toxicity
@@ -12,6 +13,7 @@ from edgeloom.llm.warc import SQL_WARC, op2_warc
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scans": op7_secret_scans,
@@ -20,6 +22,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_warc": SQL_WARC,
+    "op3_ngram_jaccard_join": SQL_NGRAM,
     "op5_line_dedup": SQL_LINES,
     "op7_secret_scans": SQL_SECRETS,
 }
