@@ -63,3 +63,40 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     df = stage(df)
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def key_bitmap(keys: DataFrame, bits: int, col: str = "key"):
+    """Broadcast bitmap of long keys: ``bits`` bits, however many keys there are. See :func:`in_bitmap`."""
+    import numpy as np
+
+    slot = F.expr(f"shiftrightunsigned({col}, 13) % {bits}")
+    words = (keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast((shiftrightunsigned({col}, 13) % {bits}) & 63 as int))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def in_bitmap(key, bitmap):
+    """Which of the uint64 keys may be in the bitmap (all that are, and few others)."""
+    import numpy as np
+
+    slot = (key >> np.uint64(13)) % np.uint64(len(bitmap) * 64)
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def whole_groups(batches, key: str):
+    """Batches of a partition sorted by ``key``, recut so that no group is divided between two."""
+    import pandas as pd
+
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if not len(b):
+            continue
+        cut = int((b[key] != b[key].iloc[-1]).to_numpy().nonzero()[0][-1]) + 1 if b[key].iloc[0] != b[key].iloc[-1] else 0
+        rest = b.iloc[cut:]
+        if cut:
+            yield b.iloc[:cut].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)

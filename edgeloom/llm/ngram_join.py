@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm import shingles as sh
-from edgeloom.llm.common import components, sized_broadcast, table
+from edgeloom.llm.common import components, in_bitmap, key_bitmap, sized_broadcast, table
 from edgeloom.session import stage
 
 BITS = 1024                      # of a document's token bitmap
@@ -128,23 +128,12 @@ def _emit(k: int, num: int, den: int, seen=None):
     def fn(ids, texts):
         key, t = part_keys(*_sets(texts, k), num, den)
         if seen is not None:
-            slot = (key >> np.uint64(13)) % np.uint64(FILTER_BITS)
-            hit = (seen.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+            hit = in_bitmap(key, seen.value)
             key, t = key[hit], t[hit]
         return key.view(np.int64), ids[t]
     return _per_chunk(fn, ["key", "doc"])
 
 
-def _filter_bitmap(keys: DataFrame):
-    """Bitmap of the shared keys: FILTER_BITS bits on the driver and in each task, however many keys there are."""
-    slot = F.expr(f"shiftrightunsigned(key, 13) % {FILTER_BITS}")
-    words = (keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast((shiftrightunsigned(key, 13) % {FILTER_BITS}) & 63 as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
-    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
-    bitmap[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).view(np.uint64)
-    return keys.sparkSession.sparkContext.broadcast(bitmap)
-
-
 class SignatureTree:
     """Levels of nodes over documents sorted by size: OR bitmaps, size ranges, the component of pure nodes (else -1)."""
 
@@ -266,7 +255,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = reps.mapInPandas(_emit(k, num, den), "key long, doc long")
     shared = stage(keys.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"))
                    .where("leader < last").select("key", "leader"))
-    held = stage(reps.mapInPandas(_emit(k, num, den, _filter_bitmap(shared)), "key long, doc long").join(shared, "key"))
+    held = stage(reps.mapInPandas(_emit(k, num, den, key_bitmap(shared, FILTER_BITS)), "key long, doc long").join(shared, "key"))
     star = _links(held.where("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")), rows, k, num, den)
 
     # buckets that hold several components

@@ -29,6 +29,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"], _POW["down"]
 
 
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """Polynomial prefix sums: (sums[j] - sums[i]) * down[i] is a hash of the bytes from i to j."""
+    up, _ = powers(len(buf) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:len(buf)])])
+
+
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """A-Z lowered UTF-8 bytes of all texts, a zero byte after each, and where each begins.
 
@@ -44,8 +50,8 @@ def word_hashes(buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     solid = _WORD[buf]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    up, down = powers(len(buf) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:len(buf)])])
+    _, down = powers(len(buf) + 1)
+    total = prefix_sums(buf)
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     return h, np.searchsorted(begin, start, "right") - 1, start, end
 
