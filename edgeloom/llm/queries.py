@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from edgeloom.llm.ann import op8_nearest_neighbours
 from edgeloom.llm.decontaminate import op1_decontamination
 from edgeloom.llm.line_dedup import SQL_LINES, op5_line_dedup
 from edgeloom.llm.ngram_join import SQL_NGRAM, op3_ngram_jaccard_join
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scans": op7_secret_scans,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
