@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from edgeloom.llm.ann import op8_nearest_neighbours
+from edgeloom.llm.compact_windows import op4_substring_dedup
 from edgeloom.llm.decontaminate import op1_decontamination
 from edgeloom.llm.line_dedup import SQL_LINES, op5_line_dedup
 from edgeloom.llm.ngram_join import SQL_NGRAM, op3_ngram_jaccard_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scans": op7_secret_scans,
