@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import table
+from edgeloom.llm.common import sized_broadcast, table
 
 SIMILARITY = 0.8
 #: Window starts: the least word hash of so many neighbouring words.
@@ -42,6 +42,7 @@ LEAST_STEPS = 40
 #: A block of benchmark items that is sent to every task holds so many bytes at most; more items are done in more passes.
 BLOCK_BYTES = 16 << 20
 CHUNK = 2 << 20
+BROADCAST_ROWS = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -304,7 +305,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def remove_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; all other rows as they are (null ids too)."""
-    return docs.join(find_leaks(docs, benchmark, id_col, **more).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    leaking = find_leaks(docs, benchmark, id_col, **more).select(id_col).distinct()
+    return docs.join(sized_broadcast(leaking, BROADCAST_ROWS), id_col, "left_anti").select(docs.columns)
 
 
 def recall(items: list[bytes], edit_rate: float, tries: int = 20, seed: int = 1) -> float:

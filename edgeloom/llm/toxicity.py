@@ -270,10 +270,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score stays below the threshold, with their columns unchanged."""
-    def run(b: pd.DataFrame, lexicon: TrieAutomaton) -> pd.DataFrame:
-        return b[model.scores(b[text_col], lexicon) < threshold]
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = TrieAutomaton(model.terms)
+        for t in texts:
+            yield pd.Series(model.scores(t, lexicon))
 
-    return docs.mapInPandas(_mapper(model.terms, run), docs.schema)
+    return docs.where(scored(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
