@@ -160,7 +160,7 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, num: int, den: int, same:
     i = j = np.zeros(1, np.int64)
     for level in range(top - 1, -1, -1):
         la, lb = a.levels[min(level, len(a.levels) - 1)], b.levels[min(level, len(b.levels) - 1)]
-        keep_i, keep_j = [], []
+        keep_i, keep_j = [i[:0]], [j[:0]]
         for x in range(0, len(i), 200_000):                       # bounded memory
             p, q = i[x:x + 200_000], j[x:x + 200_000]
             ok = (la[1][p] * den >= lb[0][q] * num) & (lb[1][q] * den >= la[0][p] * num)
