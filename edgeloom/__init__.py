@@ -8,4 +8,4 @@ current with guarded upserts, retention and deletion purges
 Every function maps DataFrames to DataFrames; nothing is collected.
 """
 
-__all__ = ["session", "functions", "sources", "operators", "plans", "streaming"]
+__all__ = ["session", "functions", "sources", "operators", "plans"]

@@ -29,18 +29,21 @@ def join_edges_target(edges: DataFrame, objects: DataFrame) -> DataFrame:
     return edges.join(tgt, ["target_object", "target_type"], "inner")
 
 
-def links_raw(edges: DataFrame, objects: DataFrame) -> DataFrame:
-    """Date of the latest event per link; the link's URL is its target object's."""
-    joined = join_edges_target(join_edges_source(edges, objects), objects)
-    return (joined
-            .groupBy(F.col("source_object").alias("source_node"),
-                     F.col("source_type").alias("source_node_type"),
-                     F.col("target_object").alias("target_node"),
-                     F.col("target_type").alias("target_node_type"),
-                     F.col("target_entity_path").alias("entity_path"),
-                     "lineage_source_table")
-            .agg(F.to_date(F.max("last_event_time")).alias("last_event_date"))
-            .select(*LINK_COLUMNS))
+def links_raw(edges: DataFrame, objects: DataFrame, sources_known: bool = False) -> DataFrame:
+    """Date of the latest event per link; the link's URL is its target object's.
+
+    Edges are first reduced to one row per (source, target, tag), which combines
+    map-side; the join then meets each target's distinct URLs only and needs no
+    aggregate after it. ``sources_known``: the objects come from these edges, so
+    every source is one of them and the existence test is left out.
+    """
+    kept = edges if sources_known else join_edges_source(edges, objects)
+    latest = (kept.groupBy(F.col("source_object").alias("source_node"), F.col("source_type").alias("source_node_type"),
+                           F.col("target_object").alias("target_node"), F.col("target_type").alias("target_node_type"),
+                           "lineage_source_table")
+              .agg(F.to_date(F.max("last_event_time")).alias("last_event_date")))
+    urls = objects.select(F.col("node").alias("target_node"), F.col("node_type").alias("target_node_type"), "entity_path").distinct()
+    return latest.join(urls, ["target_node", "target_node_type"]).select(*LINK_COLUMNS)
 
 
 # Total order that picks the surviving link of an unordered pair: the earliest
@@ -66,5 +69,5 @@ def break_two_cycles(links: DataFrame, mode: str = "reference") -> DataFrame:
             .select(*[F.col(f"_row.{c}").alias(c) for c in LINK_COLUMNS]))
 
 
-def build_links(edges: DataFrame, objects: DataFrame, mode: str = "reference") -> DataFrame:
-    return break_two_cycles(links_raw(edges, objects), mode)
+def build_links(edges: DataFrame, objects: DataFrame, mode: str = "reference", sources_known: bool = False) -> DataFrame:
+    return break_two_cycles(links_raw(edges, objects, sources_known), mode)

@@ -1,25 +1,23 @@
 """Joins on ``value LIKE pattern`` where the pattern is a column.
 
 Spark plans a non-equi join condition as a nested-loop join, which compares
-every value with every pattern. Here each pattern gets a bucket key from one
-of its literal ends: the text before its first wildcard (prefix) or after its
-last one (suffix), whichever is longer. A value can only match a pattern if
-it starts with the pattern's literal prefix and ends with its literal suffix,
-so comparing the value's own first (or last) characters with the key loses
-no match. Keys are cut to a level, the largest of ``LEVELS`` not longer than
-the literal end, and each value is listed once per (end, level) that some
-pattern uses. Joining on (end, level, key) and then applying LIKE gives
-exactly the nested-loop result, while the join is hash-partitioned (or
-broadcast by AQE when the patterns are few).
-
-The suffix matters for patterns such as ``.../dashboards%/<id>``: their
-prefix is shared by every pattern, their suffix is selective. LIKE itself
-runs once per distinct (value, pattern) pair; the matches are joined back to
-the rows with equi joins, so repeated patterns and repeated values cost
-nothing extra.
-
-A pattern that starts and ends with a wildcard and has no literal end (such
-as ``%x%``) falls in level 0 with an empty key and is compared with every
+every value with every pattern. Here each pattern gets one equi-join key that
+every value it matches must share, taken from its literal ends (the text before
+its first wildcard and after its last one):
+
+* ``whole``: a pattern without wildcards matches itself only;
+* ``name``: a suffix with a slash fixes the value's last path segment;
+* ``folder``: a prefix with a slash fixes the value's path up to that slash;
+* ``start`` / ``end``: other ends fix the value's first or last characters, in
+  the end's full length.
+
+Of the keys that a pattern offers, the one that the fewest patterns share is
+taken. ``.../dashboards%/<id>`` so joins on ``<id>`` and ``.../main/s1/%`` on its
+folder, whatever the length of the host name. A value is listed under the
+lengths and depths that some pattern uses. LIKE itself then runs once per
+distinct (value, pattern) pair of one key, and matches are joined back to the
+rows with equi joins, so repeated patterns and repeated values cost nothing
+extra. A pattern without any literal end (such as ``%x%``) is compared with every
 value, as in any LIKE join.
 """
 
@@ -30,10 +28,8 @@ from pyspark.sql import functions as F
 
 from edgeloom.session import stage
 
-# Key lengths: every even length up to 32 (a short literal such as a schema
-# name loses at most one character of selectivity), coarser beyond.
-LEVELS = (0,) + tuple(range(2, 33, 2)) + (40, 48, 56, 64, 96, 128)
-PREFIX, SUFFIX = 0, 1
+# Kinds of keys, the more selective first (ties in the number of patterns).
+WHOLE, NAME, FOLDER, START, END, ANY = range(6)
 
 
 def literal_prefix(pattern: Column) -> Column:
@@ -46,37 +42,40 @@ def literal_suffix(pattern: Column) -> Column:
     return F.regexp_extract(pattern, r"([^%_\\]*)$", 1)
 
 
-def _level(n: Column) -> Column:
-    expr = None
-    for lv in sorted(LEVELS, reverse=True):
-        if lv == 0:
-            break
-        expr = F.when(n >= lv, F.lit(lv)) if expr is None else expr.when(n >= lv, F.lit(lv))
-    return expr.otherwise(F.lit(0))
+def _slashes(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
 
 
 def bucket_patterns(patterns: DataFrame, pattern_col: str) -> DataFrame:
-    # Each step refers to the previous columns by name, so every regex runs once
-    # per pattern (nested expression trees would repeat them in every branch).
+    """``patterns`` (distinct) with the key each one is joined on: ``_kind, _arg, _bkey``."""
     p = F.col(pattern_col)
-    return (patterns
-            .withColumn("_pre", literal_prefix(p))
-            .withColumn("_suf", literal_suffix(p))
-            .withColumn("_end", F.when(F.length("_suf") > F.length("_pre"), F.lit(SUFFIX)).otherwise(F.lit(PREFIX)))
-            .withColumn("_lit", F.when(F.col("_end") == SUFFIX, F.col("_suf")).otherwise(F.col("_pre")))
-            .withColumn("_lvl", _level(F.length("_lit")))
-            .withColumn("_bkey", F.when(F.col("_end") == SUFFIX, F.right("_lit", "_lvl"))
-                        .otherwise(F.left("_lit", "_lvl")))
-            .drop("_pre", "_suf", "_lit"))
+    ends = patterns.withColumn("_pre", literal_prefix(p)).withColumn("_suf", literal_suffix(p))
+    pre, suf = F.col("_pre"), F.col("_suf")
+    offer = lambda kind, arg, key, when: F.when(when, F.struct(
+        F.lit(kind).alias("_kind"), arg.cast("int").alias("_arg"), key.alias("_bkey")))
+    zero, last = F.lit(0), F.substring_index(suf, "/", -1)
+    offers = stage(ends.select(pattern_col, F.inline(F.array_compact(F.array(
+        offer(WHOLE, zero, p, pre == p),
+        offer(NAME, zero, last, suf.contains("/") & (last != "")),
+        offer(FOLDER, _slashes(pre), F.regexp_extract(pre, r"^(.*)/", 1), pre.contains("/")),
+        offer(START, F.length(pre), pre, pre != ""),
+        offer(END, F.length(suf), suf, suf != ""),
+        offer(ANY, zero, F.lit(""), (pre == "") & (suf == "")))))))
+    shared = offers.groupBy("_kind", "_arg", "_bkey").agg(F.count(F.lit(1)).alias("_n"))
+    return (offers.join(shared, ["_kind", "_arg", "_bkey"])
+            .groupBy(pattern_col).agg(F.min(F.struct("_n", "_kind", "_arg", "_bkey")).alias("_o"))
+            .select(pattern_col, "_o._kind", "_o._arg", "_o._bkey"))
 
 
 def bucket_values(values: DataFrame, value_col: str, used) -> DataFrame:
-    """One row per (end, level) in ``used`` with the value's own key."""
+    """One row per (kind, arg) in ``used`` with the value's own key; none where the value is too short for it."""
     v = F.col(value_col)
-    keys = F.array(*[F.struct(F.lit(end).alias("_end"), F.lit(lv).alias("_lvl"),
-                              (F.left(v, F.lit(lv)) if end == PREFIX else F.right(v, F.lit(lv))).alias("_bkey"))
-                     for end, lv in used])
-    return values.select("*", F.inline(keys))
+    rows = []
+    for kind, arg in used:
+        key = {WHOLE: v, NAME: F.substring_index(v, "/", -1), START: F.left(v, F.lit(arg)), END: F.right(v, F.lit(arg)),
+               FOLDER: F.when(_slashes(v) >= arg, F.substring_index(v, "/", arg)), ANY: F.lit("")}[kind]
+        rows.append(F.struct(F.lit(kind).alias("_kind"), F.lit(arg).alias("_arg"), key.alias("_bkey")))
+    return values.select("*", F.inline(F.array(*rows))).filter(F.col("_bkey").isNotNull())
 
 
 def like_pairs(values: DataFrame, value_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
@@ -85,16 +84,15 @@ def like_pairs(values: DataFrame, value_col: str, patterns: DataFrame, pattern_c
     v = values.select(value_col).filter(F.col(value_col).isNotNull()).distinct()
     p = patterns.select(pattern_col).filter(F.col(pattern_col).isNotNull()).distinct()
     # The bucketed patterns (one row per distinct pattern) are staged: the
-    # level lookup below reads them anyway, and the join then sees a plain scan
+    # lookup below reads them anyway, and the join then sees a plain scan
     # instead of the expressions that derived the patterns, which Catalyst's
     # constraint propagation would otherwise copy across the join keys.
     bp = stage(bucket_patterns(p, pattern_col))
-    # Values are listed only at the (end, level) pairs some pattern uses: at
-    # most 2 * len(LEVELS) pairs of numbers reach the driver. Otherwise the
-    # empty level-0 key would gather every value under one join key.
-    used = sorted((r[0], r[1]) for r in bp.select("_end", "_lvl").distinct().collect()) or [(PREFIX, 0)]
+    # Values are listed only under what some pattern uses: a few pairs of
+    # numbers (kinds, and lengths or depths of literal ends) reach the driver.
+    used = sorted((r[0], r[1]) for r in bp.select("_kind", "_arg").distinct().collect()) or [(WHOLE, 0)]
     bv = bucket_values(v, value_col, used)
-    return (bv.join(bp, ["_end", "_lvl", "_bkey"])
+    return (bv.join(bp, ["_kind", "_arg", "_bkey"])
             .filter(F.like(F.col(value_col), F.col(pattern_col)))
             .select(value_col, pattern_col))
 

@@ -4,7 +4,7 @@ at them, and rows whose table no longer exists.
 The reference writes these as MERGE / DELETE conditions with OR, LIKE and
 ``NOT IN`` subqueries, which Spark can only run as nested-loop joins. Each OR
 branch becomes its own equi join here (the branches are disjoint or their
-anti joins compose), LIKE becomes the bucketed join of :mod:`.patterns`, and
+anti joins compose), LIKE becomes the keyed join of :mod:`.patterns`, and
 ``NOT IN`` becomes an anti join guarded by the one-row facts that decide its
 NULL semantics (whether the id list is empty or holds a NULL).
 """
@@ -103,7 +103,7 @@ def deleted_entities(nodes: DataFrame, dels: DataFrame, mode: str = "reference")
 
     Schema and dashboard deletions match the node URL with LIKE; the others
     by equality. The two branches are disjoint per deletion row, so the UNION
-    ALL of an equi join and a bucketed LIKE join equals the reference's OR join.
+    ALL of an equi join and a keyed LIKE join equals the reference's OR join.
     """
     n = nodes.select("node", "node_type", "entity_path", "last_event_date")
     like_actions = LIKE_DELETE_ACTIONS if mode == "reference" else ("deleteSchema",)
@@ -121,17 +121,16 @@ def match_deleted_links(links: DataFrame, deleted: DataFrame) -> DataFrame:
     """Links left after the merge-delete: a link goes when its target or source
     is a hit node (name and type), or its source equals a deleted table name,
     or matches a deleted schema's pattern (LIKE, so ``_`` is a wildcard)."""
-    hit = deleted.select("node", "node_type")
+    hit = deleted.select("node", "node_type").distinct()
+    # sources that go by name alone: deleted tables and what the schemas' patterns match
+    tables = deleted.filter(F.col("action_name") == "deleteTable").select(F.col("schema_table_name").alias("source_node"))
+    schemas = deleted.filter(F.col("action_name") == "deleteSchema").select("schema_table_name")
+    named = tables.unionByName(like_semi_values(links, "source_node", schemas, "schema_table_name")).distinct()
     out = links.join(hit.select(F.col("node").alias("target_node"), F.col("node_type").alias("target_node_type")),
                      ["target_node", "target_node_type"], "left_anti")
     out = out.join(hit.select(F.col("node").alias("source_node"), F.col("node_type").alias("source_node_type")),
                    ["source_node", "source_node_type"], "left_anti")
-    tables = deleted.filter(F.col("action_name") == "deleteTable").select(
-        F.col("schema_table_name").alias("source_node"))
-    out = out.join(tables, "source_node", "left_anti")
-    schemas = deleted.filter(F.col("action_name") == "deleteSchema").select("schema_table_name")
-    gone = like_semi_values(links, "source_node", schemas, "schema_table_name")
-    return out.join(gone, "source_node", "left_anti")
+    return out.join(named, "source_node", "left_anti")
 
 
 def merge_delete_nodes(nodes: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -169,13 +168,14 @@ def _not_in_flag(df: DataFrame, col: str, ids: DataFrame, facts: tuple[int, int]
     return out.drop(f"_{flag}_in") if f"_{flag}_in" in out.columns else out
 
 
-def drop_orphan_links(links: DataFrame, ids: DataFrame, mode: str = "reference") -> DataFrame:
+def drop_orphan_links(links: DataFrame, ids: DataFrame, mode: str = "reference",
+                      facts: tuple[int, int] | None = None) -> DataFrame:
     """Delete links whose table-typed source or target is not a valid id.
 
     ``NOT IN`` semantics: one NULL id disables the delete; an empty id list
     deletes every table-typed endpoint. ``strict`` keeps path endpoints (``://``).
     """
-    facts = id_facts(ids)
+    facts = facts or id_facts(ids)
     strict = mode == "strict"
     f = _not_in_flag(links, "source_node", ids, facts, "_s_orphan", strict)
     f = _not_in_flag(f, "target_node", ids, facts, "_t_orphan", strict)
@@ -191,9 +191,10 @@ def orphan_nodes(nodes: DataFrame, ids: DataFrame, mode: str = "reference") -> D
         .select(*nodes.columns)
 
 
-def drop_orphan_nodes(nodes: DataFrame, ids: DataFrame, mode: str = "reference") -> DataFrame:
+def drop_orphan_nodes(nodes: DataFrame, ids: DataFrame, mode: str = "reference",
+                      facts: tuple[int, int] | None = None) -> DataFrame:
     """Delete table-typed nodes that are not a valid id (same ``NOT IN`` rules)."""
-    f = _not_in_flag(nodes, "node", ids, id_facts(ids), "_orphan", mode == "strict")
+    f = _not_in_flag(nodes, "node", ids, facts or id_facts(ids), "_orphan", mode == "strict")
     gone = (F.col("node_type") == TABLE_NODE_TYPE) & F.col("_orphan")
     return f.filter(~F.coalesce(gone, F.lit(False))).select(*nodes.columns)
 

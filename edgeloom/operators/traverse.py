@@ -16,14 +16,16 @@ Scale notes:
   frontier is small AQE broadcasts it and the adjacency is streamed in place;
 * a hub whose links are a large share of the adjacency would be one bucket read
   by one task every level (AQE cannot split a bucketed scan), so hot probe keys
-  are salted over several buckets and their frontier rows probe each salt;
-* one job advances ``HOPS_PER_JOB`` levels and its new keys are staged to the
-  checkpoint folder: they are independent of their lineage, so a lost
-  executor recomputes at most one job's levels, not the whole search;
-* the visited set is the union of the staged jobs' keys, re-staged every
-  ``RESTAGE_EVERY`` jobs to keep plans short on deep graphs; once it passes
-  ``VISITED_BUCKET_ROWS`` keys it is re-staged after every job as a table
-  bucketed by the BFS key, so the per-hop anti join shuffles neither side.
+  are salted over as many buckets as their share asks for and their frontier
+  rows probe each salt;
+* a job advances up to ``HOPS_PER_JOB`` levels while the frontier is small
+  (deep, narrow searches: fewer jobs) and one level when it is larger than
+  ``SMALL_FRONTIER`` rows, so no join of a large level runs twice; no more
+  levels are planned than the bound allows;
+* a job's new keys are staged to the checkpoint folder once: they are
+  independent of their lineage, so a lost executor recomputes at most one job's
+  levels. The visited set is the scan of all those folders; it is only ever
+  added to.
 """
 
 from __future__ import annotations
@@ -33,30 +35,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from edgeloom.session import stage, stage_bucketed
+from edgeloom.session import stage, stage_bucketed, stage_path
 
-RESTAGE_EVERY = 8
-# BFS levels advanced per Spark job (see _expand): fewer jobs on deep graphs,
-# at most this factor of repeated work where paths of unequal length meet.
+# BFS levels advanced per Spark job while the frontier is small (see _expand).
 HOPS_PER_JOB = 4
+SMALL_FRONTIER = 100_000
 UP, DOWN = "up", "down"
 
 
 # Hub handling: a probe key with more steps than an average bucket is "hot"
 # and its steps are spread over several salted buckets.
 MIN_HOT_STEPS = 10_000
-MAX_SALTS = 64
 # Adjacency buckets are sized by data (at least this many steps each), never
 # more than the shuffle partitions: the frontier is shuffled to the bucket
 # count, so a small graph is not spread over hundreds of near-empty tasks per
 # level, while a mid-size one already uses every core (one task per bucket).
 STEPS_PER_BUCKET = 50_000
-# Past this many visited keys the visited set is re-staged after every job as a
-# table bucketed by the BFS key (one bucket per shuffle partition): the per-hop
-# distinct already hash-partitions the candidates on that key, so the anti join
-# reads both sides in place instead of shuffling the visited set on every hop.
-# Below it, AQE broadcasts the (small) visited set.
-VISITED_BUCKET_ROWS = 5_000_000
 
 
 @dataclass
@@ -68,16 +62,17 @@ class Adjacency:
     hot: DataFrame | None  # (_dir, _from, _salts); None when no key is hot
 
 
-def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst: str = "target") -> Adjacency:
+def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst: str = "target",
+              steps_per_bucket: int | None = None, min_hot_steps: int | None = None) -> Adjacency:
     """Distinct steps to follow, staged once as a bucketed table; NULL endpoints
     are never followed.
 
     A hub whose steps would fill one bucket (one task per BFS level) is split:
     the number of its steps is known from one aggregate, and a key with more
-    than an average bucket's share gets ``ceil(steps / share)`` salts (at most
-    ``MAX_SALTS``); its steps are spread by a hash of the target. The hot-key
-    table has at most ``steps / share`` rows, a bound that does not depend on
-    the data's skew.
+    than an average bucket's share gets ``ceil(steps / share)`` salts (never more
+    than there are buckets); its steps are spread by a hash of the target. The
+    hot-key table has at most ``steps / share`` rows, a bound that does not
+    depend on the data's skew.
     """
     if isinstance(directions, str):
         directions = (directions,)
@@ -93,14 +88,13 @@ def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst:
     total, top = deg.agg(F.sum("_n"), F.max("_n")).first()
     total = total or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(partitions, -(-total // STEPS_PER_BUCKET)))
-    share = max(MIN_HOT_STEPS, -(-total // buckets))
+    buckets = max(1, min(partitions, -(-total // (steps_per_bucket or STEPS_PER_BUCKET))))
+    share = max(min_hot_steps or MIN_HOT_STEPS, -(-total // buckets))
     hot = None
     salt = F.lit(0)
     if top and top > share:
         hot = stage(deg.filter(F.col("_n") > share)
-                    .select("_dir", "_from", F.least(F.ceil(F.col("_n") / share), F.lit(MAX_SALTS))
-                            .cast("int").alias("_salts")))
+                    .select("_dir", "_from", F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
         adj = adj.join(hot, ["_dir", "_from"], "left")
         salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_to"), F.col("_salts")))
     steps = stage_bucketed(adj.select("_dir", "_from", "_to", salt.cast("int").alias("_salt")),
@@ -139,18 +133,27 @@ def _expand(adj: Adjacency, start: DataFrame, max_depth=None, hops: int | None =
     its last depth are the next frontier. Its row counts come from metrics
     observed while staging, so the driver loop adds no job of its own.
     """
-    hops = max(1, int(hops or HOPS_PER_JOB))
+    most = max(1, int(hops or HOPS_PER_JOB))
     key = ["seed", "_dir", "node"]
+    spark = start.sparkSession
     obs0 = Observation("bfs_start")
-    frontier = stage(start.observe(obs0, F.count(F.lit(1)).alias("rows")))
-    n_visited = obs0.get["rows"]
-    levels = [frontier]
-    visited = frontier.select(*key)
-    bucketed = False
+    schema = start.schema
+    frontier, path = stage_path(start.observe(obs0, F.count(F.lit(1)).alias("rows"),
+                                              F.max("_lim").alias("lim"), F.count(F.when(F.col("_lim").isNull(), 1)).alias("free")))
+    edge = obs0.get["rows"]
+    # the deepest level any row may reach: a bound on what is planned, not on rows
+    deepest = max_depth if isinstance(max_depth, int) else None
+    if not obs0.get["free"] and obs0.get["lim"] is not None:
+        deepest = obs0.get["lim"] if deepest is None else min(deepest, obs0.get["lim"])
+    paths = [path]
     scalar = _bound(max_depth)
     depth = 0
     steps = adj.steps
-    while True:
+    while edge and (deepest is None or depth < deepest):
+        hops = most if edge <= SMALL_FRONTIER else 1
+        if deepest is not None:
+            hops = min(hops, deepest - depth)
+        visited = spark.read.schema(schema).parquet(*paths).select(*key)
         cur, found = frontier, None
         for h in range(1, hops + 1):
             grow = cur.filter(F.col("_lim").isNull() | (F.col("depth") < F.col("_lim")))
@@ -166,37 +169,27 @@ def _expand(adj: Adjacency, start: DataFrame, max_depth=None, hops: int | None =
             found = cur if found is None else found.unionByName(cur)
         last = depth + hops
         obs = Observation(f"bfs_job_{last}")
-        new = (found.groupBy(*key).agg(F.min("depth").alias("depth"), F.first("_lim").alias("_lim"))
-               .observe(obs, F.count(F.lit(1)).alias("rows"),
-                        F.count(F.when(F.col("depth") == last, 1)).alias("edge")))
-        new = stage(new)
+        # every row of one seed and direction carries the same bound
+        new = found if hops == 1 else found.groupBy(*key).agg(F.min("depth").alias("depth"), F.max("_lim").alias("_lim"))
+        new, path = stage_path(new.select(*schema.names).observe(obs, F.count(F.lit(1)).alias("rows"),
+                                                                 F.count(F.when(F.col("depth") == last, 1)).alias("edge")))
         m = obs.get
         if m["rows"] == 0:
             break
-        levels.append(new)
-        n_visited += m["rows"]
-        visited = visited.unionByName(new.select(*key))
-        if n_visited > VISITED_BUCKET_ROWS:
-            visited = stage_bucketed(visited, key)
-            bucketed = True
-        elif not bucketed and len(levels) % RESTAGE_EVERY == 0:
-            visited = stage(visited)
-        if m["edge"] == 0:
-            break
+        paths.append(path)
         frontier = new.filter(F.col("depth") == last)
-        depth = last
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out.select("seed", "_dir", "node", "depth")
+        depth, edge = last, m["edge"]
+    return spark.read.schema(schema).parquet(*paths).select("seed", "_dir", "node", "depth")
 
 
 def _start(seeds: DataFrame, direction: str, limit_col: str | None) -> DataFrame:
     lim = F.col(limit_col).cast("int") if limit_col and limit_col in seeds.columns else F.lit(None).cast("int")
     return (seeds.filter(F.col("seed").isNotNull())
-            .select("seed", F.lit(direction).alias("_dir"), F.col("seed").alias("node"),
-                    F.lit(0).alias("depth"), lim.alias("_lim"))
-            .dropDuplicates(["seed", "_dir", "node"]))
+            .select("seed", F.lit(direction).alias("_dir"), lim.alias("_lim"))
+            .groupBy("seed", "_dir")
+            # a seed asked for more than once is searched to its largest bound (NULL: unbounded)
+            .agg(F.when(F.count(F.lit(1)) == F.count("_lim"), F.max("_lim")).alias("_lim"))
+            .select("seed", "_dir", F.col("seed").alias("node"), F.lit(0).alias("depth"), "_lim"))
 
 
 def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src: str = "source",
@@ -342,11 +335,11 @@ def highlight_levels(links_api: DataFrame, connected: DataFrame, seeds: DataFram
 def selection_indicators(nodes_api: DataFrame, links_api: DataFrame, connected: DataFrame) -> DataFrame:
     """Per seed: selected node count (distinct ids), highlighted link rows and
     ``round(100 * selected / node rows, 2)``; node rows count the full graph."""
-    total = nodes_api.count()
+    total = nodes_api.agg(F.count(F.lit(1)).alias("_total"))                # one row
     sel = connected.groupBy("seed").agg(F.countDistinct("node").alias("n_selected"))
     hl = induced_links(links_api, connected).groupBy("seed").agg(F.count(F.lit(1)).alias("n_links"))
-    pct = F.round(F.col("n_selected") * F.lit(100.0) / F.lit(float(total)), 2) if total else F.lit(None)
-    return (sel.join(hl, "seed", "left")
+    pct = F.when(F.col("_total") > 0, F.round(F.col("n_selected") * F.lit(100.0) / F.col("_total").cast("double"), 2))
+    return (sel.join(hl, "seed", "left").join(F.broadcast(total), F.lit(True), "left")
             .select("seed", F.col("n_selected").cast("long").alias("n_selected"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     pct.cast("double").alias("pct_highlighted")))

@@ -53,7 +53,7 @@ class GraphBuild:
         return self._get("objects", lambda: objects_union(self.edges(), self.params.host))
 
     def links_raw(self) -> DataFrame:
-        return links_raw(self.edges(), self.objects())
+        return links_raw(self.edges(), self.objects(), sources_known=True)      # the objects are these edges' ends
 
     def links(self) -> DataFrame:
         return self._get("links", lambda: break_two_cycles(self.links_raw(), self.params.mode))

@@ -5,7 +5,9 @@
         [--hms-log lin.legacy_access] [--purge-days 365] [--as-of 2024-02-10] [--mode strict]
     python -m edgeloom.plans.cli purge --audit sys.audit --links g.links --nodes g.nodes \\
         --inventory cat.tables --legacy-source g.legacy_tables --host my.host --days 365
+    python -m edgeloom.plans.cli validate --nodes g.nodes --inventory cat.tables --legacy-source g.legacy_tables
 
+``--total-cores`` applies the cluster settings of :func:`edgeloom.session.cluster_conf`.
 Tables are read and written through the session catalog; ``--as-of``
 defaults to today. Inventory tables have ``table_catalog, table_schema,
 table_name, last_altered``; the legacy source has the first three.
@@ -20,8 +22,8 @@ import json
 from pyspark.sql import SparkSession
 
 from edgeloom.plans.build import BuildParams
-from edgeloom.plans.jobs import GraphTables, graph_job, purge_job
-from edgeloom.session import DEFAULT_CONF, ensure_checkpoint_dir
+from edgeloom.plans.jobs import GraphTables, graph_job, purge_job, validate_job
+from edgeloom.session import DEFAULT_CONF, cluster_conf, ensure_checkpoint_dir
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -37,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--as-of", default=None)
         p.add_argument("--mode", choices=("reference", "strict"), default="reference")
         p.add_argument("--workspace", default="")
+        p.add_argument("--total-cores", type=int, default=None, help="size shuffles for a cluster of so many cores")
     g = sub.choices["graph"]
     g.add_argument("--uc-log", required=True)
     g.add_argument("--hms-log", default=None)
@@ -47,6 +50,12 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--legacy-source", required=True)
     p.add_argument("--legacy-inventory", default=None, help="table to refresh with the stamped legacy inventory")
     p.add_argument("--valid-ids", default=None, help="table to refresh with the valid table ids")
+    v = sub.add_parser("validate")
+    v.add_argument("--nodes", required=True)
+    v.add_argument("--inventory", required=True)
+    v.add_argument("--legacy-source", required=True)
+    v.add_argument("--valid-ids", default=None)
+    v.add_argument("--total-cores", type=int, default=None)
     return ap
 
 
@@ -54,10 +63,14 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     a = _parser().parse_args(argv)
     if spark is None:
         b = SparkSession.builder.appName(f"edgeloom-{a.job}")
-        for k, v in DEFAULT_CONF.items():
+        for k, v in (DEFAULT_CONF | (cluster_conf(a.total_cores) if a.total_cores else {})).items():
             b = b.config(k, v)
         spark = b.getOrCreate()
     ensure_checkpoint_dir(spark)
+    if a.job == "validate":
+        out = validate_job(spark, GraphTables("", a.nodes, valid_ids=a.valid_ids), spark.table(a.inventory), spark.table(a.legacy_source))
+        print(json.dumps(out))
+        return out
     as_of = a.as_of or dt.date.today().isoformat()
     params = BuildParams(a.workspace, a.host, as_of, a.days, a.mode)
     inventory = spark.table(a.inventory)

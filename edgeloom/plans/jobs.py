@@ -1,8 +1,10 @@
-"""The two scheduled jobs, end to end over catalog tables.
+"""The scheduled jobs, end to end over catalog tables.
 
 ``graph_job``: lineage logs -> links and nodes upserted into their tables ->
 retention. ``purge_job``: legacy inventory and valid ids refreshed -> assets
 deleted in the audit log removed from links, then nodes -> orphan rows removed.
+``validate_job``: valid ids rebuilt, nodes without one counted. What a job
+stages is removed when it ends.
 
 Table names are arguments; ``as_of`` replaces the reference's CURRENT_DATE so
 a run is reproducible. Every write goes through a staging table, so no table
@@ -16,9 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.operators import purge as P
-from edgeloom.operators.upsert import LINK_KEYS, NODE_KEYS, ORDER_COL, retain
+from edgeloom.functions.columns import as_date, window_start
+from edgeloom.operators.upsert import LINK_KEYS, NODE_KEYS, ORDER_COL
 from edgeloom.plans.build import BuildParams, GraphBuild
-from edgeloom.session import stage
+from edgeloom.session import stage, staging_scope
 from edgeloom.sources import scans as S
 from edgeloom.sources.sinks import overwrite_via_staging, save_or_upsert
 
@@ -34,18 +37,29 @@ class GraphTables:
 def graph_job(spark: SparkSession, uc_log: str, tables: GraphTables, params: BuildParams,
               inventory: DataFrame, legacy: DataFrame, hms_log: str | None = None,
               purge_days: int | None = None) -> dict:
-    """Build links and nodes from the lineage logs and upsert them; then retention."""
+    """Build links and nodes from the lineage logs and upsert them; retention goes in the same write."""
     raw = S.lineage_raw_from_catalog(spark, uc_log, hms_log)
-    g = GraphBuild(raw, params, inventory, legacy)
     null_safe = params.mode == "strict"
-    out = {
-        "links": save_or_upsert(g.links(), tables.links, LINK_KEYS, ORDER_COL, null_safe),
-        "nodes": save_or_upsert(g.nodes(), tables.nodes, NODE_KEYS, ORDER_COL, null_safe),
-    }
-    if purge_days is not None:
-        for t in (tables.links, tables.nodes):
-            overwrite_via_staging(retain(spark.table(t), params.as_of, purge_days), t)
-    return out
+    cutoff = None if purge_days is None else window_start(as_date(params.as_of), purge_days)
+    with staging_scope(spark):
+        g = GraphBuild(raw, params, inventory, legacy)
+        return {
+            "links": save_or_upsert(g.links(), tables.links, LINK_KEYS, ORDER_COL, null_safe, keep_from=cutoff),
+            "nodes": save_or_upsert(g.nodes(), tables.nodes, NODE_KEYS, ORDER_COL, null_safe, keep_from=cutoff),
+        }
+
+
+def validate_job(spark: SparkSession, tables: GraphTables, inventory: DataFrame, legacy_source: DataFrame) -> dict:
+    """Rebuild the valid ids and count the nodes that have none."""
+    with staging_scope(spark):
+        ids = S.valid_table_ids(inventory, S.legacy_inventory(legacy_source))
+        if tables.valid_ids:
+            overwrite_via_staging(ids, tables.valid_ids)
+            ids = spark.table(tables.valid_ids)
+        else:
+            ids = stage(ids)
+        bad = P.non_compliant_nodes(spark.table(tables.nodes), ids)
+        return {"valid_ids": ids.count(), "non_compliant": bad.count()}
 
 
 def purge_job(spark: SparkSession, audit: DataFrame, tables: GraphTables, params: BuildParams,
@@ -55,6 +69,11 @@ def purge_job(spark: SparkSession, audit: DataFrame, tables: GraphTables, params
     Links go first: the deletion hits are computed from the node table as it
     was before this job, and staged once so both merge-deletes use the same set.
     """
+    with staging_scope(spark):
+        return _purge(spark, audit, tables, params, inventory, legacy_source)
+
+
+def _purge(spark, audit, tables, params, inventory, legacy_source) -> dict:
     legacy = S.legacy_inventory(legacy_source)
     if tables.legacy_inventory:
         overwrite_via_staging(legacy, tables.legacy_inventory)
@@ -66,16 +85,17 @@ def purge_job(spark: SparkSession, audit: DataFrame, tables: GraphTables, params
     else:
         ids = stage(ids)
     nodes, links = spark.table(tables.nodes), spark.table(tables.links)
+    facts = P.id_facts(ids)                              # once for links and nodes
     dels = P.deletions(S.audit_scan(audit), params.host, params.as_of, params.days, params.mode)
     hits = stage(P.deleted_entities(nodes, dels, params.mode))
 
     links_m = stage(P.match_deleted_links(links, hits))
-    links_o = P.drop_orphan_links(links_m, ids, params.mode)
+    links_o = P.drop_orphan_links(links_m, ids, params.mode, facts)
     link_metrics = P.delete_metrics(links, links_m, links_o, "links").first().asDict()
     overwrite_via_staging(links_o, tables.links)
 
     nodes_m = stage(P.merge_delete_nodes(nodes, hits))
-    nodes_o = P.drop_orphan_nodes(nodes_m, ids, params.mode)
+    nodes_o = P.drop_orphan_nodes(nodes_m, ids, params.mode, facts)
     node_metrics = P.delete_metrics(nodes, nodes_m, nodes_o, "nodes").first().asDict()
     overwrite_via_staging(nodes_o, tables.nodes)
     return {"links": link_metrics, "nodes": node_metrics}

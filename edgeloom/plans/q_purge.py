@@ -3,6 +3,8 @@ upserts and retention."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from edgeloom import oracle as O
@@ -133,8 +135,8 @@ def q_null_aware_not_in(c):
     return P.orphan_nodes(c.g.nodes(), ids(c))
 
 
-_NONCOMP = f"""SELECT {O.NODE_COLS} FROM nodes ln
-WHERE NOT EXISTS (SELECT 1 FROM valid_ids tv WHERE ln.node = tv.table_id) AND node_type = {T}"""
+_NONCOMP = f"""SELECT {O.NODE_COLS} FROM nodes
+ANTI JOIN (SELECT table_id AS node FROM valid_ids) known USING (node) WHERE node_type = {T}"""
 
 
 @register("non_compliant_nodes", W(_NONCOMP, "nodes", "valid_ids"))
@@ -253,25 +255,24 @@ def _graph_schema(c) -> str:
     return GRAPH_SCHEMA
 
 
+def _fresh_table(c, kind: str, df, keys):
+    """Create the table through the sink, new for each call, and read it back."""
+    from edgeloom.sources.sinks import save_or_upsert
+    table = f"{_graph_schema(c)}.lineage_{kind}_{uuid.uuid4().hex}"
+    save_or_upsert(df, table, keys, U.ORDER_COL)
+    return c.spark.table(table).select(*df.columns)
+
+
 @register("bootstrap_schema", W(f"SELECT {O.NODE_COLS} FROM nodes", "nodes"))
 def q_bootstrap_schema(c):
     """Schema created on first use; the node table is written into it and read back."""
-    from edgeloom.sources.sinks import save_or_upsert
-    schema = _graph_schema(c)
-    table = f"{schema}.lineage_nodes_{c.spark.sparkContext.applicationId.replace('-', '_')}"
-    if not c.spark.catalog.tableExists(table):
-        save_or_upsert(c.g.nodes(), table, U.NODE_KEYS, U.ORDER_COL)
-    return c.spark.table(table)
+    return _fresh_table(c, "nodes", c.g.nodes(), U.NODE_KEYS)
 
 
-@register("create_if_absent", W(f"SELECT {O.LINK_COLS} FROM t_links", "t_links"))
+@register("create_if_absent", W(f"SELECT {O.LINK_COLS} FROM links", "links"))
 def q_create_if_absent(c):
-    """First run writes the target batch's links as the table."""
-    from edgeloom.sources.sinks import save_or_upsert
-    table = f"{_graph_schema(c)}.lineage_links_{c.spark.sparkContext.applicationId.replace('-', '_')}"
-    if not c.spark.catalog.tableExists(table):
-        save_or_upsert(batch(c, "target").links(), table, U.LINK_KEYS, U.ORDER_COL)
-    return c.spark.table(table)
+    """First run writes the links of all events as the table."""
+    return _fresh_table(c, "links", c.g.links(), U.LINK_KEYS)
 
 
 # ------------------------------------------------------------- strict mode

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +78,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPES: list[tuple[list[str], list[str]]] = []     # paths and tables staged inside each open scope
+
+
+@contextmanager
+def staging_scope(spark: SparkSession):
+    """Remove what is staged inside the block when it ends (the folders and the tables).
+
+    For jobs whose results are written elsewhere before they end. Frames staged
+    inside must not be read afterwards.
+    """
+    paths, tables = [], []
+    _SCOPES.append((paths, tables))
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for t in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+        jvm = spark.sparkContext._jvm
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Materialize a shared intermediate under the checkpoint folder.
 
@@ -87,28 +112,40 @@ def stage(df: DataFrame) -> DataFrame:
     stages. (``Dataset.checkpoint`` would run the plan twice: once for the
     eager count and once more to write the files.)
     """
+    return stage_path(df)[0]
+
+
+def stage_path(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like :func:`stage`, with the folder that was written."""
     spark = df.sparkSession
     path = _stage_path(spark)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def _stage_path(spark: SparkSession) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/edgeloom-stages/{uuid.uuid4().hex}"
+    path = f"{root}/edgeloom-stages/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1][0].append(path)
+    return path
 
 
 def stage_bucketed(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
     """Like :func:`stage`, but bucketed (hash-partitioned into files) by ``cols``.
 
     A frame joined on ``cols`` again and again (the BFS adjacency) is then
-    never shuffled for those joins: only the other side moves. The table is
-    external (its files live under the checkpoint folder) and registered under
-    a generated name in the session catalog.
+    never shuffled for those joins: only the other side moves. The rows are
+    dealt to one task per bucket first, so a table of n buckets has n files, not
+    n times the number of tasks. The table is external (its files live under
+    the checkpoint folder) and registered under a generated name in the session
+    catalog; :func:`staging_scope` drops it.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"edgeloom_stage_{uuid.uuid4().hex}"
-    (df.write.mode("overwrite").format("parquet").option("path", _stage_path(spark))
+    (df.repartition(n, *cols).write.mode("overwrite").format("parquet").option("path", _stage_path(spark))
      .bucketBy(n, *cols).saveAsTable(name))
+    if _SCOPES:
+        _SCOPES[-1][1].append(name)
     return spark.table(name)

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 _READY = "edgeloom.swap"
 
 
-def _swap_in(spark: SparkSession, staging: str, table: str) -> None:
+def _staging_name(table: str) -> str:
+    return f"{table}__staging_{uuid.uuid4().hex[:12]}"
+
+
+def _staging_tables(spark: SparkSession, table: str) -> list[str]:
+    """Staging tables that earlier runs left for ``table``."""
+    schema, _, name = table.rpartition(".")
+    rows = spark.sql(f"SHOW TABLES {'IN ' + schema if schema else ''} LIKE '{name}__staging*'").collect()
+    return sorted((f"{schema}." if schema else "") + r["tableName"] for r in rows)
+
+
+def _swap_in(spark: SparkSession, staging: str, table: str, partition_by: str | None = None) -> None:
     """Replace ``table`` with the complete ``staging`` table, then drop it.
 
     The staging table is marked ready only after it is fully written. If the
@@ -17,30 +30,46 @@ def _swap_in(spark: SparkSession, staging: str, table: str) -> None:
     finds the ready staging table and finishes the swap on the next write.
     """
     spark.sql(f"ALTER TABLE {staging} SET TBLPROPERTIES ('{_READY}' = 'ready')")
-    spark.table(staging).write.mode("overwrite").saveAsTable(table)
+    _write(spark.table(staging), table, partition_by)
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
     spark.catalog.refreshTable(table)
 
 
+def _write(df: DataFrame, table: str, partition_by: str | None) -> None:
+    w = df.write.mode("overwrite")
+    if partition_by:
+        # a date's rows go to a few tasks, so a table has a few files a date, not one per task and date
+        w = df.repartition(F.col(partition_by), F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(partition_by)
+    w.saveAsTable(table)
+
+
 def recover_swap(spark: SparkSession, table: str) -> None:
-    """Finish a swap that a dead driver left half done, or drop an incomplete staging table."""
-    staging = f"{table}__staging"
-    if not spark.catalog.tableExists(staging):
-        return
-    props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {staging}").collect()}
-    if props.get(_READY) == "ready":
-        _swap_in(spark, staging, table)
-    else:
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
-
-
-def publish(df: DataFrame, name: str, global_view: bool = False) -> DataFrame:
-    """Expose a stage by name (temp view) and return the view."""
+    """Finish a swap that a dead driver left half done, or drop incomplete staging tables."""
+    for staging in _staging_tables(spark, table):
+        props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {staging}").collect()}
+        if props.get(_READY) == "ready":
+            _swap_in(spark, staging, table)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {staging}")
+
+
+def publish(df: DataFrame, name: str, global_view: bool = False, table: str | None = None) -> DataFrame:
+    """Expose a stage by name and return the view.
+
+    A temp view by default, or a global-temp view. With ``table`` the frame is
+    written to that table and ``name`` becomes a persistent view of it, which
+    later sessions and jobs read.
+    """
+    spark = df.sparkSession
+    if table:
+        overwrite_via_staging(df, table)
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {table}")
+        return spark.table(name)
     if global_view:
         df.createOrReplaceGlobalTempView(name)
-        return df.sparkSession.table(f"global_temp.{name}")
+        return spark.table(f"global_temp.{name}")
     df.createOrReplaceTempView(name)
-    return df.sparkSession.table(name)
+    return spark.table(name)
 
 
 def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -50,45 +79,50 @@ def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -
 
 
 def save_or_upsert(df: DataFrame, table: str, keys: list[str], order_col: str,
-                   null_safe: bool = False, row_level: bool = False) -> dict:
+                   null_safe: bool = False, row_level: bool = False, keep_from=None) -> dict:
     """First run writes the frame as the table; later runs upsert into it.
 
     Tables that support row-level operations are merged in place with
     ``DataFrame.mergeInto``. Plain file tables cannot be rewritten while they are
     read, so the merged frame is written to a staging table first and then
-    replaces the target. Returns the inserted/updated counts.
+    replaces the target. The join runs once: the action counts are observed
+    while its result is written. ``keep_from``: rows of an earlier date are left
+    out of what is written (retention; NULL dates stay). Returns the
+    inserted/updated counts.
     """
-    from edgeloom.operators.upsert import upsert, upsert_metrics
+    from edgeloom.operators.upsert import tagged_merge, upsert_metrics
 
     spark = df.sparkSession
     recover_swap(spark, table)
+    kept = F.lit(True) if keep_from is None else F.col(order_col).isNull() | (F.col(order_col) >= keep_from)
     if not spark.catalog.tableExists(table):
-        df.write.saveAsTable(table)
+        _write(df.filter(kept), table, order_col)
         return {"inserted": None, "updated": None, "created": True}
     target = spark.table(table)
-    metrics = upsert_metrics(target, df, keys, order_col, null_safe)
-    counts = {r["action"]: r["rows"] for r in metrics.collect()}
     if row_level:
         # Table formats with row-level operations (DSv2 MERGE support) merge in place.
         # Not exercised in this repo's tests: no such format is installed here.
+        counts = {r["action"]: r["rows"] for r in upsert_metrics(target, df, keys, order_col, null_safe).collect()}
         eq = " AND ".join(f"{table}.{k} {'<=>' if null_safe else '='} s.{k}" for k in keys)
         (df.alias("s").mergeInto(table, F.expr(eq))
          .whenMatched(F.expr(f"{table}.{order_col} <= s.{order_col}")).updateAll()
          .whenNotMatched().insertAll()
          .merge())
         return {"inserted": counts.get("inserted", 0), "updated": counts.get("updated", 0), "created": False}
-    merged = upsert(target, df, keys, order_col, null_safe)
-    staging = f"{table}__staging"
-    merged.write.mode("overwrite").saveAsTable(staging)
-    _swap_in(spark, staging, table)
-    return {"inserted": counts.get("inserted", 0), "updated": counts.get("updated", 0), "created": False}
+    seen = Observation(f"upsert_{uuid.uuid4().hex[:8]}")
+    merged = tagged_merge(target, df, keys, order_col, null_safe).observe(
+        seen, *[F.count(F.when(F.col("action") == a, 1)).alias(a) for a in ("inserted", "updated")])
+    staging = _staging_name(table)
+    merged.drop("action").filter(kept).write.mode("overwrite").saveAsTable(staging)
+    _swap_in(spark, staging, table, order_col)
+    return {"inserted": seen.get["inserted"], "updated": seen.get["updated"], "created": False}
 
 
 def overwrite_via_staging(df: DataFrame, table: str) -> None:
-    """Replace a table with a frame that may read it (purges, retention)."""
+    """Replace a table with a frame that may read it (purges)."""
     spark = df.sparkSession
     recover_swap(spark, table)
-    staging = f"{table}__staging"
+    staging = _staging_name(table)
     df.write.mode("overwrite").saveAsTable(staging)
     _swap_in(spark, staging, table)
 

@@ -29,8 +29,8 @@ def test_graph_then_purge_job(spark, tmp_path):
 
     graph_job(spark, "jobs_t.uc_log", tables, params, fx.inventory(), fx.legacy(), hms_log="jobs_t.hms_log")
     g = GraphBuild(fx.events(), params, fx.inventory(), fx.legacy())
-    assert rows(table(spark, "jobs_t.links")) == rows(g.links())
-    assert rows(table(spark, "jobs_t.nodes")) == rows(g.nodes())
+    assert rows(table(spark, "jobs_t.links"), *g.links().columns) == rows(g.links())
+    assert rows(table(spark, "jobs_t.nodes"), *g.nodes().columns) == rows(g.nodes())
 
     # a second run over the same log re-inserts only the rows whose URL is NULL (NULL never matches in MERGE)
     again = graph_job(spark, "jobs_t.uc_log", tables, params, fx.inventory(), fx.legacy(),
@@ -43,12 +43,13 @@ def test_graph_then_purge_job(spark, tmp_path):
     ids = S.valid_table_ids(fx.inventory(), S.legacy_inventory(legacy_inventory_source(fx.table("supplier"))))
     dels = P.deletions(S.audit_scan(fx.audit()), HOST, AS_OF, OFFSET_DAYS)
     hits = P.deleted_entities(before_nodes, dels)
-    want_links = rows(P.drop_orphan_links(P.match_deleted_links(before_links, hits), ids))
-    want_nodes = rows(P.drop_orphan_nodes(P.merge_delete_nodes(before_nodes, hits), ids))
+    named = lambda df: sorted(str(tuple(r[c] for c in sorted(df.columns))) for r in df.collect())
+    want_links = named(P.drop_orphan_links(P.match_deleted_links(before_links, hits), ids))
+    want_nodes = named(P.drop_orphan_nodes(P.merge_delete_nodes(before_nodes, hits), ids))
     n_links, n_nodes = before_links.count(), before_nodes.count()
     out = purge_job(spark, fx.audit(), tables, params, fx.inventory(), legacy_inventory_source(fx.table("supplier")))
-    assert rows(table(spark, "jobs_t.links")) == want_links
-    assert rows(table(spark, "jobs_t.nodes")) == want_nodes
+    assert named(table(spark, "jobs_t.links")) == want_links
+    assert named(table(spark, "jobs_t.nodes")) == want_nodes
     assert out["links"]["total_deleted"] == n_links - len(want_links)
     assert out["nodes"]["total_deleted"] == n_nodes - len(want_nodes)
     assert table(spark, "jobs_t.valid_ids").count() == ids.count()
@@ -74,6 +75,10 @@ def test_cli_runs_both_jobs(spark, tmp_path):
     assert table(spark, "cli_t.links").count() == g.links().count()
     out = main(["purge", *common, "--audit", "cli_t.audit", "--legacy-source", "cli_t.legacy_source"], spark=spark)
     assert out["links"]["total_deleted"] > 0 and out["nodes"]["total_deleted"] > 0
+    out = main(["validate", "--nodes", "cli_t.nodes", "--inventory", "cli_t.inventory", "--legacy-source", "cli_t.legacy_source",
+                "--valid-ids", "cli_t.valid_ids"], spark=spark)
+    assert out["valid_ids"] == table(spark, "cli_t.valid_ids").count() > 0
+    assert out["non_compliant"] == P.non_compliant_nodes(table(spark, "cli_t.nodes"), table(spark, "cli_t.valid_ids")).count()
 
 
 def test_lineage_raw_without_legacy_log(spark, tmp_path):

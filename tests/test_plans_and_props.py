@@ -198,8 +198,8 @@ def test_hub_is_salted_and_bfs_stays_exact(spark, monkeypatch):
         assert {n: d for (x, n), d in up_r.items() if x == s} == _reach(edges, s, True)
 
 
-def test_bucketed_visited_set_stays_exact(spark, monkeypatch):
-    monkeypatch.setattr(TR, "VISITED_BUCKET_ROWS", 3)
+def test_one_level_jobs_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(TR, "SMALL_FRONTIER", 0)
     edges = [(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n5", "n2"), ("n9", "x"), ("x", "n1")]
     la = api(spark, edges)
     up, down = TR.bfs_both(la, seeds(spark, "n0", "n7"))
@@ -210,6 +210,43 @@ def test_bucketed_visited_set_stays_exact(spark, monkeypatch):
         assert {n: d for (x, n), d in up_r.items() if x == s} == _reach(edges, s, True)
 
 
+def test_repeated_seeds_take_the_largest_bound(spark):
+    la = api(spark, [(f"n{i}", f"n{i + 1}") for i in range(9)])
+    sel = spark.createDataFrame([("n0", 0, 2), ("n0", 0, 5), ("n3", None, 1), ("n3", 1, 1), ("n6", 0, 0)],
+                                "seed string, up_level int, down_level int")
+    got = {}
+    for r in TR.connected_nodes(la, sel).collect():
+        got.setdefault(r.seed, set()).add(r.node)
+    assert got == {"n0": {f"n{i}" for i in range(6)}, "n3": {f"n{i}" for i in range(5)}, "n6": {"n6"}}
+
+
+def test_bounded_search_plans_no_level_beyond_its_bound(spark, monkeypatch):
+    written = []
+    real = TR.stage_path
+    monkeypatch.setattr(TR, "stage_path", lambda df: written.append(df) or real(df))
+    la = api(spark, [(f"n{i}", f"n{i + 1}") for i in range(9)])
+    assert TR.bfs(la, seeds(spark, "n0"), TR.DOWN, 1).count() == 2
+    assert len(written) == 2                         # the start and one level
+    assert plan(written[1], "simple").count("_probe") <= 1
+
+
+def test_patterns_do_not_share_a_key(spark):
+    from edgeloom.operators.patterns import bucket_patterns, like_join
+    host = "https://workspace-with-a-rather-long-name.example.net"
+    pats = [f"{host}/sql/dashboards%/{i:08x}-77aa" for i in range(500)] + [f"{host}/explore/data/main/s{i}/%" for i in range(500)]
+    pats += ["%x%", "plain", "a\\%b", "s1%"]
+    p = spark.createDataFrame([(x,) for x in pats], "p string")
+    keys = bucket_patterns(p, "p")
+    assert keys.count() == len(pats)
+    assert keys.groupBy("_kind", "_arg", "_bkey").count().agg(F.max("count")).first()[0] <= 2
+    values = [f"{host}/sql/dashboards/00000007-77aa", f"{host}/sql/dashboardsv3/000001f3-77aa", f"{host}/explore/data/main/s7/t",
+              f"{host}/explore/data/main/s77", "plain", "axb", "s10", None, "", "a%b"]
+    v = spark.createDataFrame([(x,) for x in values], "v string")
+    got = sorted((r.v, r.p) for r in like_join(v, "v", p, "p").collect())
+    want = sorted((r.v, r.p) for r in v.join(p, F.expr("v LIKE p")).collect())
+    assert got == want and len(got) >= 6
+
+
 def test_bucketed_visited_anti_join_shuffles_neither_side(spark):
     from edgeloom.session import stage_bucketed
     key = ["seed", "_dir", "node"]

@@ -1,4 +1,4 @@
-"""Streaming refresh and table sinks."""
+"""Table sinks and views."""
 
 from pyspark.sql import functions as F
 
@@ -6,14 +6,12 @@ from edgeloom.operators import upsert as U
 from edgeloom.plans.build import BuildParams, GraphBuild
 from edgeloom.sources.fixtures import AS_OF, HOST, OFFSET_DAYS, UPSERT_SPLIT, WORKSPACE, Fixture
 from edgeloom.sources.sinks import ensure_schema, save_or_upsert
-from edgeloom.streaming.refresh import RefreshTargets, lineage_stream, start_refresh
 from tests.helpers import rows
 
 SF = "/root/testdata/sf0.001"
 
 
 def table(spark, name):
-    # the stream writes through its own (cloned) session: drop this session's file listing
     spark.catalog.refreshTable(name)
     return spark.table(name)
 
@@ -24,34 +22,6 @@ def _split(fx):
     return ev.filter(F.col("event_date") < split), ev.filter(F.col("event_date") >= split)
 
 
-def test_streaming_refresh_equals_batch_upsert(spark, tmp_path):
-    fx = Fixture(spark, SF)
-    params = BuildParams(WORKSPACE, HOST, AS_OF, OFFSET_DAYS)
-    first, second = _split(fx)
-    ensure_schema(spark, "stream_t", str(tmp_path / "wh"))
-    src = str(tmp_path / "lineage")
-    targets = RefreshTargets("stream_t.links", "stream_t.nodes", str(tmp_path / "ckpt"))
-    first.write.mode("append").parquet(src)
-    q = start_refresh(lineage_stream(spark, src, first.schema), params, targets, fx.inventory(), fx.legacy())
-    q.awaitTermination()
-    t_links = GraphBuild(first, params, fx.inventory(), fx.legacy()).links()
-    assert rows(table(spark, "stream_t.links")) == rows(t_links)
-
-    second.write.mode("append").parquet(src)
-    q = start_refresh(lineage_stream(spark, src, first.schema), params, targets, fx.inventory(), fx.legacy())
-    q.awaitTermination()
-    g2 = GraphBuild(second, params, fx.inventory(), fx.legacy())
-    g1 = GraphBuild(first, params, fx.inventory(), fx.legacy())
-    assert rows(table(spark, "stream_t.links")) == rows(U.upsert(g1.links(), g2.links(), U.LINK_KEYS))
-    assert rows(table(spark, "stream_t.nodes")) == rows(U.upsert(g1.nodes(), g2.nodes(), U.NODE_KEYS))
-
-    # a run with no new files leaves the tables as they are
-    before = rows(table(spark, "stream_t.links"))
-    q = start_refresh(lineage_stream(spark, src, first.schema), params, targets, fx.inventory(), fx.legacy())
-    q.awaitTermination()
-    assert rows(table(spark, "stream_t.links")) == before
-
-
 def test_save_or_upsert_create_then_merge(spark, tmp_path):
     fx = Fixture(spark, SF)
     params = BuildParams(WORKSPACE, HOST, AS_OF, OFFSET_DAYS)
@@ -64,7 +34,38 @@ def test_save_or_upsert_create_then_merge(spark, tmp_path):
     r2 = save_or_upsert(g2.links(), "sink_t.links", U.LINK_KEYS, U.ORDER_COL)
     m = {r["action"]: r["rows"] for r in U.upsert_metrics(g1.links(), g2.links(), U.LINK_KEYS).collect()}
     assert (r2["inserted"], r2["updated"]) == (m.get("inserted", 0), m.get("updated", 0))
-    assert rows(spark.table("sink_t.links")) == rows(U.upsert(g1.links(), g2.links(), U.LINK_KEYS))
+    cols = g1.links().columns                    # the date is the table's partition column and stands last
+    assert rows(spark.table("sink_t.links"), *cols) == rows(U.upsert(g1.links(), g2.links(), U.LINK_KEYS))
+    cut = F.lit("2024-01-21").cast("date")
+    save_or_upsert(g2.links(), "sink_t.links", U.LINK_KEYS, U.ORDER_COL, keep_from=cut)
+    assert spark.table("sink_t.links").filter(F.col("last_event_date") < cut).count() == 0
+    assert spark.table("sink_t.links").count() > 0
+
+
+def test_persistent_view(spark, tmp_path):
+    from edgeloom.sources.sinks import publish
+    ensure_schema(spark, "view_t", str(tmp_path / "wh"))
+    a = spark.createDataFrame([(1,), (2,)], "x int")
+    v = publish(a, "view_t.vw", table="view_t.vw_data")
+    assert rows(v) == [(1,), (2,)]
+    publish(spark.table("view_t.vw").filter("x = 2"), "view_t.vw", table="view_t.vw_data")       # may read itself
+    assert rows(spark.newSession().table("view_t.vw")) == [(2,)]
+
+
+def test_staged_buckets_are_one_file_each_and_scopes_clean_up(spark):
+    import os
+
+    from edgeloom.session import stage, stage_bucketed, staging_scope
+    df = spark.range(5000).repartition(20).selectExpr("id % 100 AS k", "id")
+    with staging_scope(spark):
+        b, s = stage_bucketed(df, ["k"], 6), stage(df)
+        files = [f.replace("file://", "").replace("file:", "") for f in b.inputFiles() + s.inputFiles()]
+        assert len(b.inputFiles()) <= 6 and b.count() == s.count() == 5000
+        tables = {t.name for t in spark.catalog.listTables() if t.name.startswith("edgeloom_stage_")}
+        assert all(os.path.exists(f) for f in files)
+    assert not any(os.path.exists(f) for f in files)
+    left = {t.name for t in spark.catalog.listTables()}
+    assert len(tables - left) == 1
 
 
 def test_publish_and_export(spark, tmp_path):
