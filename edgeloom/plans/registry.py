@@ -76,7 +76,7 @@ def oracle_sql() -> dict[str, str]:
 def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
-    for m in ("q_build", "q_serve", "q_graph", "q_purge"):
+    for m in ("q_build", "q_serve", "q_graph", "q_purge", "q_scale"):
         try:
             importlib.import_module(f"edgeloom.plans.{m}")
         except ModuleNotFoundError as ex:
