@@ -2,8 +2,7 @@
 
 Codes are signs of rotated vectors: principal axes of a bounded sample, turned
 by rotations that iterative quantization learns (Gong and Lazebnik 2011). A
-code is cut into 16-bit substrings and each is indexed: codes in order of the
-substring's value. Two codes within a Hamming radius are near in some
+code is cut into 16-bit substrings and each is indexed by its value. Two codes within a Hamming radius are near in some
 substring (pigeonhole), so every value near the query's is probed, and what is
 found is held against the radius in full. Candidates are reranked by cosine on
 the original vectors, in double precision. The radius is the one that covers
@@ -74,15 +73,12 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """The substrings of a batch of codes, each as its values in order with the rows that hold them."""
+    """The substrings of a batch of codes: of each, the values in use and which of them every code holds."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.tables = []
-        for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            values, first = np.unique(codes[order, s], return_index=True)
-            self.tables.append((values, first, np.append(first[1:], len(order)), order))
+        self.tables = [np.unique(codes[:, s], return_inverse=True) for s in range(codes.shape[1])]
+        self.words = _words(codes)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows of every code within the radius, none missed: substring s may be radius // m away, m substrings."""
@@ -90,11 +86,16 @@ class MultiIndex:
         if radius >= 16 * m:
             return np.arange(len(self.codes))
         hit = np.zeros(len(self.codes), dtype=bool)
-        for s, (values, first, last, order) in enumerate(self.tables):
-            for v in np.flatnonzero(np.bitwise_count(values ^ code[s]) <= radius // m):
-                hit[order[first[v]:last[v]]] = True
+        for s, (values, held) in enumerate(self.tables):
+            hit |= (np.bitwise_count(values ^ code[s]) <= radius // m)[held]
         at = np.flatnonzero(hit)
-        return at[hamming(self.codes[at], code) <= radius]
+        return at[hamming(self.words[at], _words(code[None, :])) <= radius]
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words."""
+    short = -codes.shape[1] % 4
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, short)))).view(np.uint64)
 
 
 def _clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
