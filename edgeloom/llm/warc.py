@@ -26,7 +26,7 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _header(min_bytes: int) -> Column:
+def _header() -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     rid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     # a line break inside a URL would end the header early
@@ -61,7 +61,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     last = F.lit(2**63 - 1)
     typed = narrow.join(first, ["address", "sha1", "n"]).withColumn(
         "record_type", F.when(same | (F.col("n") < min_bytes), "response").otherwise("revisit"))
-    typed.select("page_id", "address", _header(min_bytes).alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
+    typed.select("page_id", "address", _header().alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
     # only the first holder's bytes move; rows that repeat its id hold the same bytes
     own = rec.select("address", F.coalesce("page_id", last).alias("holder"), "payload").join(
         first.select("address", F.coalesce("first_id", last).alias("holder")), ["address", "holder"])
