@@ -66,14 +66,23 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def key_bitmap(keys: DataFrame, bits: int, col: str = "key"):
-    """Broadcast bitmap of long keys: ``bits`` bits, however many keys there are. See :func:`in_bitmap`."""
+    """Broadcast bitmap of long keys: ``bits`` bits, however many keys there are. See :func:`in_bitmap`.
+
+    Built on the executors in pieces of 4 KB; only the pieces reach the driver.
+    """
     import numpy as np
+    import pandas as pd
+
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << 15, dtype=np.uint8)
+        held[pdf["slot"].to_numpy() & ((1 << 15) - 1)] = 1
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "held": [np.packbits(held, bitorder="little").tobytes()]})
 
-    slot = F.expr(f"shiftrightunsigned({col}, 13) % {bits}")
-    words = (keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast((shiftrightunsigned({col}, 13) % {bits}) & 63 as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
+    slots = keys.select(F.expr(f"shiftrightunsigned({col}, 13) % {bits}").alias("slot")).distinct()
+    pieces = slots.withColumn("piece", F.shiftright("slot", 15)).groupBy("piece").applyInPandas(piece, "piece long, held binary")
     bitmap = np.zeros(bits // 64, np.uint64)
-    bitmap[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    for r in pieces.toLocalIterator():
+        bitmap[r["piece"] * 512:(r["piece"] + 1) * 512] = np.frombuffer(bytes(r["held"]), dtype=np.uint64)
     return keys.sparkSession.sparkContext.broadcast(bitmap)
 
 

@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm import shingles as sh
-from edgeloom.llm.common import components, in_bitmap, key_bitmap, sized_broadcast, table
+from edgeloom.llm.common import components, in_bitmap, key_bitmap, sized_broadcast, table, whole_groups
 from edgeloom.session import stage
 
 BITS = 1024                      # of a document's token bitmap
 FANOUT = 8
+LEAF = 16                        # members up to which a bucket is a single leaf
 BLOCK = 2000                     # members of one traversal's side
-FILTER_BITS = 1 << 24            # of the bitmap that tells shared keys, whatever their number
+FILTER_BITS = 1 << 26            # of the bitmap that tells shared keys, whatever their number
 PARTS_OVER = 1.35                # parts for every shingle that may differ: few parts are empty
 BROADCAST_ROWS = 2_000_000
 
@@ -125,13 +126,15 @@ def _facts(k: int):
 
 
 def _emit(k: int, num: int, den: int, seen=None):
+    """(key, doc) of every part; with a bitmap of shared keys, (key, doc, n) of the parts in it."""
     def fn(ids, texts):
-        key, t = part_keys(*_sets(texts, k), num, den)
-        if seen is not None:
-            hit = in_bitmap(key, seen.value)
-            key, t = key[hit], t[hit]
-        return key.view(np.int64), ids[t]
-    return _per_chunk(fn, ["key", "doc"])
+        s, t = _sets(texts, k)
+        key, own = part_keys(s, t, num, den)
+        if seen is None:
+            return key.view(np.int64), ids[own]
+        hit = in_bitmap(key, seen.value)
+        return key.view(np.int64)[hit], ids[own[hit]], np.bincount(t, minlength=len(ids))[own[hit]].astype(np.int32)
+    return _per_chunk(fn, ["key", "doc"] if seen is None else ["key", "doc", "n"])
 
 
 class SignatureTree:
@@ -187,10 +190,8 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, num: int, den: int, same:
         if level:
             na = len(a.levels[min(level - 1, len(a.levels) - 1)][0])
             nb = len(b.levels[min(level - 1, len(b.levels) - 1)][0])
-            fi = np.array([FANOUT if level < len(a.levels) else 1])[0]
-            fj = np.array([FANOUT if level < len(b.levels) else 1])[0]
-            ci = (i[:, None] * fi + np.arange(fi)[None, :])
-            cj = (j[:, None] * fj + np.arange(fj)[None, :])
+            fi, fj = (FANOUT if level < len(x.levels) else 1 for x in (a, b))     # a shallower tree waits at its root
+            ci, cj = i[:, None] * fi + np.arange(fi), j[:, None] * fj + np.arange(fj)
             i2 = np.repeat(ci, fj, axis=1).ravel()
             j2 = np.tile(cj, (1, fi)).ravel()
             ok = (i2 < na) & (j2 < nb)
@@ -198,25 +199,67 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, num: int, den: int, same:
     return a.order[i], b.order[j]
 
 
+def leaf_pairs(group: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same pairs within groups of LEAF members at most, rows of a group being neighbours: such a group is one leaf."""
+    out = []
+    for step in range(1, LEAF):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        if not len(i):
+            break
+        j = i + step
+        a, b = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (label[i] != label[j]) & (a * den >= b * num)
+        i, j = i[ok], j[ok]
+        most = np.minimum(n[i] - _popcount(bits[i] & ~bits[j]), n[j] - _popcount(bits[j] & ~bits[i]))
+        ok = most * (num + den) >= num * (n[i] + n[j])
+        out.append((i[ok], j[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _traverse(num: int, den: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        def tree(d: pd.DataFrame) -> SignatureTree:
-            bits = np.frombuffer(b"".join(d["bitmap"]), dtype=np.uint64).reshape(len(d), -1)
-            return SignatureTree(d["n"].to_numpy(np.int64), d["label_no"].to_numpy(np.int64), bits)
-
-        pdf = pdf.assign(label_no=pd.factorize(pdf["label"])[0])
-        left, right = pdf[pdf["side"] != 1].reset_index(drop=True), pdf[pdf["side"] != 0].reset_index(drop=True)
-        same = bool((pdf["side"] == 2).all())
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        i, j = dual_traversal(tree(left), tree(right), num, den, same)
-        return pd.DataFrame({"a": left["doc"].to_numpy()[i], "b": right["doc"].to_numpy()[j]})
-    return fn
-
-
-def _links(pairs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, verified on whole shingle sets; texts of candidates only are fetched."""
-    pairs = stage(pairs.distinct())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches, "bucket"):
+            group, doc, side = b["bucket"].to_numpy(), b["doc"].to_numpy(), b["side"].to_numpy()
+            n, label = b["n"].to_numpy(np.int64), pd.factorize(b["label"])[0]
+            bits = np.frombuffer(b"".join(b["bitmap"]), dtype=np.uint64).reshape(len(b), -1)
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.concatenate([first, [len(b)]]))
+            small = np.repeat((size <= LEAF) & (np.minimum.reduceat(side, first) == 2), size)
+            i, j = leaf_pairs(group[small], n[small], label[small], bits[small], num, den)
+            yield pd.DataFrame({"a": doc[small][i], "b": doc[small][j]})
+            for at, count in zip(first[~small[first]].tolist(), size[~small[first]].tolist()):
+                own = np.arange(at, at + count)
+                left, right = own[side[own] != 1], own[side[own] != 0]
+                if len(left) and len(right):
+                    same = bool((side[own] == 2).all())
+                    tree = SignatureTree(n[left], label[left], bits[left])
+                    i, j = dual_traversal(tree, tree if same else SignatureTree(n[right], label[right], bits[right]), num, den, same)
+                    yield pd.DataFrame({"a": doc[left][i], "b": doc[right][j]})
+    return run
+
+
+def _in_reach(num: int, den: int):
+    """Keeps the pairs whose sizes and token bitmaps leave room for a link."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if not len(p):
+                continue
+            n, m = p["n"].to_numpy(np.int64), p["m"].to_numpy(np.int64)
+            x, y = (np.frombuffer(b"".join(p[c]), dtype=np.uint64).reshape(len(p), -1) for c in ("bits", "bits2"))
+            most = np.minimum(n - _popcount(x & ~y), m - _popcount(y & ~x))
+            yield p.loc[most * (num + den) >= num * (n + m), ["a", "b"]]
+    return run
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, verified on whole shingle sets; texts of candidates only are fetched.
+
+    Sizes and bitmaps, which are narrow, are held against the threshold first, so that few whole sets move.
+    """
+    narrow = nodes.select("doc", "n", "bitmap").dropDuplicates(["doc"])
+    pairs = (pairs.distinct().join(narrow.toDF("a", "n", "bits"), "a").join(narrow.toDF("b", "m", "bits2"), "b")
+             .where(f"least(n, m) * {den} >= greatest(n, m) * {num}"))
+    pairs = stage(pairs.select("a", "b", "n", "m", "bits", "bits2").mapInPandas(_in_reach(num, den), "a long, b long"))
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     texts = rows.join(sized_broadcast(ends, BROADCAST_ROWS), "doc")
 
@@ -255,24 +298,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = reps.mapInPandas(_emit(k, num, den), "key long, doc long")
     shared = stage(keys.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"))
                    .where("leader < last").select("key", "leader"))
-    held = stage(reps.mapInPandas(_emit(k, num, den, key_bitmap(shared, FILTER_BITS)), "key long, doc long").join(shared, "key"))
-    star = _links(held.where("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")), rows, k, num, den)
+    held = stage(reps.mapInPandas(_emit(k, num, den, key_bitmap(shared, FILTER_BITS)), "key long, doc long, n int")
+                 .join(shared, "key"))
+    star = _links(held.where("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")), nodes, rows, k, num, den)
 
     # buckets that hold several components
     comp = components(star).withColumnRenamed("node", "doc").withColumnRenamed("component", "label")
-    named = stage(held.select("key", "doc").join(sized_broadcast(comp, BROADCAST_ROWS), "doc", "left")
+    named = stage(held.select("key", "doc", "n").join(sized_broadcast(comp, BROADCAST_ROWS), "doc", "left")
                   .withColumn("label", F.coalesce("label", "doc")))
-    mixed = (named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c"))
-             .where("l <> m").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    # (of two members whose sizes are out of reach nothing can come)
+    mixed = (named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c"),
+                                      F.min("n").alias("least"), F.max("n").alias("most"))
+             .where(f"l <> m AND (c > 2 OR least * {den} >= most * {num})").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
     inside = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # the pairs of blocks that a member's block stands in; side 2: both sides are the same block
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q"),
         F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
-    split = inside.select("key", "doc", "label", F.inline(sides)).join(
-        nodes.select("doc", "n", "bitmap").dropDuplicates(["doc"]), "doc")
-    cross = split.groupBy("key", "p", "q").applyInPandas(_traverse(num, den), "a long, b long")
-    more = _links(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, k, num, den)
+    split = inside.select("key", "doc", "label", "n", F.inline(sides)).join(
+        nodes.select("doc", "bitmap").dropDuplicates(["doc"]), "doc")
+    cross = (split.select(F.xxhash64("key", "p", "q").alias("bucket"), "doc", "label", "side", "n", "bitmap")
+             .repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_traverse(num, den), "a long, b long"))
+    more = _links(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, rows, k, num, den)
 
     whole = components(star.unionByName(more).unionByName(equal)).select(F.col("node").alias("doc"), "component")
     return facts.select("doc", "n").join(whole, "doc", "left").select(
