@@ -9,7 +9,7 @@ from edgeloom.llm.line_dedup import SQL_LINES, op5_line_dedup
 from edgeloom.llm.ngram_join import SQL_NGRAM, op3_ngram_jaccard_join
 from edgeloom.llm.packing import op10_best_fit_packing
 from edgeloom.llm.secrets import SQL_SECRETS, op7_secret_scans
-from edgeloom.llm.suffix_dedup import op9_suffix_array_dedup
+from edgeloom.llm.suffix_dedup import SQL_BYTES, op9_suffix_array_dedup
 from edgeloom.llm.toxicity import op6_toxicity
 from edgeloom.llm.warc import SQL_WARC, op2_warc
 
@@ -31,4 +31,5 @@ ORACLES = {
     "op3_ngram_jaccard_join": SQL_NGRAM,
     "op5_line_dedup": SQL_LINES,
     "op7_secret_scans": SQL_SECRETS,
+    "op9_suffix_array_dedup": SQL_BYTES,
 }
