@@ -272,3 +272,35 @@ def test_pipeline_stages(spark, tmp_path, toxic_tables):
     assert 2002 in frames["ngram_jaccard_join"] and 2002 not in frames["decontamination"]
     assert set(frames["best_fit_packing"]) == set(frames["decontamination"])
     assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} == set(frames["best_fit_packing"])
+
+
+def test_exact_copies_of_short_items_are_found():
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    items = [" ".join(word() for _ in range(n)).encode() for n in range(1, 13) for _ in range(10)]
+    items += ["漢字かな交じり文の見本です水火木金土日月星空海".encode(), b"x" + bytes(rng.choices(b"abc/.", k=90))]
+    index = decontaminate.Index(list(enumerate(items)))
+    texts = [(" ".join(word() for _ in range(40)) + " ").encode() + t + b" " + word().encode() for t in items]
+    glued = [b"ab (" + t + b")" for t in items]
+    for docs in (texts, glued):
+        exact = {(t, k) for t, k, d, _ in decontaminate.leaks(docs, index) if d == 0}
+        assert {(k, k) for k in range(len(items))} <= exact
+
+
+def test_edited_short_items_against_brute_force():
+    rng, pick = random.Random(22), np.random.default_rng(22)
+    items = [decontaminate.normalised(prose(rng, n)) for n in (1, 2, 3, 4) for _ in range(8)]
+    items = [b for b in items if len(b) < decontaminate.SHORT]
+    docs = [decontaminate.normalised(prose(rng, 6)) + b" " + decontaminate.edited(b, len(b) // 5, pick) for b in items for _ in range(3)]
+    index = decontaminate.Index(list(enumerate(items)))
+    got = {(t, k): d for t, k, d, _ in decontaminate.leaks(docs, index)}
+    want = {(t, k): d for t, x in enumerate(docs) for k, b in enumerate(items)
+            for d in [decontaminate.edit_search(b, x)[0]] if d <= 0.2 * len(b)}
+    assert got == want and len(want) >= len(docs)
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.15, 0.2])
+def test_recall_up_to_the_threshold(rate):
+    rng = random.Random(23)
+    items = [decontaminate.normalised(prose(rng, n)) for n in (8, 12, 16, 20, 40) for _ in range(8)]
+    assert decontaminate.recall(items, rate, 4) >= 0.95
