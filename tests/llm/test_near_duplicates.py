@@ -238,3 +238,20 @@ def test_passages(spark):
                 need.add(i)
     assert need <= {r["doc_id"] for r in got} and len(need) > 10
     assert compact_windows.near_passages(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_no_exact_passage_is_missed_among_many_holders(spark):
+    """Parts of the passages stand in many documents, so first and previous holders differ from function to function."""
+    rng = random.Random(31)
+    rows, need = [], {}
+    for p in range(6):
+        passage = words(rng, 50)
+        decoys = [words(rng, 40) + passage[k:k + 10] + words(rng, 40) for k in range(0, 41, 5) for _ in range(12)]
+        rng.shuffle(decoys)
+        a, d = (words(rng, 20) + passage + words(rng, 20) for _ in range(2))
+        texts = decoys[:len(decoys) // 2] + [a] + decoys[len(decoys) // 2:] + [d]
+        rows += [(1000 * p + i, " ".join(t)) for i, t in enumerate(texts)]
+        need[rows[-1][0]] = 1000 * p + len(decoys) // 2
+    got = compact_windows.near_passages(frame(spark, rows)).collect()
+    for doc, lead in need.items():
+        assert any(r["doc_id"] == doc and r["match_doc_id"] == lead and r["start_word"] <= 20 and r["end_word"] >= 70 for r in got)
