@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from edgeloom.llm.ann import op8_nearest_neighbours
+from edgeloom.llm.byte_bpe import op13_byte_bpe
 from edgeloom.llm.compact_windows import op4_substring_dedup
 from edgeloom.llm.decontaminate import op1_decontamination
 from edgeloom.llm.line_dedup import SQL_LINES, op5_line_dedup
 from edgeloom.llm.ngram_join import SQL_NGRAM, op3_ngram_jaccard_join
 from edgeloom.llm.packing import op10_best_fit_packing
 from edgeloom.llm.secrets import SQL_SECRETS, op7_secret_scans
+from edgeloom.llm.spelling import SQL_SPELLING, op11_spelling_variants
 from edgeloom.llm.suffix_dedup import SQL_BYTES, op9_suffix_array_dedup
 from edgeloom.llm.toxicity import op6_toxicity
+from edgeloom.llm.vector_codes import SQL_CODES, op12_vector_codes
 from edgeloom.llm.warc import SQL_WARC, op2_warc
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES = {
@@ -32,4 +38,6 @@ ORACLES = {
     "op5_line_dedup": SQL_LINES,
     "op7_secret_scans": SQL_SECRETS,
     "op9_suffix_array_dedup": SQL_BYTES,
+    "op11_spelling_variants": SQL_SPELLING,
+    "op12_vector_codes": SQL_CODES,
 }
