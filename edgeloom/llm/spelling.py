@@ -260,18 +260,25 @@ def _divide(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parts cut at the letter where their words first part: the smaller parts, and (word, near words) across them."""
     at = F.col("alike")
     smaller = hot.select("behind", F.left(F.col("s"), at + 1).alias("key"), (at + 1).alias("shared"), "s", "n")
-    rest = F.array(F.struct(F.col("s").substr(at + 1, F.length("s")).alias("rest"), F.lit(False).alias("cut")),
-                   F.struct(F.col("s").substr(at + 2, F.length("s")).alias("rest"), F.lit(True).alias("cut")))
-    ends = (hot.select("behind", "key", "s", "n", "alike", F.inline(rest))
-            .where(~F.col("cut") | (F.length("s") > at)))
+    whole, after = F.col("s").substr(at + 1, F.length("s")), F.col("s").substr(at + 2, F.length("s"))
+    rest = F.array(F.struct(whole.alias("rest"), F.lit("").alias("letter")),
+                   F.struct(after.alias("rest"), F.left(whole, F.lit(1)).alias("letter")))
+    ends = (hot.select("behind", "key", "s", "n", "alike", F.posexplode(rest).alias("cut", "end"))
+            .where((F.col("cut") == 0) | (F.length("s") > at)).select("behind", "key", "s", "n", "end.rest", "end.letter"))
     # words with equal rests have distinct letters in front of them: as many as there are letters, at most
     met = (ends.groupBy("behind", "key", "rest")
-           .agg(F.collect_list(F.struct("n", F.when(F.col("behind"), F.reverse("s")).otherwise(F.col("s")).alias("word"))).alias("all"))
+           .agg(F.collect_list(F.struct("n", F.when(F.col("behind"), F.reverse("s")).otherwise(F.col("s")).alias("word"), "letter")).alias("all"))
            .where(F.size("all") > 1))
-    one = F.col("one.word")
-    others = F.filter("all", lambda x: (x["word"] != one) & (~F.col("behind") | (F.left(x["word"], F.lit(HEAD)) != F.left(one, F.lit(HEAD)))))
+    one, letter, head = F.col("one.word"), F.col("one.letter"), F.left("rest", F.lit(1))
+
+    def parted(x):
+        # a letter inserted before the same letter parts the two words further on
+        later = ((x["letter"] == "") & (letter == head)) | ((letter == "") & (x["letter"] == head))
+        return (x["word"] != one) & ~later & (~F.col("behind") | (F.left(x["word"], F.lit(HEAD)) != F.left(one, F.lit(HEAD))))
+
+    others = F.filter("all", parted)
     best = F.array_min(F.transform("others", lambda x: F.struct((-x["n"]).alias("n"), x["word"].alias("word"))))
-    across = (met.select("behind", "all", F.explode("all").alias("one")).select(one.alias("word"), others.alias("others"))
+    across = (met.select("behind", "rest", "all", F.explode("all").alias("one")).select(one.alias("word"), others.alias("others"))
               .where(F.size("others") > 0)
               .select("word", F.size("others").cast("long").alias("n_near"), best.alias("best"))
               .select("word", "n_near", (-F.col("best.n")).alias("near_n"), F.col("best.word").alias("near")))
