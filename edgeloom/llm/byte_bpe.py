@@ -1,8 +1,8 @@
 """Byte-level BPE: texts to ids and back, over Arrow batches.
 
 The tokenizers library does the merges. It knows characters only, so the byte
-alphabet maps every byte to a printable character and vocabulary and merges are
-written in those. They are built from a file of ranks (one token in base64 and
+alphabet maps every byte to a printable character, and vocabulary, merges and what
+is merged are written in those. They are built from a file of ranks (one token in base64 and
 its rank a line): a token of several bytes is made by the merge of the two
 tokens that lower ranks leave of it. A match of the split pattern that is itself
 a token is taken whole, as the rank format means it.
@@ -95,31 +95,34 @@ def build(tokens: list[bytes], pattern: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def _load(made: str):
-    """Tokenizer, and of every id its bytes: all in one array with their bounds."""
+def _load(made: str) -> tuple:
+    """Tokenizer, and of every id its bytes and their number."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"          # a task has one core
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(made)
     byte = {c: b for b, c in enumerate(byte_alphabet())}
     by_id = sorted((i, bytes(byte[c] for c in t)) for t, i in tok.get_vocab(with_added_tokens=False).items())
-    size = np.array([len(t) for _, t in by_id], dtype=np.int64)
-    return tok, np.frombuffer(b"".join(t for _, t in by_id), np.uint8), np.r_[0, np.cumsum(size)], size
+    held = np.empty(len(by_id), dtype=object)
+    held[:] = [t for _, t in by_id]
+    return tok, held, np.array([len(t) for _, t in by_id], dtype=np.int64)
 
 
-#: Where a text may be divided: every match starts anew at white space behind something else.
-_DIVIDE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
+#: White space of the split pattern.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where a text may be divided: white space behind something else. No match of the pattern goes over such a place and
+#: none looks back, so the pieces give the ids of the whole.
+_CUT = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+#: Latin letters, general punctuation and currency signs: of these the regex package and the tokenizers library know
+#: the same letters, digits and spaces (a test holds them against each other); elsewhere their Unicode versions differ.
+_COMMON = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """The text in pieces of about ``size`` code points, cut only between two matches of the split pattern.
-
-    No match of the pattern goes on from another character to white space, and
-    none looks back, so pieces give the ids of the whole.
-    """
+    """The text in pieces of about ``size`` code points, cut only between two matches."""
     at = 0
     while len(text) - at > size:
-        cut = _DIVIDE.search(text, at + size)
+        cut = _CUT.search(text, at + size)
         if cut is None:
             break
         yield text[at:cut.start()]
@@ -127,33 +130,42 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def _encode_all(tok, texts: list[str]) -> Iterator[np.ndarray]:
-    """Ids of each text; texts share a call until it holds ``PIECE`` code points."""
-    block, owner, held, i = [], [], 0, 0
-    ids: dict[int, list] = {}
-
-    def flush():
-        for o, e in zip(owner, tok.encode_batch_fast(block, add_special_tokens=False)):
-            ids.setdefault(o, []).append(np.array(e.ids, dtype=np.int32))
-        block.clear()
-        owner.clear()
-
-    sent = 0
-    for i, text in enumerate(texts):
-        for p in pieces(text):
-            block.append(p)
-            owner.append(i)
-            held += len(p)
-            if held >= PIECE:
-                flush()
-                held = 0
-        if not block:
-            for o in range(sent, i + 1):
-                yield np.concatenate(ids.pop(o))
-            sent = i + 1
-    flush()
-    for o in range(sent, len(texts)):
-        yield np.concatenate(ids.pop(o))
+class Encoder:
+    """Ids of texts.
+
+    A piece of common characters is split by the regex package, and each distinct
+    match goes to the library's model once, in byte characters; other pieces go
+    to the library whole, which splits them itself. What is kept of matches has a
+    bound; beyond it the lookup starts anew, which changes no id.
+    """
+
+    def __init__(self, tok, pattern: str, most: int = 32 * PIECE):
+        import regex
+
+        self.tok, self.most, self.held, self.known = tok, most, 0, {}
+        self.split, self.model = regex.compile(pattern).findall, tok.model
+        self.face = dict(enumerate(byte_alphabet()))
+
+    def _learn(self, match: str) -> None:
+        tokens = self.model.tokenize(match.encode().decode("latin-1").translate(self.face))
+        self.known[match] = np.array([t.id for t in tokens], dtype=np.int32).tobytes()
+        self.held += len(match) + 16
+
+    def _piece(self, piece: str) -> bytes:
+        if not _COMMON.fullmatch(piece):
+            found = self.tok.encode_batch_fast([piece], add_special_tokens=False)[0]
+            return np.array(found.ids, dtype=np.int32).tobytes()
+        if self.held > self.most:
+            self.known.clear()
+            self.held = 0
+        matches = self.split(piece)
+        for m in set(matches):
+            if m not in self.known:
+                self._learn(m)
+        return b"".join(map(self.known.__getitem__, matches))
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._piece, pieces(text))), dtype=np.int32)
 
 
 def spans(text: str, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,11 +197,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, _, _, size = _load(made.value)
+        tok, _, size = _load(made.value)
+        encoder = Encoder(tok, pattern)
         for b in batches:
             for part in _slices(b, "text"):
                 texts = part.column("text").to_pylist()
-                ids = list(_encode_all(tok, texts))
+                ids = [encoder.ids(t) for t in texts]
                 cols, names = [part.column("id"), _lists(ids, np.int32)], ["id", "ids"]
                 if offsets:
                     found = [spans(t, i, size) for t, i in zip(texts, ids)]
@@ -225,24 +238,19 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     rows = coded.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, raw, bound, size = _load(made.value)
+        _, held, _ = _load(made.value)
         for b in batches:
             for part in _slices(b, "ids", PIECE):
                 column = part.column("ids")
-                ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(size)):
+                ids = column.flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(held)):
                     raise ValueError("an id is not in the vocabulary")
-                end = np.cumsum(size[ids])
-                n = int(end[-1]) if len(ids) else 0
-                flat = raw[np.arange(n) + np.repeat(bound[ids] - (end - size[ids]), size[ids])].tobytes()
-                rows_end = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
-                at = np.r_[0, np.r_[0, end][rows_end]].tolist()
-                out = [flat[i:j] for i, j in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary()),
-                                                  pa.array([o.decode(errors="replace") for o in out], pa.string())], ["id", "bytes", "text"])
+                parts, at = held[ids].tolist(), np.r_[0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))].tolist()
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([b"".join(parts[i:j]) for i, j in zip(at, at[1:])], pa.binary())], ["id", "bytes"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, bytes binary, text string").withColumnRenamed("id", id_col)
+    text = F.make_valid_utf8(F.col("bytes").cast("string"))
+    return rows.mapInArrow(run, f"id {kind}, bytes binary").withColumn("text", text).withColumnRenamed("id", id_col)
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
