@@ -35,8 +35,8 @@ def filter_events(raw: DataFrame, workspace: str, as_of, days: int) -> DataFrame
     )
 
 
-def edge_events_max(filtered: DataFrame, host: str) -> DataFrame:
-    """Latest event time per (entity, source, target, URL, workspace, tag).
+def edge_events_max(filtered: DataFrame, host: str, *per: str) -> DataFrame:
+    """Latest event time per (entity, source, target, URL, workspace, tag), and per columns ``per``.
 
     Partial aggregation runs before the shuffle, so a hot entity costs one
     partial row per task, not all its events in one task.
@@ -49,7 +49,7 @@ def edge_events_max(filtered: DataFrame, host: str) -> DataFrame:
         object_name("target_table_full_name", "target_path").alias("target_table_full_name"),
         normalize_type("target_type").alias("target_type"),
         entity_url("entity_type", "entity_id", host).alias("entity_path"),
-        "event_time", "workspace_id", "lineage_source_table",
+        "event_time", "workspace_id", "lineage_source_table", *per,
     )
     keys = [c for c in keyed.columns if c != "event_time"]
     return keyed.groupBy(*keys).agg(F.max("event_time").alias("last_event_time"))

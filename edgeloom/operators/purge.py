@@ -5,8 +5,9 @@ The reference writes these as MERGE / DELETE conditions with OR, LIKE and
 ``NOT IN`` subqueries, which Spark can only run as nested-loop joins. Each OR
 branch becomes its own equi join here (the branches are disjoint or their
 anti joins compose), LIKE becomes the keyed join of :mod:`.patterns`, and
-``NOT IN`` becomes an anti join guarded by the one-row facts that decide its
-NULL semantics (whether the id list is empty or holds a NULL).
+``NOT IN`` becomes a join of only the rows for which it is asked, guarded by the
+one-row facts that decide its NULL semantics (whether the id list is empty or
+holds a NULL).
 """
 
 from __future__ import annotations
@@ -146,26 +147,57 @@ def id_facts(ids: DataFrame, col: str = "table_id") -> tuple[int, int]:
     return int(r["n"]), int(r["z"])
 
 
-def _not_in_flag(df: DataFrame, col: str, ids: DataFrame, facts: tuple[int, int], flag: str,
-                 strict: bool) -> DataFrame:
-    """Add ``flag`` = ``col NOT IN (ids)`` is TRUE (SQL three-valued logic).
+def _asked(type_col: str, col: str, facts: tuple[int, int], strict: bool) -> Column:
+    """Rows for which ``col NOT IN (ids)`` is asked at all: table-typed ones with a value (and, in ``strict`` mode, no
+    path, which is never a table id). ``facts`` settle the rest: one NULL id makes every answer unknown."""
+    if facts[1] > 0:
+        return F.lit(False)
+    ask = F.col(type_col) == TABLE_NODE_TYPE
+    if facts[0] > 0:
+        ask = ask & F.col(col).isNotNull()
+    if strict:
+        ask = ask & F.coalesce(~F.col(col).contains("://"), F.lit(True))
+    return F.coalesce(ask, F.lit(False))
+
 
-    ``strict``: values containing ``://`` (storage paths, never table ids)
-    are never flagged.
+def flag_orphans(df: DataFrame, ids: DataFrame, ends: list[tuple[str, str]], mode: str = "reference",
+                 facts: tuple[int, int] | None = None) -> DataFrame:
+    """``df`` with ``_orphan``: one of ``ends`` (type column, id column) is table-typed and not a valid id.
+
+    Only rows for which the question is asked meet the ids, and each of them is
+    moved once per end; all others (jobs, notebooks, queries, paths in strict
+    mode, ids that are settled by the NULL rules) pass without a shuffle. An empty id
+    list answers without a join.
     """
-    n, z = facts
-    if n == 0:
-        out, missing = df, F.lit(True)
-    elif z > 0:
-        out, missing = df, F.lit(False)
-    else:
-        known = ids.select(F.col("table_id").alias(col), F.lit(True).alias(f"_{flag}_in")).distinct()
-        out = df.join(known, col, "left")
-        missing = F.col(col).isNotNull() & F.col(f"_{flag}_in").isNull()
-    if strict:
-        missing = missing & F.coalesce(~F.col(col).contains("://"), F.lit(True))
-    out = out.withColumn(flag, missing)
-    return out.drop(f"_{flag}_in") if f"_{flag}_in" in out.columns else out
+    facts = facts or id_facts(ids)
+    known = ids.select(F.col("table_id").alias("_id")).distinct()
+    out = df.withColumn("_orphan", F.lit(False))
+    for type_col, col in ends:
+        ask = _asked(type_col, col, facts, mode == "strict")
+        if facts[0] == 0:
+            out = out.withColumn("_orphan", F.col("_orphan") | ask)
+        elif facts[1] == 0:
+            met = out.filter(ask).join(known, F.col(col) == F.col("_id"), "left")
+            met = met.withColumn("_orphan", F.col("_orphan") | F.col("_id").isNull()).drop("_id")
+            out = out.filter(~ask).unionByName(met)
+    return out
+
+
+LINK_ENDS = [("source_node_type", "source_node"), ("target_node_type", "target_node")]
+NODE_ENDS = [("node_type", "node")]
+
+
+def _drop_orphans(df: DataFrame, ids: DataFrame, ends, mode: str, facts) -> DataFrame:
+    """Rows without an orphan end: of those asked, the ones that the ids hold (a semi join per end)."""
+    facts = facts or id_facts(ids)
+    for type_col, col in ends:
+        ask = _asked(type_col, col, facts, mode == "strict")
+        rest = df.filter(~ask)
+        if facts[0] == 0:
+            df = rest
+        elif facts[1] == 0:
+            df = rest.unionByName(df.filter(ask).join(ids.select(F.col("table_id").alias(col)), col, "left_semi").select(*df.columns))
+    return df
 
 
 def drop_orphan_links(links: DataFrame, ids: DataFrame, mode: str = "reference",
@@ -174,29 +206,24 @@ def drop_orphan_links(links: DataFrame, ids: DataFrame, mode: str = "reference",
 
     ``NOT IN`` semantics: one NULL id disables the delete; an empty id list
     deletes every table-typed endpoint. ``strict`` keeps path endpoints (``://``).
+    ``links`` is read once per branch: pass a scan or a staged frame.
     """
-    facts = facts or id_facts(ids)
-    strict = mode == "strict"
-    f = _not_in_flag(links, "source_node", ids, facts, "_s_orphan", strict)
-    f = _not_in_flag(f, "target_node", ids, facts, "_t_orphan", strict)
-    gone = ((F.col("source_node_type") == TABLE_NODE_TYPE) & F.col("_s_orphan")) | \
-           ((F.col("target_node_type") == TABLE_NODE_TYPE) & F.col("_t_orphan"))
-    return f.filter(~F.coalesce(gone, F.lit(False))).select(*links.columns)
+    return _drop_orphans(links, ids, LINK_ENDS, mode, facts)
 
 
 def orphan_nodes(nodes: DataFrame, ids: DataFrame, mode: str = "reference") -> DataFrame:
-    """Table-typed nodes for which ``node NOT IN (ids)`` is TRUE."""
-    f = _not_in_flag(nodes, "node", ids, id_facts(ids), "_orphan", mode == "strict")
-    return f.filter(F.coalesce((F.col("node_type") == TABLE_NODE_TYPE) & F.col("_orphan"), F.lit(False))) \
-        .select(*nodes.columns)
+    """Table-typed nodes for which ``node NOT IN (ids)`` is TRUE: an anti join of just those nodes."""
+    facts = id_facts(ids)
+    asked = nodes.filter(_asked("node_type", "node", facts, mode == "strict"))
+    if facts[0] == 0 or facts[1] > 0:
+        return asked
+    return asked.join(ids.select(F.col("table_id").alias("node")), "node", "left_anti").select(*nodes.columns)
 
 
 def drop_orphan_nodes(nodes: DataFrame, ids: DataFrame, mode: str = "reference",
                       facts: tuple[int, int] | None = None) -> DataFrame:
     """Delete table-typed nodes that are not a valid id (same ``NOT IN`` rules)."""
-    f = _not_in_flag(nodes, "node", ids, facts or id_facts(ids), "_orphan", mode == "strict")
-    gone = (F.col("node_type") == TABLE_NODE_TYPE) & F.col("_orphan")
-    return f.filter(~F.coalesce(gone, F.lit(False))).select(*nodes.columns)
+    return _drop_orphans(nodes, ids, NODE_ENDS, mode, facts)
 
 
 def non_compliant_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -206,15 +233,19 @@ def non_compliant_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
             .filter(F.col("node_type") == TABLE_NODE_TYPE))
 
 
-def delete_metrics(before: DataFrame, after_merge: DataFrame, after_orphans: DataFrame, table: str) -> DataFrame:
-    """Rows removed by the merge-delete and by the orphan delete, in one job."""
-    tagged = (before.select(F.lit(0).alias("_st"))
-              .unionByName(after_merge.select(F.lit(1).alias("_st")))
-              .unionByName(after_orphans.select(F.lit(2).alias("_st"))))
-    c = [F.count(F.when(F.col("_st") == i, 1)) for i in range(3)]
+def delete_metrics(before: DataFrame, flagged: DataFrame, table: str) -> DataFrame:
+    """Rows removed by the merge-delete and by the orphan delete.
+
+    ``flagged``: what the merge-delete leaves, with ``_orphan`` (:func:`flag_orphans`). The orphan plan runs once, for
+    both numbers.
+    """
+    tagged = (before.select(F.lit(True).alias("_b"), F.lit(False).alias("_o"))
+              .unionByName(flagged.select(F.lit(False).alias("_b"), F.col("_orphan").alias("_o"))))
+    n = F.count(F.when(F.col("_b"), 1))
+    left, orphan = F.count(F.when(~F.col("_b"), 1)), F.count(F.when(F.col("_o"), 1))
     return tagged.agg(
         F.lit(table).alias("table"),
-        (c[0] - c[1]).cast("long").alias("merge_deleted"),
-        (c[1] - c[2]).cast("long").alias("orphan_deleted"),
-        (c[0] - c[2]).cast("long").alias("total_deleted"),
+        (n - left).cast("long").alias("merge_deleted"),
+        orphan.cast("long").alias("orphan_deleted"),
+        (n - left + orphan).cast("long").alias("total_deleted"),
     )

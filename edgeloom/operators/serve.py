@@ -3,12 +3,15 @@ visibility filters and indicators. All DataFrame -> DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.columns import as_date
 from edgeloom.functions.constants import SUGGESTIONS
 from edgeloom.operators.degree import total_connections
+from edgeloom.session import stage, stage_bucketed
 
 ALL_SOURCES = "all"
 
@@ -73,6 +76,55 @@ def suggest(index: DataFrame, text: str, n: int = SUGGESTIONS) -> DataFrame:
     return index.filter(hit).orderBy(F.col("name").asc_nulls_last(), F.col("type").asc_nulls_last()).limit(n)
 
 
+GRAM = 3
+
+
+@dataclass
+class NameIndex:
+    """Search-box entries prepared for many texts: distinct entries with their copies, postings
+    ``(gram, name, type, copies)`` of the names' trigrams bucketed by gram, and the first entries of each type."""
+
+    entries: DataFrame
+    postings: DataFrame
+    firsts: DataFrame
+    depth: int
+
+
+def name_index(index: DataFrame, depth: int = SUGGESTIONS) -> NameIndex:
+    """Stage the index. Postings are of names only: a type's trigrams would list all nodes of that type, so of each
+    type just its first ``depth`` entries are kept (a top-k per task, no type is gathered)."""
+    entries = stage(index.groupBy("name", "type").agg(F.count(F.lit(1)).alias("copies")))
+    low = F.lower("name")
+    starts = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - (GRAM - 1)))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM))))
+    postings = stage_bucketed(entries.select(F.explode(grams).alias("gram"), "name", "type", "copies"), ["gram"])
+    first = Window.partitionBy("type").orderBy(F.col("name").asc_nulls_last())
+    firsts = stage(entries.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= depth).drop("_n"))
+    return NameIndex(entries, postings, firsts, depth)
+
+
+def suggest_from(index: NameIndex, text: str, n: int = SUGGESTIONS) -> DataFrame:
+    """:func:`suggest` without reading the nodes: the posting lists of the text's trigrams are intersected (only their
+    buckets are read), what is left is verified, and entries of matching types come from the types' first ones.
+
+    Texts under three characters, and more rows than the index keeps per type, scan the entries.
+    """
+    if text is None or not text.strip():
+        return index.entries.select("name", "type").filter(F.lit(False))
+    low = text.lower()
+    in_name, in_type = (F.contains(F.lower(F.col(c)), F.lit(low)) for c in ("name", "type"))
+    if len(low) < GRAM or n > index.depth:
+        found = index.entries.filter(in_name | in_type)
+    else:
+        grams = sorted({low[i:i + GRAM] for i in range(len(low) - GRAM + 1)})
+        named = (index.postings.filter(F.col("gram").isin(*grams)).groupBy("name", "type", "copies")
+                 .agg(F.count(F.lit(1)).alias("_k")).filter((F.col("_k") == len(grams)) & in_name).drop("_k"))
+        found = named.unionByName(index.firsts.filter(in_type)).distinct()
+    order = F.col("name").asc_nulls_last(), F.col("type").asc_nulls_last()
+    copies = F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(n)).cast("int")))
+    return found.orderBy(*order).limit(n).select("name", "type", copies.alias("_c")).orderBy(*order).limit(n).select("name", "type")
+
+
 def label(name="name", type_="type"):
     return F.concat(F.col(name), F.lit(" ("), F.col(type_), F.lit(")"))
 

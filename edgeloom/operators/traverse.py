@@ -3,14 +3,16 @@ questions built on it (closures, levels, depths, highlighted selections).
 
 Every operator takes a ``seeds`` DataFrame (column ``seed``) so one run answers
 many start nodes; results are rows ``(seed, node, depth)``. The graph is never
-collected: each BFS level is a join of the frontier with the adjacency, a
-distinct, and an anti join against the nodes already reached; the driver only
-decides whether another job of levels is needed, from row counts observed
-while the job's result is staged (no extra job). Upstream and downstream
-searches share one loop (keys carry the direction), so a search costs
-max(up, down) levels.
+collected: each level is a join of the frontier with the adjacency and a grouped
+OR; the driver only decides whether another job of levels is needed, from counts
+observed while the job's result is staged (no extra job). Upstream and
+downstream searches share one loop (keys carry the direction), so a search
+costs max(up, down) levels.
 
 Scale notes:
+* up to 64 seeds share a row: its ``bits`` say which of the group's seeds have
+  reached the node, so a hub is expanded once for all of them and not once per
+  seed, and the visited set has one row per group and node;
 * the adjacency is deduplicated and staged once as a table bucketed by its
   probe key, so every level shuffles only the frontier against it; when the
   frontier is small AQE broadcasts it and the adjacency is streamed in place;
@@ -18,14 +20,14 @@ Scale notes:
   by one task every level (AQE cannot split a bucketed scan), so hot probe keys
   are salted over as many buckets as their share asks for and their frontier
   rows probe each salt;
-* a job advances up to ``HOPS_PER_JOB`` levels while the frontier is small
-  (deep, narrow searches: fewer jobs) and one level when it is larger than
-  ``SMALL_FRONTIER`` rows, so no join of a large level runs twice; no more
-  levels are planned than the bound allows;
-* a job's new keys are staged to the checkpoint folder once: they are
-  independent of their lineage, so a lost executor recomputes at most one job's
-  levels. The visited set is the scan of all those folders; it is only ever
-  added to.
+* every step carries how many steps lead on from its end, so the work of the
+  next level is known before it is planned: a job advances up to
+  ``HOPS_PER_JOB`` levels while that is below ``SMALL_FRONTIER`` steps and one
+  level beyond, and none at all once nothing leads on;
+* a job is one running frame: rows found at its earlier levels pass the later
+  ones through a step to themselves, so each level's join stands once in the
+  plan and its new rows are written once, as the job's delta. The visited set is
+  the scan of all deltas; a lost executor recomputes at most one job's levels.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.session import stage, stage_bucketed, stage_path
 
-# BFS levels advanced per Spark job while the frontier is small (see _expand).
+# Levels advanced per Spark job while the frontier has few steps ahead (see _Wave.advance).
 HOPS_PER_JOB = 4
 SMALL_FRONTIER = 100_000
 UP, DOWN = "up", "down"
@@ -52,14 +54,26 @@ MIN_HOT_STEPS = 10_000
 # level, while a mid-size one already uses every core (one task per bucket).
 STEPS_PER_BUCKET = 50_000
 
+# Seeds that share a row: the bits of a long.
+GROUP = 64
+# Seeds numbered by one task (a bound on a task, groups are cut inside it).
+SEEDS_PER_TASK = 64 * 1024
+# ``_lim`` of an unbounded search.
+NO_LIMIT = 2**31 - 1
+# ``_salt`` of a node's step to itself.
+STAY = -1
+
 
 @dataclass
 class Adjacency:
-    """Staged steps ``(_dir, _from, _to, _salt)`` bucketed by ``(_dir, _from, _salt)``,
-    plus the hot probe keys and how many salts each one is spread over."""
+    """Staged steps ``(_dir, _from, _to, _deg, _salt)`` bucketed by ``(_dir, _from, _salt)``
+    (``_deg``: steps that lead on from ``_to``; every node has one step to itself,
+    under salt ``STAY``), the hot probe keys with how many salts each one is spread
+    over, and the steps that leave each node."""
 
     steps: DataFrame
     hot: DataFrame | None  # (_dir, _from, _salts); None when no key is hot
+    ends: DataFrame        # (_dir, node, deg)
 
 
 def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst: str = "target",
@@ -84,115 +98,188 @@ def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst:
     adj = stage(links.select(F.inline(F.array(*parts)))
                 .filter(F.col("_from").isNotNull() & F.col("_to").isNotNull())
                 .distinct())
-    deg = adj.groupBy("_dir", "_from").agg(F.count(F.lit(1)).alias("_n"))
-    total, top = deg.agg(F.sum("_n"), F.max("_n")).first()
-    total = total or 0
+    seen = Observation()
+    legs = F.array(F.struct("_dir", F.col("_from").alias("node"), F.lit(1).alias("_n")),
+                   F.struct("_dir", F.col("_to").alias("node"), F.lit(0).alias("_n")))
+    ends = stage(adj.select(F.inline(legs)).groupBy("_dir", "node").agg(F.sum("_n").alias("deg"))
+                 .observe(seen, F.sum("deg").alias("total"), F.max("deg").alias("top")))
+    total, top = seen.get["total"] or 0, seen.get["top"] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(partitions, -(-total // (steps_per_bucket or STEPS_PER_BUCKET))))
     share = max(min_hot_steps or MIN_HOT_STEPS, -(-total // buckets))
-    hot = None
-    salt = F.lit(0)
-    if top and top > share:
-        hot = stage(deg.filter(F.col("_n") > share)
-                    .select("_dir", "_from", F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
-        adj = adj.join(hot, ["_dir", "_from"], "left")
+    hot, salt = None, F.lit(0)
+    steps = adj.join(ends.select("_dir", F.col("node").alias("_to"), F.col("deg").alias("_deg")), ["_dir", "_to"])
+    if top > share:
+        hot = stage(ends.filter(F.col("deg") > share)
+                    .select("_dir", F.col("node").alias("_from"), F.ceil(F.col("deg") / share).cast("int").alias("_salts")))
+        steps = steps.join(hot, ["_dir", "_from"], "left")
         salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_to"), F.col("_salts")))
-    steps = stage_bucketed(adj.select("_dir", "_from", "_to", salt.cast("int").alias("_salt")),
-                           ["_dir", "_from", "_salt"], buckets)
-    return Adjacency(steps, hot)
-
-
-def _probe(frontier: DataFrame, adj: Adjacency) -> DataFrame:
-    """Frontier rows with the salt(s) to probe: hot keys are probed once per salt."""
-    if adj.hot is None:
-        return frontier.withColumn("_salt", F.lit(0))
-    h = adj.hot.select("_dir", F.col("_from").alias("node"), "_salts")
-    return (frontier.join(h, ["_dir", "node"], "left")
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-            .drop("_salts"))
-
-
-def _bound(max_depth) -> Column | None:
-    if max_depth is None:
-        return None
-    if isinstance(max_depth, Column):
-        return max_depth
-    return F.lit(int(max_depth))
-
-
-def _expand(adj: Adjacency, start: DataFrame, max_depth=None, hops: int | None = None) -> DataFrame:
-    """Breadth-first search over keys ``(seed, _dir, node)``, ``hops`` levels per job.
-
-    ``start`` rows are ``(seed, _dir, node, depth=0, _lim)``; ``_lim`` bounds the
-    depth per row (NULL = unbounded). One job advances up to ``hops`` levels:
-    every hop joins the current rows with the adjacency and drops keys reached
-    before the job started; keys reached twice inside the job keep their
-    smallest depth. That is exact: a shortest path never returns to a key
-    reached earlier, so pruning only those removes no shortest path, and the
-    minimum over hops is the BFS depth. The job's new keys are staged; those at
-    its last depth are the next frontier. Its row counts come from metrics
-    observed while staging, so the driver loop adds no job of its own.
+    stay = ends.select("_dir", F.col("node").alias("_from"), F.col("node").alias("_to"), F.col("deg").alias("_deg"),
+                       F.lit(STAY).alias("_salt"))
+    steps = steps.select("_dir", "_from", "_to", "_deg", salt.cast("int").alias("_salt")).unionByName(stay)
+    return Adjacency(stage_bucketed(steps, ["_dir", "_from", "_salt"], buckets), hot, ends)
+
+
+def _probe(rows: DataFrame, adj: Adjacency, grow: Column, carry: bool) -> DataFrame:
+    """Rows with the salts to probe: all salts of the node where it grows, and its step to itself where rows are carried."""
+    if adj.hot is not None:
+        h = adj.hot.select("_dir", F.col("_from").alias("node"), "_salts")
+        rows = rows.join(h, ["_dir", "node"], "left")
+        last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
+    else:
+        last = F.lit(0)
+    if carry:
+        salts = F.when(grow, F.sequence(F.lit(STAY), last)).otherwise(F.array(F.lit(STAY)))
+    elif adj.hot is None:
+        return rows.withColumn("_salt", last)
+    else:
+        salts = F.sequence(F.lit(0), last)
+    return rows.withColumn("_salt", F.explode(salts)).drop("_salts")
+
+
+_KEY = ["_grp", "_dir", "_lim", "node"]
+_DELTA = [*_KEY, "bits", "deg", "depth"]
+
+
+def _held(bits: str) -> Column:
+    """Numbers of the bits that are set."""
+    return F.expr(f"filter(sequence(0, {GROUP - 1}), i -> getbit({bits}, i) = 1)")
+
+
+def _bit(number: str) -> Column:
+    return F.expr(f"shiftleft(1L, {number})")
+
+
+class _Wave:
+    """One running search: the staged deltas of all levels so far and the last level.
+
+    ``start``: distinct ``(seed, _dir, _lim)``; seeds are numbered and put into
+    groups of up to ``GROUP`` with the same direction and bound.
     """
-    most = max(1, int(hops or HOPS_PER_JOB))
-    key = ["seed", "_dir", "node"]
-    spark = start.sparkSession
-    obs0 = Observation("bfs_start")
-    schema = start.schema
-    frontier, path = stage_path(start.observe(obs0, F.count(F.lit(1)).alias("rows"),
-                                              F.max("_lim").alias("lim"), F.count(F.when(F.col("_lim").isNull(), 1)).alias("free")))
-    edge = obs0.get["rows"]
-    # the deepest level any row may reach: a bound on what is planned, not on rows
-    deepest = max_depth if isinstance(max_depth, int) else None
-    if not obs0.get["free"] and obs0.get["lim"] is not None:
-        deepest = obs0.get["lim"] if deepest is None else min(deepest, obs0.get["lim"])
-    paths = [path]
-    scalar = _bound(max_depth)
-    depth = 0
-    steps = adj.steps
-    while edge and (deepest is None or depth < deepest):
-        hops = most if edge <= SMALL_FRONTIER else 1
-        if deepest is not None:
-            hops = min(hops, deepest - depth)
-        visited = spark.read.schema(schema).parquet(*paths).select(*key)
-        cur, found = frontier, None
+
+    def __init__(self, adj: Adjacency, start: DataFrame):
+        self.adj, self.spark = adj, start.sparkSession
+        seen = Observation()
+        start = stage(start.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("_lim").alias("lim")))
+        rows, self.deepest = seen.get["rows"], seen.get["lim"] or 0
+        tasks = -(-rows // SEEDS_PER_TASK)
+        order = ["_dir", "_lim", "seed"]
+        dealt = start.repartitionByRange(tasks, *order) if tasks > 1 else start.coalesce(1)
+        at = F.monotonically_increasing_id()
+        # (_grp, _dir, _lim, _bit, seed): who a bit of a group stands for
+        self.seeds = stage(dealt.sortWithinPartitions(*order).select(*order, at.alias("_at")).select(
+            F.shiftright("_at", 6).alias("_grp"), "_dir", "_lim", (F.col("_at") % GROUP).cast("int").alias("_bit"), "seed"))
+        first = (self.seeds.withColumn("node", F.col("seed")).join(adj.ends, ["_dir", "node"], "left")
+                 .select(*_KEY, _bit("_bit").alias("bits"), F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), F.lit(0).alias("depth")))
+        self.depth, self.paths, self.rows = 0, [], 0
+        self._keep(first, 0)
+
+    def _keep(self, new: DataFrame, last: int) -> None:
+        seen = Observation()
+        ahead = F.sum(F.when((F.col("depth") == last) & (F.col("_lim") > last), F.col("deg")))
+        self.schema = new.select(*_DELTA).schema
+        frame, path = stage_path(new.select(*_DELTA).observe(seen, F.count(F.lit(1)).alias("rows"), ahead.alias("steps")))
+        self.depth, self.steps, self.rows = last, seen.get["steps"] or 0, self.rows + seen.get["rows"]
+        if seen.get["rows"] or not self.paths:
+            self.paths.append(path)
+        self.last = frame.filter(F.col("depth") == last)
+
+    def deltas(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+    def plan(self, hops: int, active: DataFrame | None = None) -> DataFrame:
+        """New rows of the next ``hops`` levels, each level's join once.
+
+        ``_b1`` .. ``_bh`` are the seeds that reach the row's node first at each of
+        the job's levels. A level joins the rows of the level before with their
+        steps, and earlier rows with their step to themselves, then one grouped OR
+        puts them together and the visited set is taken off. ``active``: ``(_grp,
+        _mask)``, the seeds of a group that still search (all, if None).
+        """
+        seen = self.deltas().groupBy(*_KEY).agg(F.bit_or("bits").alias("_seen"))
+        rows = self.last.select(*_KEY, F.col("bits").alias("_b0"))
+        if active is not None:
+            rows = rows.join(active, "_grp").withColumn("_b0", F.col("_b0").bitwiseAND(F.col("_mask"))).drop("_mask")
+        steps = self.adj.steps.select(F.col("_dir").alias("_way"), "_from", F.col("_salt").alias("_part"), "_to", "_deg")
         for h in range(1, hops + 1):
-            grow = cur.filter(F.col("_lim").isNull() | (F.col("depth") < F.col("_lim")))
-            if scalar is not None:
-                grow = grow.filter(F.col("depth") < scalar)
-            probe = _probe(grow, adj)
-            cur = (probe.join(steps, (probe["_dir"] == steps["_dir"]) & (probe["node"] == steps["_from"])
-                              & (probe["_salt"] == steps["_salt"]))
-                   .select("seed", probe["_dir"], F.col("_to").alias("node"),
-                           F.lit(depth + h).alias("depth"), "_lim")
-                   .dropDuplicates(key)
-                   .join(visited, key, "left_anti"))
-            found = cur if found is None else found.unionByName(cur)
-        last = depth + hops
-        obs = Observation(f"bfs_job_{last}")
-        # every row of one seed and direction carries the same bound
-        new = found if hops == 1 else found.groupBy(*key).agg(F.min("depth").alias("depth"), F.max("_lim").alias("_lim"))
-        new, path = stage_path(new.select(*schema.names).observe(obs, F.count(F.lit(1)).alias("rows"),
-                                                                 F.count(F.when(F.col("depth") == last, 1)).alias("edge")))
-        m = obs.get
-        if m["rows"] == 0:
-            break
-        paths.append(path)
-        frontier = new.filter(F.col("depth") == last)
-        depth, edge = last, m["edge"]
-    return spark.read.schema(schema).parquet(*paths).select("seed", "_dir", "node", "depth")
+            edge, new = f"_b{h - 1}", f"_b{h}"
+            grow = (F.col(edge) != 0) & (F.col("_lim") > self.depth + h - 1)
+            if h == 1:
+                rows = rows.filter(grow)
+            probe = _probe(rows, self.adj, grow, carry=h > 1)
+            moved = F.col("_part") != STAY
+            none = F.lit(0).cast("long")
+            kept = [F.when(moved, none).otherwise(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(1, h)]
+            rows = (probe.join(steps, (F.col("_dir") == F.col("_way")) & (F.col("node") == F.col("_from")) & (F.col("_salt") == F.col("_part")))
+                    .select("_grp", "_dir", "_lim", F.col("_to").alias("node"), F.col("_deg").alias("deg"), *kept,
+                            F.when(moved, F.col(edge)).otherwise(none).alias(new))
+                    .groupBy(*_KEY).agg(F.max("deg").alias("deg"), *[F.bit_or(f"_b{i}").alias(f"_b{i}") for i in range(1, h + 1)])
+                    .join(seen, _KEY, "left"))
+            known = F.coalesce("_seen", none)
+            for i in range(1, h):
+                known = known.bitwiseOR(F.col(f"_b{i}"))
+            rows = rows.withColumn(new, F.col(new).bitwiseAND(F.bitwise_not(known))).drop("_seen")
+            any_ = F.lit(False)
+            for i in range(1, h + 1):
+                any_ = any_ | (F.col(f"_b{i}") != 0)
+            rows = rows.filter(any_)
+        levels = F.array(*[F.struct(F.col(f"_b{i}").alias("bits"), F.lit(self.depth + i).alias("depth")) for i in range(1, hops + 1)])
+        return rows.select(*_KEY, "deg", F.inline(levels)).filter(F.col("bits") != 0)
+
+    def advance(self, hops: int, active: DataFrame | None = None) -> None:
+        self._keep(self.plan(hops, active), self.depth + hops)
+
+
+@dataclass
+class Reach:
+    """What a search reached: ``deltas`` (a row per group of seeds, node and depth,
+    with the bits of the seeds) and ``seeds`` (who the bits stand for)."""
+
+    deltas: DataFrame
+    seeds: DataFrame
 
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``bits`` as one row per seed."""
+        held = (self.seeds.groupBy("_grp", "_dir", "_lim")                  # GROUP entries at most
+                .agg(F.collect_list(F.struct("_bit", "seed")).alias("_held")))
+        return (rows.join(held, ["_grp", "_dir", "_lim"])
+                .withColumn("seed", F.explode(F.expr("transform(filter(_held, x -> getbit(bits, x._bit) = 1), x -> x.seed)")))
+                .drop("_held", "bits", "_grp", "_lim"))
 
-def _start(seeds: DataFrame, direction: str, limit_col: str | None) -> DataFrame:
+    def rows(self, direction: str) -> DataFrame:
+        """``(seed, node, depth)`` of one direction."""
+        return self._named(self.deltas.filter(F.col("_dir") == direction)).select("seed", "node", "depth")
+
+    def levels(self) -> DataFrame:
+        """``(seed, _dir, depth)``: the deepest level of every seed. The rows are put together while they still hold
+        bits, so only one row per group and level is given names."""
+        per = self.deltas.groupBy("_grp", "_dir", "_lim", "depth").agg(F.bit_or("bits").alias("bits"))
+        return self._named(per).groupBy("seed", "_dir").agg(F.max("depth").alias("depth"))
+
+
+def search(adj: Adjacency, start: DataFrame, hops: int | None = None) -> Reach:
+    """Breadth-first search from ``start`` (:func:`_start`), ``hops`` levels per job at most.
+
+    Exact: a job's levels each take off what was reached before them, so a key's
+    bits appear once, at the seed's smallest depth.
+    """
+    wave = _Wave(adj, start)
+    most = max(1, int(hops or HOPS_PER_JOB))
+    while wave.steps and wave.depth < wave.deepest:
+        wave.advance(min(most if wave.steps <= SMALL_FRONTIER else 1, wave.deepest - wave.depth))
+    return Reach(wave.deltas(), wave.seeds)
+
+
+def _start(seeds: DataFrame, direction: str, limit_col: str | None, max_depth: int | None = None) -> DataFrame:
     lim = F.col(limit_col).cast("int") if limit_col and limit_col in seeds.columns else F.lit(None).cast("int")
+    lim = F.coalesce(lim if max_depth is None else F.least(lim, F.lit(int(max_depth))), F.lit(NO_LIMIT))
+    # a seed asked for more than once is searched to its largest bound
     return (seeds.filter(F.col("seed").isNotNull())
-            .select("seed", F.lit(direction).alias("_dir"), lim.alias("_lim"))
-            .groupBy("seed", "_dir")
-            # a seed asked for more than once is searched to its largest bound (NULL: unbounded)
-            .agg(F.when(F.count(F.lit(1)) == F.count("_lim"), F.max("_lim")).alias("_lim"))
-            .select("seed", "_dir", F.col("seed").alias("node"), F.lit(0).alias("depth"), "_lim"))
+            .groupBy("seed").agg(F.max(lim).alias("_lim"))
+            .select("seed", F.lit(direction).alias("_dir"), "_lim"))
 
 
-def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src: str = "source",
+def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth: int | None = None, src: str = "source",
         dst: str = "target", adj: Adjacency | None = None, hops: int | None = None) -> DataFrame:
     """Nodes reachable from each seed with their hop count (start included, depth 0).
 
@@ -201,26 +288,27 @@ def bfs(links: DataFrame, seeds: DataFrame, direction: str, max_depth=None, src:
     depth (0 or less = the start only). If ``seeds`` has a ``max_depth``
     column, each seed gets its own bound (NULL = unbounded), carried along the
     frontier so no bound is gathered to the driver. ``hops``: BFS levels per
-    Spark job (default ``HOPS_PER_JOB``; 1 keeps every hop's work minimal).
+    Spark job (default ``HOPS_PER_JOB``).
     """
     adj = adj if adj is not None else adjacency(links, direction, src, dst)
-    res = _expand(adj, _start(seeds, direction, "max_depth"), max_depth, hops)
-    return res.select("seed", "node", "depth")
+    return search(adj, _start(seeds, direction, "max_depth", max_depth), hops).rows(direction)
 
 
-def bfs_both(links: DataFrame, seeds: DataFrame, up_limit: str | None = None, down_limit: str | None = None,
-             src: str = "source", dst: str = "target", adj: Adjacency | None = None, hops: int | None = None):
-    """Upstream and downstream searches advanced together (the same jobs serve
-    both directions): returns ``(up, down)`` frames of ``(seed, node, depth)``.
+def reach_both(links: DataFrame, seeds: DataFrame, up_limit: str | None = None, down_limit: str | None = None,
+               src: str = "source", dst: str = "target", adj: Adjacency | None = None, hops: int | None = None) -> Reach:
+    """Upstream and downstream searches advanced together (the same jobs serve both directions).
 
     ``up_limit`` / ``down_limit`` name per-seed bound columns of ``seeds``.
     """
     adj = adj if adj is not None else adjacency(links, (DOWN, UP), src, dst)
-    start = _start(seeds, UP, up_limit).unionByName(_start(seeds, DOWN, down_limit))
-    res = _expand(adj, start, hops=hops)
-    up = res.filter(F.col("_dir") == UP).select("seed", "node", "depth")
-    down = res.filter(F.col("_dir") == DOWN).select("seed", "node", "depth")
-    return up, down
+    return search(adj, _start(seeds, UP, up_limit).unionByName(_start(seeds, DOWN, down_limit)), hops)
+
+
+def bfs_both(links: DataFrame, seeds: DataFrame, up_limit: str | None = None, down_limit: str | None = None,
+             src: str = "source", dst: str = "target", adj: Adjacency | None = None, hops: int | None = None):
+    """:func:`reach_both` as ``(up, down)`` frames of ``(seed, node, depth)``."""
+    reach = reach_both(links, seeds, up_limit, down_limit, src, dst, adj, hops)
+    return reach.rows(UP), reach.rows(DOWN)
 
 
 def seeds_of(df: DataFrame, col: str = "id") -> DataFrame:
@@ -256,18 +344,58 @@ def traversed_links(links_api: DataFrame, up: DataFrame, down: DataFrame) -> Dat
             .select("seed", "source", "target", *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 
-def max_levels(links: DataFrame, seeds: DataFrame, adj: Adjacency | None = None) -> DataFrame:
-    """Deepest BFS level reachable upstream and downstream of each seed."""
-    up, down = bfs_both(links, seeds, adj=adj)
-    up = up.groupBy("seed").agg(F.max("depth").cast("long").alias("max_upstream"))
-    down = down.groupBy("seed").agg(F.max("depth").cast("long").alias("max_downstream"))
-    return up.join(down, "seed")
+def max_levels(links: DataFrame, seeds: DataFrame, adj: Adjacency | None = None, reach: Reach | None = None) -> DataFrame:
+    """Deepest BFS level reachable upstream and downstream of each seed (``reach``: an unbounded search of both)."""
+    reach = reach or reach_both(links, seeds, adj=adj)
+    of = lambda d: F.max(F.when(F.col("_dir") == d, F.col("depth"))).cast("long")
+    return reach.levels().groupBy("seed").agg(of(UP).alias("max_upstream"), of(DOWN).alias("max_downstream"))
+
 
+def node_depth(links: DataFrame, pairs: DataFrame, direction: str, adj: Adjacency | None = None,
+               visited: dict | None = None) -> DataFrame:
+    """Shortest hops from ``seed`` to ``node`` in one direction; 0 if unreachable.
 
-def node_depth(links: DataFrame, pairs: DataFrame, direction: str, adj: Adjacency | None = None) -> DataFrame:
-    """Shortest hops from ``seed`` to ``node`` in one direction; 0 if unreachable."""
-    reach = bfs(links, pairs.select("seed").distinct(), direction, adj=adj)
-    return (pairs.join(reach, ["seed", "node"], "left")
+    Two-sided: one search starts at the seeds, one at the nodes against the
+    direction, and the one with fewer steps ahead advances by a level. After a
+    levels of one and b of the other, exactly the pairs a + b apart meet: some
+    node lies in the last level of both. Settled pairs leave the search, and
+    seeds or nodes without open pairs leave their frontier. Once one side has no
+    steps ahead, the open pairs are unreachable. ``visited`` takes the number of
+    rows that the two searches have kept.
+    """
+    adj = adj if adj is not None else adjacency(links)
+    back = UP if direction == DOWN else DOWN
+    asked = stage(pairs.select("seed", "node").filter(F.col("seed") != F.col("node")).distinct())
+    ahead = _Wave(adj, _start(asked, direction, None))
+    behind = _Wave(adj, _start(asked.select(F.col("node").alias("seed")), back, None))
+    open_ = (asked.join(ahead.seeds.select("seed", F.col("_grp").alias("_ga"), F.col("_bit").alias("_a")), "seed")
+             .join(behind.seeds.select(F.col("seed").alias("node"), F.col("_grp").alias("_gb"), F.col("_bit").alias("_b")), "node"))
+    found, left = None, True
+    while left and ahead.steps and behind.steps:
+        seen = Observation()
+        open_ = stage(open_.observe(seen, F.count(F.lit(1)).alias("rows")))
+        left = seen.get["rows"]
+        if not left:
+            break
+        side, grp, bit = (ahead, "_ga", "_a") if ahead.steps <= behind.steps else (behind, "_gb", "_b")
+        side.advance(1, open_.groupBy(F.col(grp).alias("_grp")).agg(F.bit_or(_bit(bit)).alias("_mask")))
+        wanted = open_.groupBy("_ga", "_a", "_gb").agg(F.bit_or(_bit("_b")).alias("_want"))
+        met = (ahead.last.select(F.col("_grp").alias("_ga"), "node", F.col("bits").alias("_abits"))
+               .join(open_.select("_ga", "_gb").distinct(), "_ga")
+               .join(behind.last.select(F.col("_grp").alias("_gb"), "node", F.col("bits").alias("_bbits")), ["_gb", "node"])
+               .select("_ga", "_gb", "_bbits", F.explode(_held("_abits")).alias("_a"))
+               .groupBy("_ga", "_a", "_gb").agg(F.bit_or("_bbits").alias("_bbits")))
+        hits = stage(open_.join(met.join(wanted, ["_ga", "_a", "_gb"])
+                                .select("_ga", "_a", "_gb", F.col("_bbits").bitwiseAND(F.col("_want")).alias("_hit")), ["_ga", "_a", "_gb"])
+                     .filter(F.expr("getbit(_hit, _b) = 1"))
+                     .select("seed", "node", F.lit(ahead.depth + behind.depth).alias("depth")))
+        open_ = open_.join(hits, ["seed", "node"], "left_anti")
+        found = hits if found is None else found.unionByName(hits)
+    if visited is not None:
+        visited["rows"] = ahead.rows + behind.rows
+    if found is None:
+        return pairs.select("seed", "node", F.lit(0).cast("long").alias("depth"))
+    return (pairs.join(found, ["seed", "node"], "left")
             .select("seed", "node", F.coalesce(F.col("depth"), F.lit(0)).cast("long").alias("depth")))
 
 
@@ -316,14 +444,18 @@ highlighted_links = induced_links
 
 
 def highlight_levels(links_api: DataFrame, connected: DataFrame, seeds: DataFrame,
-                     adj: Adjacency | None = None) -> DataFrame:
+                     adj: Adjacency | None = None, reach: Reach | None = None) -> DataFrame:
     """Over a seed's highlighted links: the deepest upstream hop count of a
     link source and the deepest downstream hop count of a link target
-    (unbounded shortest hops from the seed, 0 when unreachable)."""
+    (unbounded shortest hops from the seed, 0 when unreachable).
+
+    ``reach``: the unbounded search that :func:`max_levels` of the same selection
+    has made; without it the search is made here.
+    """
+    reach = reach or reach_both(links_api, seeds, adj=adj)
     hl = induced_links(links_api, connected).select("seed", "source", "target")
-    up, dn = bfs_both(links_api, seeds, adj=adj)
-    up = up.select("seed", F.col("node").alias("source"), F.col("depth").alias("du"))
-    dn = dn.select("seed", F.col("node").alias("target"), F.col("depth").alias("dd"))
+    up = reach.rows(UP).select("seed", F.col("node").alias("source"), F.col("depth").alias("du"))
+    dn = reach.rows(DOWN).select("seed", F.col("node").alias("target"), F.col("depth").alias("dd"))
     per = (hl.join(up, ["seed", "source"], "left").join(dn, ["seed", "target"], "left")
            .groupBy("seed")
            .agg(F.max(F.coalesce("du", F.lit(0))).alias("cu"), F.max(F.coalesce("dd", F.lit(0))).alias("cd")))

@@ -57,6 +57,30 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order_col: str
     return tagged_merge(target, source, keys, order_col, null_safe).drop("action")
 
 
+def changed_rows(target: DataFrame, source: DataFrame, keys: list[str], order_col: str = ORDER_COL,
+                 null_safe: bool = False) -> DataFrame:
+    """Source rows that the merge inserts or updates with: ``_action``, ``_old`` (date of the target row that an
+    update replaces) and ``_moved`` (false where that row is the same in all columns). One row per matched target row.
+
+    Only what the batch holds is joined: the target's own rows do not appear.
+    """
+    cols = target.columns
+    t = target.select(*[F.col(k).alias(f"_tk{i}") for i, k in enumerate(keys)], F.struct(*cols).alias("_t"))
+    s = source.select(*cols)
+    cond = None
+    for i, k in enumerate(keys):
+        c = _eq(F.col(k), F.col(f"_tk{i}"), null_safe)
+        cond = c if cond is None else cond & c
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t.{c}"))
+    fresh = F.col("_t").isNull()
+    newer = F.coalesce(F.col(f"_t.{order_col}") <= F.col(order_col), F.lit(False))
+    return (s.join(t, cond, "left").filter(fresh | newer)
+            .select(*cols, F.when(fresh, "inserted").otherwise("updated").alias("_action"),
+                    F.col(f"_t.{order_col}").alias("_old"), (fresh | ~same).alias("_moved")))
+
+
 def upsert_metrics(target: DataFrame, source: DataFrame, keys: list[str], order_col: str = ORDER_COL,
                    null_safe: bool = False) -> DataFrame:
     """Rows inserted and updated by the merge: ``(action, rows)``."""

@@ -45,6 +45,10 @@ class GraphBuild:
             self._cache[name] = _stage(df) if self.materialize else df
         return self._cache[name]
 
+    def use_edges(self, edges: DataFrame) -> None:
+        """Take the edges from elsewhere (the stored partial maxima) instead of the raw log."""
+        self._cache["edges"] = _stage(edges) if self.materialize else edges
+
     def edges(self) -> DataFrame:
         p = self.params
         return self._get("edges", lambda: build_edges(self.raw, p.workspace, p.host, p.as_of, p.days))

@@ -2,7 +2,8 @@
 
     python -m edgeloom.plans.cli graph --uc-log lin.access --links g.links --nodes g.nodes \\
         --inventory cat.tables --legacy g.legacy_inventory --workspace 123 --host my.host --days 365 \\
-        [--hms-log lin.legacy_access] [--purge-days 365] [--as-of 2024-02-10] [--mode strict]
+        [--hms-log lin.legacy_access] [--purge-days 365] [--as-of 2024-02-10] [--mode strict] \\
+        [--degrees g.degrees] [--edge-days g.edge_days]
     python -m edgeloom.plans.cli purge --audit sys.audit --links g.links --nodes g.nodes \\
         --inventory cat.tables --legacy-source g.legacy_tables --host my.host --days 365
     python -m edgeloom.plans.cli validate --nodes g.nodes --inventory cat.tables --legacy-source g.legacy_tables
@@ -39,12 +40,14 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--as-of", default=None)
         p.add_argument("--mode", choices=("reference", "strict"), default="reference")
         p.add_argument("--workspace", default="")
+        p.add_argument("--degrees", default=None, help="degree table to keep up to date from what the run changes")
         p.add_argument("--total-cores", type=int, default=None, help="size shuffles for a cluster of so many cores")
     g = sub.choices["graph"]
     g.add_argument("--uc-log", required=True)
     g.add_argument("--hms-log", default=None)
     g.add_argument("--legacy", required=True, help="legacy inventory table (last_altered stamped)")
     g.add_argument("--purge-days", type=int, default=None)
+    g.add_argument("--edge-days", default=None, help="table of stored maxima per event date; only new or grown dates are read")
     p = sub.choices["purge"]
     p.add_argument("--audit", required=True)
     p.add_argument("--legacy-source", required=True)
@@ -75,10 +78,10 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     params = BuildParams(a.workspace, a.host, as_of, a.days, a.mode)
     inventory = spark.table(a.inventory)
     if a.job == "graph":
-        out = graph_job(spark, a.uc_log, GraphTables(a.links, a.nodes), params, inventory,
+        out = graph_job(spark, a.uc_log, GraphTables(a.links, a.nodes, degrees=a.degrees, edge_days=a.edge_days), params, inventory,
                         spark.table(a.legacy), hms_log=a.hms_log, purge_days=a.purge_days)
     else:
-        tables = GraphTables(a.links, a.nodes, a.legacy_inventory, a.valid_ids)
+        tables = GraphTables(a.links, a.nodes, a.legacy_inventory, a.valid_ids, a.degrees)
         out = purge_job(spark, spark.table(a.audit), tables, params, inventory, spark.table(a.legacy_source))
     print(json.dumps(out, default=str))
     return out

@@ -18,6 +18,7 @@ from edgeloom.plans.search import search_graph
 W = O.with_ctes
 
 BOUNDED_LEVEL = 3
+UNKNOWN_NODE = "main.none.none"
 # Level requests checked against each seed's maximum (NULL = not a number).
 LEVEL_REQUESTS = (-1, 2, 99, None)
 
@@ -33,22 +34,23 @@ def adj(c):
     return c.memo["adjacency"]
 
 
-def _both(c):
-    if "bfs_both" not in c.memo:
-        c.memo["bfs_both"] = TR.bfs_both(links_api(c), seeds(c), adj=adj(c))
-    return c.memo["bfs_both"]
+def reach(c):
+    """The unbounded search from the seed, both ways: closures, levels and highlighted depths all read it."""
+    if "reach" not in c.memo:
+        c.memo["reach"] = TR.reach_both(links_api(c), seeds(c), adj=adj(c))
+    return c.memo["reach"]
 
 
 def up(c):
-    return _both(c)[0]
+    return reach(c).rows(TR.UP)
 
 
 def down(c):
-    return _both(c)[1]
+    return reach(c).rows(TR.DOWN)
 
 
 def levels(c):
-    return c.once("maxlv", lambda: TR.max_levels(links_api(c), seeds(c), adj=adj(c)))
+    return c.once("maxlv", lambda: TR.max_levels(links_api(c), seeds(c), reach=reach(c)))
 
 
 def selection(c):
@@ -186,7 +188,7 @@ LEFT JOIN bfs_up u ON u.seed = h.seed AND u.node = h.source
 LEFT JOIN bfs_down d ON d.seed = h.seed AND d.node = h.target
 GROUP BY s.seed""", "seeds", "highlighted", "bfs_up", "bfs_down"))
 def q_highlight_levels(c):
-    return TR.highlight_levels(links_api(c), connected(c), seeds(c), adj=adj(c))
+    return TR.highlight_levels(links_api(c), connected(c), seeds(c), reach=reach(c))
 
 
 @register("selection_indicators", W("""
@@ -220,6 +222,13 @@ def q_search_named_levels(c):
     return u.join(d, "seed").select("seed", "max_upstream", "max_downstream", "n_down", "n_up")
 
 
+@register("search_unknown", W(f"SELECT CAST(NULL AS VARCHAR) AS search_target, {O.API_NODE_COLS} FROM api_nodes WHERE id = '{UNKNOWN_NODE}'",
+                              "api_nodes"))
+def q_search_unknown(c):
+    """A start node that the graph does not hold: empty lists, no error."""
+    return search_graph(c.g.nodes(), c.g.links(), UNKNOWN_NODE, "all", c.as_of, adj=adj(c)).nodes
+
+
 @register("search_named", W(f"""
 SELECT c.seed AS search_target, {O.API_NODE_COLS} FROM api_nodes n
 JOIN (SELECT seed, node FROM nbfs_up UNION SELECT seed, node FROM nbfs_down) c ON c.node = n.id""",

@@ -158,10 +158,9 @@ SELECT 'nodes', (SELECT count(*) FROM nodes) - (SELECT count(*) FROM nodes_after
        (SELECT count(*) FROM nodes_after_merge) - (SELECT count(*) FROM nodes_purged),
        (SELECT count(*) FROM nodes) - (SELECT count(*) FROM nodes_purged)""", "links_purged", "nodes_purged"))
 def q_delete_metrics(c):
-    lm = links_merged(c)
-    nm = nodes_merged(c)
-    return P.delete_metrics(c.g.links(), lm, P.drop_orphan_links(lm, ids(c)), "links").unionByName(
-        P.delete_metrics(c.g.nodes(), nm, P.drop_orphan_nodes(nm, ids(c)), "nodes"))
+    links = P.flag_orphans(links_merged(c), ids(c), P.LINK_ENDS)
+    nodes = P.flag_orphans(nodes_merged(c), ids(c), P.NODE_ENDS)
+    return P.delete_metrics(c.g.links(), links, "links").unionByName(P.delete_metrics(c.g.nodes(), nodes, "nodes"))
 
 
 # ------------------------------------------------------------- retention
@@ -320,3 +319,67 @@ def q_links_upsert_strict(c):
 @register("nodes_upsert_strict", W(_merge_sql_ns("nodes", U.NODE_KEYS, _NCOLS), "t_nodes", "s_nodes"))
 def q_nodes_upsert_strict(c):
     return U.upsert(batch(c, "target").nodes(), batch(c, "source").nodes(), U.NODE_KEYS, null_safe=True)
+
+
+# ------------------------------------------------- tables kept up to date
+def _table(c, kind: str) -> str:
+    return f"{_graph_schema(c)}.{kind}_{uuid.uuid4().hex}"
+
+
+def _upserted(c, kind: str, keys, watch=None) -> str:
+    """Both batches through the partition merge into a new table."""
+    from edgeloom.sources.sinks import save_or_upsert
+    table = _table(c, kind)
+    for which in ("target", "source"):
+        save_or_upsert(getattr(batch(c, which), kind)(), table, keys, U.ORDER_COL, watch=watch)
+    return table
+
+
+@register("links_upsert_table", W(f"SELECT {_LSEL} {_LBODY}", "t_links", "s_links"))
+def q_links_upsert_table(c):
+    """The upsert as the job does it: only the partitions that the second batch changes are written again."""
+    return c.spark.table(_upserted(c, "links", U.LINK_KEYS)).select(*_LCOLS)
+
+
+@register("nodes_upsert_table", W(f"SELECT {_NSEL} {_NBODY}", "t_nodes", "s_nodes"))
+def q_nodes_upsert_table(c):
+    return c.spark.table(_upserted(c, "nodes", U.NODE_KEYS)).select(*_NCOLS)
+
+
+@register("retention_links_table", W(f"""
+SELECT {O.LINK_COLS} FROM links WHERE NOT (last_event_date < {O.PURGE_CUTOFF_SQL}) OR last_event_date IS NULL""",
+                                    "links"))
+def q_retention_links_table(c):
+    """Retention as the job does it: partitions of earlier dates are dropped, no row is written."""
+    from edgeloom.functions.columns import as_date, window_start
+    from edgeloom.sources.sinks import create_table, retire_partitions
+    table = _table(c, "links")
+    create_table(c.g.links(), table, U.ORDER_COL)
+    retire_partitions(c.spark, table, window_start(as_date(c.as_of), PURGE_DAYS))
+    return c.spark.table(table).select(*_LCOLS)
+
+
+@register("edges_incremental", W(f"SELECT {O.EDGE_COLS} FROM edges", "edges"))
+def q_edges_incremental(c):
+    """Edges from day maxima stored by three runs: the later half of the days, one half of every day before, all."""
+    from edgeloom.operators.daily import edges_of_days, refresh_days
+    ev, table = c.fx.events(), _table(c, "edge_days")
+    late = F.col("event_date") >= F.lit(UPSERT_SPLIT.isoformat()).cast("date")
+    for part in (ev.filter(late), ev.filter(late | (F.xxhash64("entity_id") % 2 == 0)), ev):
+        refresh_days(c.spark, part, table, c.params.workspace, c.host, c.as_of, c.days)
+    return edges_of_days(c.spark, table, c.as_of, c.days)
+
+
+_MERGED_DEGREES = O._COUNTS.format(total="if(n_out = n_in, n_out, n_out + n_in)").replace(
+    "FROM links)", f"FROM (SELECT {_LSEL} {_LBODY}) merged)")
+
+
+@register("total_connections_kept", W(f"SELECT id AS node, total_connections FROM ({_MERGED_DEGREES}) counted", "t_links", "s_links"))
+def q_total_connections_kept(c):
+    """Degrees from the counts that each upsert has added to and taken from, not from the links."""
+    from edgeloom.operators import degree as deg
+    from edgeloom.session import stage
+    deltas = []
+    _upserted(c, "links", U.LINK_KEYS, lambda before, after: deltas.append(stage(deg.degree_delta(before, after))))
+    first = deg.degree_counts(c.g.links().limit(0))
+    return deg.connections_of(deg.merge_degrees(first, deltas))

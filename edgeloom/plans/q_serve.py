@@ -70,6 +70,17 @@ def q_suggest(c):
     return SV.suggest(SV.node_index(nodes_api(c)), SUGGEST_TEXT)
 
 
+@register("suggest_indexed", W(f"""
+SELECT name, type FROM api_nodes
+WHERE contains(lower(name), '{SUGGEST_TEXT}') OR contains(lower(type), '{SUGGEST_TEXT}')
+ORDER BY name ASC NULLS LAST, type ASC NULLS LAST LIMIT 5""", "api_nodes"))
+def q_suggest_indexed(c):
+    """The same entries from the trigram index of the names."""
+    if "names" not in c.memo:
+        c.memo["names"] = SV.name_index(SV.node_index(nodes_api(c)))
+    return SV.suggest_from(c.memo["names"], SUGGEST_TEXT)
+
+
 @register("find_node", W(f"""
 SELECT name, type FROM api_nodes WHERE name || ' (' || type || ')' = '{FIND_LABEL}'""", "api_nodes"))
 def q_find_node(c):

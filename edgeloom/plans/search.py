@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.functions.constants import SUGGESTIONS
 from edgeloom.operators import traverse as TR
 from edgeloom.operators.degree import most_connected
-from edgeloom.operators.serve import api_links, api_nodes, by_source, node_index
+from edgeloom.operators.serve import NameIndex, api_links, api_nodes, by_source, name_index, node_index, suggest_from
 
 MOST_CONNECTED = "most_connected"
 
@@ -71,6 +72,7 @@ class GraphIndex:
     adj: TR.Adjacency
     source: str | None
     mode: str = "reference"
+    names: NameIndex | None = None
 
     @classmethod
     def build(cls, nodes: DataFrame, links: DataFrame, source: str | None, as_of,
@@ -104,13 +106,19 @@ class GraphIndex:
             seeds = self.links.sparkSession.range(1).select(F.lit(node_id).cast("string").alias("seed"))
         return self.search_many(seeds)
 
-    def suggest(self, text: str, n: int | None = None) -> DataFrame:
-        from edgeloom.operators.serve import suggest
-        return suggest(node_index(self.nodes), text) if n is None else suggest(node_index(self.nodes), text, n)
+    def suggest(self, text: str, n: int = SUGGESTIONS) -> DataFrame:
+        """Search-box entries; the index of names is staged with the first text."""
+        if self.names is None:
+            self.names = name_index(node_index(self.nodes))
+        return suggest_from(self.names, text, n)
 
     def levels(self, seeds: DataFrame) -> DataFrame:
         return TR.max_levels(self.links, seeds, adj=self.adj)
 
+    def depth(self, pairs: DataFrame, direction: str) -> DataFrame:
+        """Hops from ``seed`` to ``node`` of each pair (0: unreachable), searched from both ends."""
+        return TR.node_depth(self.links, pairs, direction, adj=self.adj)
+
     def selection(self, seeds: DataFrame, up_level=None, down_level=None) -> dict:
         """What selecting nodes shows: default (or given) levels, the connected
         set, its highlighted links and the indicators."""

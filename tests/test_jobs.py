@@ -1,5 +1,7 @@
 """The scheduled jobs end to end over catalog tables."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from edgeloom.operators import purge as P
@@ -55,6 +57,73 @@ def test_graph_then_purge_job(spark, tmp_path):
     assert table(spark, "jobs_t.valid_ids").count() == ids.count()
 
 
+def test_tables_stay_partitioned_and_degrees_are_kept(spark, tmp_path):
+    """Graph, purge, graph with retention: partitions stay, and the degree table equals a recount after each run."""
+    from edgeloom.operators import degree as D
+    from edgeloom.sources import sinks
+    fx = Fixture(spark, SF)
+    params = BuildParams(WORKSPACE, HOST, AS_OF, OFFSET_DAYS)
+    ensure_schema(spark, "deg_t", str(tmp_path / "wh"))
+    ev = fx.events()
+    uc, hms = S.split_by_tag(ev)
+    early = F.col("event_date") < F.lit("2024-01-21").cast("date")
+    uc.filter(early).write.saveAsTable("deg_t.uc_log")
+    hms.write.saveAsTable("deg_t.hms_log")
+    tables = GraphTables("deg_t.links", "deg_t.nodes", "deg_t.legacy_inventory", "deg_t.valid_ids", degrees="deg_t.degrees",
+                         edge_days="deg_t.edge_days")
+
+    def graph(purge_days=None):
+        return graph_job(spark, "deg_t.uc_log", tables, params, fx.inventory(), fx.legacy(), hms_log="deg_t.hms_log", purge_days=purge_days)
+
+    def same():
+        kept, counted = table(spark, "deg_t.degrees"), D.degree_counts(table(spark, "deg_t.links"))
+        assert rows(kept, *counted.columns) == rows(counted) and kept.count() > 0
+        for mode in ("reference", "strict"):
+            assert rows(D.connections_of(kept, mode)) == rows(D.total_connections(table(spark, "deg_t.links"), mode))
+        assert sinks.partition_column(spark, "deg_t.links") == sinks.partition_column(spark, "deg_t.nodes") == "last_event_date"
+
+    first = graph()
+    assert first["degrees"] == "counted" and first["days_read"]
+    same()
+    uc.filter(~early).write.insertInto("deg_t.uc_log")
+    second = graph()
+    assert second["degrees"] == "merged" and set(second["days_read"]) < {str(r[0]) for r in ev.select("event_date").distinct().collect()}
+    same()
+    purged = purge_job(spark, fx.audit(), tables, params, fx.inventory(), legacy_inventory_source(fx.table("supplier")))
+    assert purged["degrees"] == "merged" and purged["links"]["total_deleted"] > 0
+    same()
+    third = graph(purge_days=25)
+    assert third["days_read"] == [] and third["degrees"] == "merged" and third["links"]["retired"] + third["nodes"]["retired"] > 0
+    same()
+    # the links changed behind the degree table's back: it is counted anew
+    sinks.overwrite_via_staging(spark.table("deg_t.links").limit(50), "deg_t.links")
+    assert graph()["degrees"] == "counted"
+    same()
+
+
+def test_day_maxima_equal_the_full_build(spark, tmp_path):
+    """Runs over a growing log, with a late event for an old day, and a window that has moved on."""
+    from edgeloom.operators.daily import edges_of_days, refresh_days
+    from edgeloom.operators.edges import build_edges
+    fx = Fixture(spark, SF)
+    ensure_schema(spark, "day_t", str(tmp_path / "wh"))
+    ev = fx.events()
+    days = sorted(str(r[0]) for r in ev.select("event_date").distinct().collect())
+    old = [d for d in days if d > str(AS_OF - dt.timedelta(days=OFFSET_DAYS))][1]
+    cut = F.lit([d for d in days if d > old][3]).cast("date")
+    late = (F.col("event_date") == F.lit(old).cast("date")) & (F.xxhash64("entity_id", "event_time") % 2 == 0)
+    for i, (log, as_of) in enumerate(((ev.filter((F.col("event_date") < cut) & ~late), AS_OF), (ev.filter(~late), AS_OF), (ev, AS_OF), (ev, AS_OF))):
+        read = refresh_days(spark, log, "day_t.days", WORKSPACE, HOST, as_of, OFFSET_DAYS)
+        assert rows(edges_of_days(spark, "day_t.days", as_of, OFFSET_DAYS)) == rows(build_edges(log, WORKSPACE, HOST, as_of, OFFSET_DAYS))
+        if i == 2:
+            assert read == [old]
+        if i == 3:
+            assert read == []
+    p = edges_of_days(spark, "day_t.days", AS_OF, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in p
+    assert rows(edges_of_days(spark, "day_t.days", AS_OF, 20)) == rows(build_edges(ev, WORKSPACE, HOST, AS_OF, 20))
+
+
 def test_cli_runs_both_jobs(spark, tmp_path):
     from edgeloom.plans.cli import main
     fx = Fixture(spark, SF)

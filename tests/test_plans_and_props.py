@@ -221,13 +221,81 @@ def test_repeated_seeds_take_the_largest_bound(spark):
 
 
 def test_bounded_search_plans_no_level_beyond_its_bound(spark, monkeypatch):
-    written = []
-    real = TR.stage_path
-    monkeypatch.setattr(TR, "stage_path", lambda df: written.append(df) or real(df))
+    planned = []
+    real = TR._Wave.plan
+    monkeypatch.setattr(TR._Wave, "plan", lambda self, hops, active=None: planned.append(hops) or real(self, hops, active))
     la = api(spark, [(f"n{i}", f"n{i + 1}") for i in range(9)])
     assert TR.bfs(la, seeds(spark, "n0"), TR.DOWN, 1).count() == 2
-    assert len(written) == 2                         # the start and one level
-    assert plan(written[1], "simple").count("_probe") <= 1
+    assert TR.bfs(la, seeds(spark, "n0"), TR.DOWN, 6).count() == 7
+    assert TR.bfs(la, seeds(spark, "n9"), TR.DOWN).count() == 1         # no step leads on: no job
+    assert planned == [1, 4, 2]
+
+
+def test_every_level_of_a_job_is_joined_once(spark):
+    la = api(spark, [(f"n{i}", f"n{i + 1}") for i in range(9)])
+    adj = TR.adjacency(la, TR.DOWN)
+    wave = TR._Wave(adj, TR._start(seeds(spark, "n0"), TR.DOWN, None))
+    table = adj.steps._jdf.queryExecution().analyzed().toString().split("edgeloom_stage_")[1][:32]
+    for hops in (1, 2, 4):
+        p = wave.plan(hops)._jdf.queryExecution().executedPlan().toString()
+        assert p.count(f"edgeloom_stage_{table}") == hops
+    frame = {(r["node"], r["depth"], r["bits"]) for r in wave.plan(4).collect()}
+    assert frame == {(f"n{i}", i, 1) for i in range(1, 5)}
+
+
+def test_seeds_share_rows(spark):
+    """200 seeds into one hub: the hub's steps are taken once per group of 64 seeds, not once per seed."""
+    edges = [(f"s{i}", "hub") for i in range(200)] + [("hub", f"t{i}") for i in range(50)] + [("t0", "s0")]
+    la = api(spark, edges)
+    adj = TR.adjacency(la)
+    s = seeds(spark, *[f"s{i}" for i in range(200)])
+    reach = TR.search(adj, TR._start(s, TR.DOWN, None))
+    groups = -(-200 // TR.GROUP)
+    held = {r["depth"]: r["n"] for r in reach.deltas.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert held[0] == 200 and held[1] == groups and held[2] == 50 * groups
+    got = {}
+    for r in reach.rows(TR.DOWN).collect():
+        assert got.setdefault((r.seed, r.node), r.depth) == r.depth
+    want = {(f"s{i}", n): d for i in range(200) for n, d in _reach(edges, f"s{i}", False).items()}
+    assert got == want
+    lv = {r["seed"]: r["depth"] for r in reach.levels().collect()}
+    assert lv == {f"s{i}": max(d for (x, _), d in want.items() if x == f"s{i}") for i in range(200)}
+
+
+def test_groups_keep_their_own_bounds(spark):
+    la = api(spark, [(f"n{i}", f"n{i + 1}") for i in range(12)])
+    s = spark.createDataFrame([(f"n{i}", i % 4 if i % 5 else None) for i in range(12)], "seed string, max_depth int")
+    got = {}
+    for r in TR.bfs(la, s, TR.DOWN).collect():
+        got.setdefault(r.seed, {})[r.node] = r.depth
+    for i in range(12):
+        most = i % 4 if i % 5 else 99
+        assert got[f"n{i}"] == {f"n{j}": j - i for j in range(i, min(12, i + most) + 1)}
+
+
+@SLOW
+@given(edge_lists)
+def test_two_sided_depth_equals_the_closure(spark, edges):
+    la = api(spark, edges)
+    adj = TR.adjacency(la)
+    ends = sorted({n for e in edges for n in e}) + ["unknown", None]
+    pairs = spark.createDataFrame(list(itertools.product(ends, ends)) + [("a", "b")] * 2, "seed string, node string")
+    for direction, up in ((TR.DOWN, False), (TR.UP, True)):
+        got = sorted(map(str, map(tuple, TR.node_depth(la, pairs, direction, adj=adj).collect())))
+        want = [(a, b, _reach(edges, a, up).get(b, 0) if a else 0) for a, b in [tuple(r) for r in pairs.collect()]]
+        assert got == sorted(map(str, want))
+
+
+def test_two_sided_depth_visits_less(spark):
+    """A tree of 1,093 nodes and a chain into it: the nodes' side is narrow, so the seed's closure is never made."""
+    edges = [(f"t{(i - 1) // 3}", f"t{i}") for i in range(1, 1093)]
+    la = api(spark, edges)
+    adj = TR.adjacency(la)
+    pairs = spark.createDataFrame([("t0", "t1092"), ("t0", "t400"), ("t5", "t0")], "seed string, node string")
+    visited = {}
+    got = {(r.seed, r.node): r.depth for r in TR.node_depth(la, pairs, TR.DOWN, adj=adj, visited=visited).collect()}
+    assert got == {("t0", "t1092"): 6, ("t0", "t400"): 6, ("t5", "t0"): 0}
+    assert visited["rows"] < 100 < TR.bfs(la, seeds(spark, "t0"), TR.DOWN, adj=adj).count()
 
 
 def test_patterns_do_not_share_a_key(spark):
@@ -263,3 +331,37 @@ def test_bucketed_visited_anti_join_shuffles_neither_side(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     # one shuffle: the candidates' distinct; the bucketed visited side is read in place
     assert p.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in p and "LeftAnti" in p
+
+
+def test_only_asked_rows_meet_the_ids(spark):
+    """Rows that NOT IN does not concern are in branches without an exchange; NULL semantics as in SQL."""
+    from edgeloom.operators import purge as P
+    t = "TABLE/VIEW/PATH"
+    data = [("a", t, "j1", "JOB"), ("x", t, "a", t), ("j1", "JOB", "j2", "JOB"), (None, t, "a", t), ("a", None, "x", t), ("s3://p", t, "a", t),
+            ("j1", "JOB", "x", t), ("a", t, "b", t)]
+    links = spark.createDataFrame(data, "source_node string, source_node_type string, target_node string, target_node_type string")
+    nodes = links.selectExpr("source_node node", "source_node_type node_type").distinct()
+    links.createOrReplaceTempView("t_links")
+    nodes.createOrReplaceTempView("t_nodes")
+    for held in (["a", "b"], [], ["a", None]):
+        ids = spark.createDataFrame([(i,) for i in held], "table_id string")
+        ids.createOrReplaceTempView("t_ids")
+        # each end on its own, as Spark takes one NOT IN subquery a filter
+        src = spark.sql(f"SELECT * FROM t_links WHERE source_node_type = '{t}' AND source_node NOT IN (SELECT table_id FROM t_ids)")
+        tgt = spark.sql(f"SELECT * FROM t_links WHERE target_node_type = '{t}' AND target_node NOT IN (SELECT table_id FROM t_ids)")
+        want = sorted(map(str, (tuple(r) for r in links.exceptAll(src.union(tgt).distinct()).collect())))
+        assert sorted(str(tuple(r)) for r in P.drop_orphan_links(links, ids).select(*links.columns).collect()) == want
+        flagged = P.flag_orphans(links, ids, P.LINK_ENDS).filter(~F.col("_orphan")).drop("_orphan")
+        assert sorted(str(tuple(r)) for r in flagged.collect()) == want
+        asked = spark.sql(f"SELECT * FROM t_nodes WHERE node_type = '{t}' AND node NOT IN (SELECT table_id FROM t_ids)")
+        assert sorted(map(str, P.orphan_nodes(nodes, ids).collect())) == sorted(map(str, asked.collect()))
+    ids = spark.createDataFrame([("a",), ("b",)], "table_id string")
+    big = spark.range(10).selectExpr("concat('n', id) node", f"if(id % 2 = 0, '{t}', 'JOB') node_type")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = P.drop_orphan_nodes(big, ids)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert p.count("Exchange hashpartitioning") == 2 and "Union" in p       # the asked nodes and the ids; the rest is not moved
+    assert p.index("Union") < p.index("Exchange hashpartitioning")

@@ -94,13 +94,7 @@ def main() -> None:
     hits = stage(P.deleted_entities(g.nodes(), dels))
     la = SV.api_links(g.links(), "all")
     adj = TR.adjacency(la)
-    front = stage(TR._start(TR.seeds_of(deg.most_connected(g.links())), TR.DOWN, None))
-    probe = TR._probe(front, adj)
-    key = ["seed", "_dir", "node"]
-    level = (probe.join(adj.steps, (probe["_dir"] == adj.steps["_dir"]) & (probe["node"] == adj.steps["_from"])
-                        & (probe["_salt"] == adj.steps["_salt"]))
-             .select("seed", probe["_dir"], F.col("_to").alias("node"), "_lim").dropDuplicates(key)
-             .join(front.select(*key), key, "left_anti"))
+    wave = TR._Wave(adj, TR._start(TR.seeds_of(deg.most_connected(g.links())), TR.DOWN, None))
     stages = {
         "edges (events -> edges)": lambda: E.build_edges(c.fx.events(), p.workspace, p.host, p.as_of, p.days),
         "objects": lambda: OB.objects_union(g.edges(), c.host),
@@ -110,7 +104,8 @@ def main() -> None:
         "total_connections": lambda: deg.total_connections(g.links()),
         "most_connected": lambda: deg.most_connected(g.links()),
         "api_nodes": lambda: SV.api_nodes(g.nodes(), g.links(), "all", c.as_of),
-        "bfs level (one step)": lambda: level,
+        "bfs job of one level": lambda: wave.plan(1),
+        "bfs job of four levels": lambda: wave.plan(4),
         "deletions (audit)": lambda: P.deletions(S.audit_scan(c.fx.audit()), c.host, c.as_of, c.days),
         "deleted_entities": lambda: P.deleted_entities(g.nodes(), dels),
         "match_deleted_links": lambda: P.match_deleted_links(g.links(), hits),
