@@ -255,3 +255,34 @@ def test_no_exact_passage_is_missed_among_many_holders(spark):
     got = compact_windows.near_passages(frame(spark, rows)).collect()
     for doc, lead in need.items():
         assert any(r["doc_id"] == doc and r["match_doc_id"] == lead and r["start_word"] <= 20 and r["end_word"] >= 70 for r in got)
+
+
+@pytest.mark.parametrize("edits, size", [(0, 60), (1, 60), (1, 96), (2, 100), (2, 110), (3, 150), (5, 250)])
+def test_whole_stretches_are_verified(edits, size):
+    """Evenly spread edits: no run between two of them is worth the next, but the passage as a whole is near enough."""
+    rng = random.Random(size + edits)
+    for _ in range(20):
+        p = [rng.random() for _ in range(size)]
+        q = list(p)
+        for e in range(edits):
+            q[(e + 1) * size // (edits + 1)] = rng.random()
+        around = [[rng.random() for _ in range(rng.randrange(30))] for _ in range(4)]
+        a, b = (np.array([hash(tuple(w[i:i + 5])) & (1 << 63) - 1 for i in range(len(w) - 4)], dtype=np.uint64)
+                for w in (around[0] + p + around[1], around[2] + q + around[3]))
+        got = compact_windows.compare(a, b)
+        assert any(x[1] - x[0] + 1 >= 0.9 * (size - 4) and x[4] >= 0.8 for x in got)
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 96 to 250 words with evenly spread edits, each once repeated: 0.9 of them or more are found."""
+    rng, rows, need = random.Random(41), [], []
+    for k, (edits, size) in enumerate([(1, 96), (2, 110), (3, 150), (3, 200), (5, 250)] * 8):
+        p = words(rng, size)
+        q = list(p)
+        for e in range(edits):
+            q[(e + 1) * size // (edits + 1)] = f"edit{k}x{e}"
+        rows += [(2 * k, " ".join(words(rng, 15) + p + words(rng, 15))), (2 * k + 1, " ".join(words(rng, 15) + q + words(rng, 15)))]
+        need.append((2 * k + 1, 2 * k, size))
+    got = compact_windows.near_passages(frame(spark, rows)).collect()
+    found = sum(any(r["doc_id"] == d and r["match_doc_id"] == m and r["end_word"] - r["start_word"] >= 0.8 * n for r in got) for d, m, n in need)
+    assert found >= 0.9 * len(need)
