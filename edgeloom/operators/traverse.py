@@ -122,6 +122,7 @@ def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst:
 
 def _probe(rows: DataFrame, adj: Adjacency, grow: Column, carry: bool) -> DataFrame:
     """Rows with the salts to probe: all salts of the node where it grows, and its step to itself where rows are carried."""
+    cols = rows.columns
     if adj.hot is not None:
         h = adj.hot.select("_dir", F.col("_from").alias("node"), "_salts")
         rows = rows.join(h, ["_dir", "node"], "left")
@@ -130,11 +131,9 @@ def _probe(rows: DataFrame, adj: Adjacency, grow: Column, carry: bool) -> DataFr
         last = F.lit(0)
     if carry:
         salts = F.when(grow, F.sequence(F.lit(STAY), last)).otherwise(F.array(F.lit(STAY)))
-    elif adj.hot is None:
-        return rows.withColumn("_salt", last)
     else:
-        salts = F.sequence(F.lit(0), last)
-    return rows.withColumn("_salt", F.explode(salts)).drop("_salts")
+        salts = F.sequence(F.lit(0), last) if adj.hot is not None else F.array(last)
+    return rows.select(*cols, F.explode(salts).alias("_salt"))
 
 
 _KEY = ["_grp", "_dir", "_lim", "node"]
@@ -166,9 +165,10 @@ class _Wave:
         order = ["_dir", "_lim", "seed"]
         dealt = start.repartitionByRange(tasks, *order) if tasks > 1 else start.coalesce(1)
         at = F.monotonically_increasing_id()
-        # (_grp, _dir, _lim, _bit, seed): who a bit of a group stands for
-        self.seeds = stage(dealt.sortWithinPartitions(*order).select(*order, at.alias("_at")).select(
-            F.shiftright("_at", 6).alias("_grp"), "_dir", "_lim", (F.col("_at") % GROUP).cast("int").alias("_bit"), "seed"))
+        # (_grp, _dir, _lim, _bit, seed): who a bit of a group stands for; one task's numbers follow from the order alone
+        seeds = dealt.sortWithinPartitions(*order).select(*order, at.alias("_at")).select(
+            F.shiftright("_at", 6).alias("_grp"), "_dir", "_lim", (F.col("_at") % GROUP).cast("int").alias("_bit"), "seed")
+        self.seeds = stage(seeds) if tasks > 1 else seeds
         first = (self.seeds.withColumn("node", F.col("seed")).join(adj.ends, ["_dir", "node"], "left")
                  .select(*_KEY, _bit("_bit").alias("bits"), F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), F.lit(0).alias("depth")))
         self.depth, self.paths, self.rows = 0, [], 0
@@ -193,9 +193,11 @@ class _Wave:
         ``_b1`` .. ``_bh`` are the seeds that reach the row's node first at each of
         the job's levels. A level joins the rows of the level before with their
         steps, and earlier rows with their step to themselves, then one grouped OR
-        puts them together and the visited set is taken off. ``active``: ``(_grp,
+        puts them together and the visited set is taken off. (In the first job that is the
+        start, which is carried along as ``_b0``.) ``active``: ``(_grp,
         _mask)``, the seeds of a group that still search (all, if None).
         """
+        base = 0 if self.depth == 0 and active is None else 1
         seen = self.deltas().groupBy(*_KEY).agg(F.bit_or("bits").alias("_seen"))
         rows = self.last.select(*_KEY, F.col("bits").alias("_b0"))
         if active is not None:
@@ -204,23 +206,25 @@ class _Wave:
         for h in range(1, hops + 1):
             edge, new = f"_b{h - 1}", f"_b{h}"
             grow = (F.col(edge) != 0) & (F.col("_lim") > self.depth + h - 1)
-            if h == 1:
+            if h == 1 and base:
                 rows = rows.filter(grow)
-            probe = _probe(rows, self.adj, grow, carry=h > 1)
+            probe = _probe(rows, self.adj, grow, carry=h > 1 or not base)
             moved = F.col("_part") != STAY
             none = F.lit(0).cast("long")
-            kept = [F.when(moved, none).otherwise(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(1, h)]
+            kept = [F.when(moved, none).otherwise(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(base, h)]
             rows = (probe.join(steps, (F.col("_dir") == F.col("_way")) & (F.col("node") == F.col("_from")) & (F.col("_salt") == F.col("_part")))
                     .select("_grp", "_dir", "_lim", F.col("_to").alias("node"), F.col("_deg").alias("deg"), *kept,
                             F.when(moved, F.col(edge)).otherwise(none).alias(new))
-                    .groupBy(*_KEY).agg(F.max("deg").alias("deg"), *[F.bit_or(f"_b{i}").alias(f"_b{i}") for i in range(1, h + 1)])
-                    .join(seen, _KEY, "left"))
-            known = F.coalesce("_seen", none)
-            for i in range(1, h):
+                    .groupBy(*_KEY).agg(F.max("deg").alias("deg"), *[F.bit_or(f"_b{i}").alias(f"_b{i}") for i in range(base, h + 1)]))
+            known = none
+            if base:
+                rows = rows.join(seen, _KEY, "left")
+                known = F.coalesce("_seen", none)
+            for i in range(base, h):
                 known = known.bitwiseOR(F.col(f"_b{i}"))
-            rows = rows.withColumn(new, F.col(new).bitwiseAND(F.bitwise_not(known))).drop("_seen")
+            rows = rows.select(*_KEY, "deg", *[f"_b{i}" for i in range(base, h)], F.col(new).bitwiseAND(F.bitwise_not(known)).alias(new))
             any_ = F.lit(False)
-            for i in range(1, h + 1):
+            for i in range(base, h + 1):
                 any_ = any_ | (F.col(f"_b{i}") != 0)
             rows = rows.filter(any_)
         levels = F.array(*[F.struct(F.col(f"_b{i}").alias("bits"), F.lit(self.depth + i).alias("depth")) for i in range(1, hops + 1)])
