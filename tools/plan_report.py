@@ -53,14 +53,15 @@ NOTES = """
   otherwise it is a sort-merge join with skew splitting.
 - **nodes**: anti joins against the event nodes plus one distinct over the
   union; inventories are read with their filters pushed down.
-- **bfs level**: the adjacency is a bucketed table, so only the frontier moves
-  (or is broadcast); the anti join against the visited set is broadcast while
-  that set is small and is bucket-to-bucket once it is large.
+- **bfs jobs**: the adjacency is a bucketed table, so only the frontier moves
+  (or is broadcast). One shuffle per level: the grouped OR of the seeds' bits, which combines
+  map-side. A job of four levels has each level's join once, in one chain. From the
+  second job on, each level also meets the visited set (grouped once, its shuffle reused).
 - **deleted_entities / match_deleted_links**: equi joins plus the bucketed LIKE
   join; no nested-loop join. The bucketed pattern side is staged, so these
   plans stay small.
-- **drop_orphan_links**: one join per endpoint with the valid ids, guarded by
-  the two facts that fix `NOT IN` semantics.
+- **drop_orphan_links**: a semi join per endpoint, of only the table-typed rows with a value;
+  the other branches of the union are scans. Guarded by the two facts that fix `NOT IN` semantics.
 - **links_upsert**: one full outer join on the merge keys (unique per side, so
   no key is hot), which yields both the merged table and its metrics.
 """
