@@ -185,6 +185,18 @@ def test_few_vectors(spark):
     assert [(r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 2), (2, 1)]
 
 
+def test_tiny_and_huge_vectors(spark):
+    """Squares of these components vanish or overflow; their cosines do not."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, (x[7] * 1e-200).tolist()), (1050, (x[9] * 1e200).tolist()), (1100, [5e-324] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df, df.where("vec_id in (7, 1000, 1050, 1100)")).collect()}
+    assert got[(7, 1)][0] == 1000 and got[(1000, 1)][0] == 7 and got[(1050, 1)][0] == 9
+    assert all(abs(got[k][1] - 1) < 1e-12 for k in ((7, 1), (1000, 1), (1050, 1)))
+    assert len([k for k in got if k[0] == 1100]) == 5
+
+
 def test_probing_misses_no_code():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 1 << 16, (400, 3)).astype(np.uint16)
