@@ -167,6 +167,15 @@ def test_lines_of_odd_tables(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_tables_with_clashing_names(spark):
+    """Names that the operator uses itself may be columns of the input."""
+    names = ["gone", "of", "row", "id", "body", "lines", "removed", "kept", "doc", "line", "__gone", "__doc", "__lines", "__kept", "__removed", "a.b"]
+    rows = [(1, "one two three\nfour five six") + tuple(range(len(names))), (2, "one two three\nseven") + tuple(range(len(names)))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [rows[0], (2, "seven") + tuple(range(len(names)))]
+
+
 def brute_bytes(rows, length=suffix_dedup.LENGTH):
     first, out = {}, {}
     raw = {i: (t or "").encode() for i, t in rows}
