@@ -12,12 +12,14 @@ Components are wanted, not pairs, so work is spared where it changes nothing:
 1. equal sets are one node;
 2. star step: every member of a bucket is verified against its first member,
    and verified links are joined to components;
-3. buckets that still hold more than one component get a signature tree. Its
-   nodes hold the OR of their members' token bitmaps, their size range and
-   whether they lie in one component. A dual traversal goes down pairs of
-   nodes whose largest possible overlap would do, and leaves pairs of
-   different components, which are verified in turn. Large buckets are cut
-   into blocks; every pair of blocks is a traversal of its own.
+3. buckets that still hold more than one component get a signature tree; of
+   buckets with the same members only one does. A tree's nodes hold the OR and
+   the AND of their members' token bitmaps, their size range and whether they
+   lie in one component. A dual traversal goes down pairs of nodes whose
+   largest possible overlap would do: no member shares what all members of its
+   node have and no member of the other node has. It leaves pairs of different
+   components, which are verified in turn. Large buckets are cut into blocks;
+   every pair of blocks is a traversal of its own.
 """
 
 from __future__ import annotations
@@ -138,19 +140,22 @@ def _emit(k: int, num: int, den: int, seen=None):
 
 
 class SignatureTree:
-    """Levels of nodes over documents sorted by size: OR bitmaps, size ranges, the component of pure nodes (else -1)."""
+    """Levels of nodes over documents, those of one component side by side: size ranges, the component of pure nodes
+    (else -1), OR and AND bitmaps."""
 
     def __init__(self, n: np.ndarray, label: np.ndarray, bits: np.ndarray):
-        self.order = np.lexsort((label, n))
+        self.order = np.lexsort((n, label))
         lo = hi = n[self.order]
-        lab, bm = label[self.order], bits[self.order]
-        self.levels = [(lo, hi, lab, bm, np.ones(len(n), np.int64))]
+        lab, any_ = label[self.order], bits[self.order]
+        all_ = any_
+        self.levels = [(lo, hi, lab, any_, all_)]
         while len(lo) > 1:
             at = np.arange(0, len(lo), FANOUT)
             same_lo, same_hi = np.minimum.reduceat(lab, at), np.maximum.reduceat(lab, at)
-            lo, hi, bm = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.bitwise_or.reduceat(bm, at, axis=0)
+            lo, hi = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
+            any_, all_ = np.bitwise_or.reduceat(any_, at, axis=0), np.bitwise_and.reduceat(all_, at, axis=0)
             lab = np.where((same_lo == same_hi), same_lo, -1)
-            self.levels.append((lo, hi, lab, bm, None))
+            self.levels.append((lo, hi, lab, any_, all_))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -171,19 +176,14 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, num: int, den: int, same:
             if same:
                 ok &= p <= q
             p, q = p[ok], q[ok]
-            bp, bq = la[3][p], lb[3][q]
             small = np.maximum(la[0][p], -(-lb[0][q] * num // den))    # least sizes that a linked pair here can have
             other = np.maximum(lb[0][q], -(-la[0][p] * num // den))
             need = -(-num * (small + other) // (num + den))
-            if level:
-                # a member shares no more than lies on common bits; bits of a set that hold several shingles are few
-                most = np.minimum(la[1][p], lb[1][q])
-                ok = (most >= need) & (_popcount(bp & bq) > 0)
-            else:
-                most = np.minimum(la[1][p] - _popcount(bp & ~bq), lb[1][q] - _popcount(bq & ~bp))
-                ok = most >= need
-                if same:
-                    ok &= p < q
+            # every bit that all members here have and none there is a shingle, at least, that is not shared
+            most = np.minimum(la[1][p] - _popcount(la[4][p] & ~lb[3][q]), lb[1][q] - _popcount(lb[4][q] & ~la[3][p]))
+            ok = most >= need
+            if same and not level:
+                ok &= p < q
             keep_i.append(p[ok])
             keep_j.append(q[ok])
         i, j = np.concatenate(keep_i), np.concatenate(keep_j)
@@ -226,7 +226,7 @@ def _traverse(num: int, den: int):
             size = np.diff(np.concatenate([first, [len(b)]]))
             small = np.repeat((size <= LEAF) & (np.minimum.reduceat(side, first) == 2), size)
             i, j = leaf_pairs(group[small], n[small], label[small], bits[small], num, den)
-            yield pd.DataFrame({"a": doc[small][i], "b": doc[small][j]})
+            yield pd.DataFrame({"a": doc[small][i], "b": doc[small][j]}).drop_duplicates()
             for at, count in zip(first[~small[first]].tolist(), size[~small[first]].tolist()):
                 own = np.arange(at, at + count)
                 left, right = own[side[own] != 1], own[side[own] != 0]
@@ -306,10 +306,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = components(star).withColumnRenamed("node", "doc").withColumnRenamed("component", "label")
     named = stage(held.select("key", "doc", "n").join(sized_broadcast(comp, BROADCAST_ROWS), "doc", "left")
                   .withColumn("label", F.coalesce("label", "doc")))
-    # (of two members whose sizes are out of reach nothing can come)
+    # (of two members whose sizes are out of reach nothing can come; members are told by 128 bits of sums of their hashes)
+    h, g = F.xxhash64("doc"), F.xxhash64(F.lit(1), "doc")
+    low = F.lit((1 << 32) - 1)
+    same = [F.sum(x).alias(f"m{i}") for i, x in enumerate((h.bitwiseAND(low), F.shiftrightunsigned(h, 32),
+                                                           g.bitwiseAND(low), F.shiftrightunsigned(g, 32)))]
     mixed = (named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c"),
-                                      F.min("n").alias("least"), F.max("n").alias("most"))
-             .where(f"l <> m AND (c > 2 OR least * {den} >= most * {num})").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+                                      F.min("n").alias("least"), F.max("n").alias("most"), *same)
+             .where(f"l <> m AND (c > 2 OR least * {den} >= most * {num})")
+             .groupBy("c", "m0", "m1", "m2", "m3").agg(F.min("key").alias("key"))
+             .select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
     inside = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # the pairs of blocks that a member's block stands in; side 2: both sides are the same block
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
