@@ -295,3 +295,52 @@ def test_recall_of_near_passages(spark):
     got = compact_windows.near_passages(frame(spark, rows)).collect()
     found = sum(any(r["doc_id"] == d and r["match_doc_id"] == m and r["end_word"] - r["start_word"] >= 0.8 * n for r in got) for d, m, n in need)
     assert found >= 0.9 * len(need)
+
+
+@pytest.mark.parametrize("holders", [2, 12])
+def test_recall_where_parts_stand_in_many_documents(spark, holders):
+    """Every 20-word block of a passage stands in other documents too, all of them before the near repeat."""
+    rng, rows, need = random.Random(50 + holders), [], []
+    for k, (edits, size) in enumerate([(1, 96), (2, 110), (3, 150), (5, 250)] * 5):
+        p = words(rng, size)
+        q = list(p)
+        for e in range(edits):
+            q[(e + 1) * size // (edits + 1)] = f"edit{k}x{e}"
+        texts = [words(rng, 30) + p[x:x + 20] + words(rng, 30) for x in range(0, size - 19, 20) for _ in range(holders)]
+        texts.insert(rng.randrange(len(texts)), words(rng, 15) + p + words(rng, 15))
+        lead = next(i for i, x in enumerate(texts) if len(x) == size + 30 and x[15:15 + size] == p)
+        texts.append(words(rng, 15) + q + words(rng, 15))
+        rows += [(1000 * k + i, " ".join(x)) for i, x in enumerate(texts)]
+        need.append((rows[-1][0], 1000 * k + lead, size))
+    got = compact_windows.near_passages(frame(spark, rows)).collect()
+    found = sum(any(r["doc_id"] == d and r["match_doc_id"] == m and r["end_word"] - r["start_word"] >= 0.8 * n for r in got) for d, m, n in need)
+    assert found >= 0.9 * len(need)
+
+
+def test_joint_windows_have_the_least_hashes_of_all_their_functions():
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, n)) for n in (49, 50, 51, 400)] + [None, "", " ".join(words(rng, 60) * 3)]
+    number, key, a, b = compact_windows.windows(texts)
+    s, t = compact_windows._sequence(texts)
+    groups = compact_windows.HASHES // compact_windows.AGREE
+    for i in set(t.tolist()):
+        own = s[t == i]
+        n = len(own) - compact_windows.MIN_SHINGLES + 1
+        held = [[] for _ in range(n)]
+        for k, x, y in zip(key[number == i].tolist(), a[number == i].tolist(), b[number == i].tolist()):
+            for at in range(x, y + 1):
+                held[at].append(k)
+        assert all(len(h) == groups for h in held)
+        same = {}
+        for at, h in enumerate(held):                            # equal content, equal signatures
+            assert same.setdefault(own[at:at + compact_windows.MIN_SHINGLES].tobytes(), sorted(h)) == sorted(h)
+
+
+def test_longest_previous_factors():
+    rng = random.Random(3)
+    for _ in range(60):
+        docs = np.array([rng.randrange(6) for _ in range(rng.randrange(1, 40))])
+        raw = [bytes(rng.choice([0, 1, 97]) for _ in range(5)) for _ in docs]
+        got = suffix_dedup.longest_previous_factors(np.frombuffer(b"".join(raw), np.uint8).copy().view("S5"), docs)
+        for i, x in enumerate(raw):
+            assert got[i] == max((next((k for k in range(5) if x[k] != y[k]), 5) for y, d in zip(raw, docs) if d < docs[i]), default=0)
