@@ -317,6 +317,31 @@ def test_recall_where_parts_stand_in_many_documents(spark, holders):
     assert found >= 0.9 * len(need)
 
 
+def test_partners_beyond_two_leaders_are_met(spark):
+    """Every signature that a passage shares with its near repeat has two earlier holders, each of half of it."""
+    rng, rows, need, k = random.Random(61), [], [], 0
+    while len(need) < 6:
+        p, base = words(rng, 60), 1000 * k
+        k += 1
+        decoys = []
+        for at in range(0, 31, 3):
+            decoys += [words(rng, 30) + p[at:at + 30] + words(rng, 30) for _ in range(5)]
+        q = p[:30] + words(rng, 1) + p[31:]
+        texts = [" ".join(x) for x in decoys + [words(rng, 9) + p + words(rng, 9), words(rng, 11) + q + words(rng, 11)]]
+        number, key, _, _ = compact_windows.windows(texts)
+        holders = {}
+        for t, x in zip(number.tolist(), key.tolist()):
+            holders.setdefault(x, set()).add(t)
+        lead, last = len(texts) - 2, len(texts) - 1
+        both = [sorted(h) for h in holders.values() if lead in h and last in h]
+        if both and all(lead not in h[:2] for h in both):
+            rows += [(base + i, t) for i, t in enumerate(texts)]
+            need.append((base + last, base + lead))
+    got = compact_windows.near_passages(frame(spark, rows).repartition(5)).collect()
+    pairs = {(r["doc_id"], r["match_doc_id"]) for r in got}
+    assert set(need) <= pairs
+
+
 def test_joint_windows_have_the_least_hashes_of_all_their_functions():
     rng = random.Random(6)
     texts = [" ".join(words(rng, n)) for n in (49, 50, 51, 400)] + [None, "", " ".join(words(rng, 60) * 3)]
