@@ -152,7 +152,7 @@ def _purge(spark, audit, tables, params, inventory, legacy_source) -> dict:
     nodes, links = spark.table(tables.nodes), spark.table(tables.links)
     facts = P.id_facts(ids)                              # once for links and nodes
     dels = P.deletions(S.audit_scan(audit), params.host, params.as_of, params.days, params.mode)
-    hits = stage(P.deleted_entities(nodes, dels, params.mode))
+    hits = stage(P.deleted_entities(nodes, dels, params.mode, counted=True))
     degrees = DegreeTable(spark, tables) if tables.degrees else None
     out = {
         "links": _delete(spark, tables.links, lambda df: P.match_deleted_links(

@@ -242,3 +242,18 @@ def test_strict_schema_and_dashboard_deletes(spark):
         F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("node_type"),
         F.lit(None).cast("string").alias("entity_path"), "action_name", "schema_table_name")
     assert rows(P.match_deleted_links(lk, dels_strict), "source_node") == [("main.a_b_old.t",), ("main.axb.t",)]
+
+
+def test_repeated_deletions_meet_a_node_once(spark, monkeypatch):
+    """A schema deleted 3,000 times: one counted hit a node, and as many rows as deletions after its last event, in several tasks."""
+    nd = spark.createDataFrame([("main.s.t", T, "https://ws/explore/data/main/s/t", d("2024-01-24"), "table_lineage"),
+                                ("main.s.u", T, "https://ws/explore/data/main/s/u", d("2024-01-25"), "table_lineage"),
+                                ("main.r.v", T, "https://ws/explore/data/main/r/v", d("2024-01-01"), "table_lineage")], NODE_SCHEMA)
+    dels = spark.range(3000).select(
+        F.expr("date_add(date'2024-01-25', cast(id % 2 as int))").alias("event_date"), F.lit("deleteSchema").alias("action_name"),
+        F.lit("main.s%").alias("schema_table_name"), F.lit("https://ws/explore/data/main/s/%").alias("deleted_entity_path"))
+    assert rows(P.deleted_entities(nd, dels, counted=True), "node", "n") == [("main.s.t", 3000), ("main.s.u", 1500)]
+    monkeypatch.setattr(P, "ROWS_PER_TASK", 500)
+    hit = P.deleted_entities(nd, dels)
+    assert hit.rdd.getNumPartitions() == 9
+    assert rows(hit.groupBy("node").count(), "node", "count") == [("main.s.t", 3000), ("main.s.u", 1500)]
