@@ -58,6 +58,8 @@ STEPS_PER_BUCKET = 50_000
 GROUP = 64
 # Seeds numbered by one task (a bound on a task, groups are cut inside it).
 SEEDS_PER_TASK = 64 * 1024
+# Rows per seed that one task makes of rows with bits.
+ROWS_PER_TASK = 500_000
 # ``_lim`` of an unbounded search.
 NO_LIMIT = 2**31 - 1
 # ``_salt`` of a node's step to itself.
@@ -162,24 +164,27 @@ class _Wave:
         start = stage(start.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("_lim").alias("lim")))
         rows, self.deepest = seen.get["rows"], seen.get["lim"] or 0
         tasks = -(-rows // SEEDS_PER_TASK)
-        order = ["_dir", "_lim", "seed"]
-        dealt = start.repartitionByRange(tasks, *order) if tasks > 1 else start.coalesce(1)
+        order = ["_most", "seed"]
+        each = start.groupBy("seed").agg(F.max("_lim").alias("_most"))
+        dealt = each.repartitionByRange(tasks, *order) if tasks > 1 else each.coalesce(1)
         at = F.monotonically_increasing_id()
-        # (_grp, _dir, _lim, _bit, seed): who a bit of a group stands for; one task's numbers follow from the order alone
-        seeds = dealt.sortWithinPartitions(*order).select(*order, at.alias("_at")).select(
-            F.shiftright("_at", 6).alias("_grp"), "_dir", "_lim", (F.col("_at") % GROUP).cast("int").alias("_bit"), "seed")
-        self.seeds = stage(seeds) if tasks > 1 else seeds
+        numbered = dealt.sortWithinPartitions(*order).select("seed", at.alias("_at"))
+        # (_grp, _dir, _lim, _bit, seed): who a bit of a group stands for, the same in all directions
+        self.seeds = stage(start.join(numbered, "seed").select(
+            F.shiftright("_at", 6).alias("_grp"), "_dir", "_lim", (F.col("_at") % GROUP).cast("int").alias("_bit"), "seed"))
         first = (self.seeds.withColumn("node", F.col("seed")).join(adj.ends, ["_dir", "node"], "left")
                  .select(*_KEY, _bit("_bit").alias("bits"), F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), F.lit(0).alias("depth")))
-        self.depth, self.paths, self.rows = 0, [], 0
+        self.depth, self.paths, self.rows, self.held = 0, [], 0, 0
         self._keep(first, 0)
 
     def _keep(self, new: DataFrame, last: int) -> None:
         seen = Observation()
         ahead = F.sum(F.when((F.col("depth") == last) & (F.col("_lim") > last), F.col("deg")))
         self.schema = new.select(*_DELTA).schema
-        frame, path = stage_path(new.select(*_DELTA).observe(seen, F.count(F.lit(1)).alias("rows"), ahead.alias("steps")))
+        frame, path = stage_path(new.select(*_DELTA).observe(seen, F.count(F.lit(1)).alias("rows"), ahead.alias("steps"),
+                                                                         F.sum(F.bit_count("bits")).alias("held")))
         self.depth, self.steps, self.rows = last, seen.get["steps"] or 0, self.rows + seen.get["rows"]
+        self.held += seen.get["held"] or 0
         if seen.get["rows"] or not self.paths:
             self.paths.append(path)
         self.last = frame.filter(F.col("depth") == last)
@@ -241,24 +246,31 @@ class Reach:
 
     deltas: DataFrame
     seeds: DataFrame
+    held: int = 0          # bits set in all deltas: rows per seed that they stand for
 
-    def _named(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``bits`` as one row per seed."""
-        held = (self.seeds.groupBy("_grp", "_dir", "_lim")                  # GROUP entries at most
-                .agg(F.collect_list(F.struct("_bit", "seed")).alias("_held")))
-        return (rows.join(held, ["_grp", "_dir", "_lim"])
-                .withColumn("seed", F.explode(F.expr("transform(filter(_held, x -> getbit(bits, x._bit) = 1), x -> x.seed)")))
-                .drop("_held", "bits", "_grp", "_lim"))
+    def _named(self, rows: DataFrame, seeds: DataFrame, by: list[str], spread: bool = True) -> DataFrame:
+        """Rows with ``bits`` as one row per seed. Where these are many, the rows are dealt evenly first, while they are few."""
+        tasks = -(-self.held // ROWS_PER_TASK)
+        if spread and tasks > 1:
+            rows = rows.repartition(tasks)
+        return rows.join(F.broadcast(seeds) if spread and tasks > 1 and seeds.count() <= SEEDS_PER_TASK else seeds, by).filter(
+            F.expr("getbit(bits, _bit) = 1")).drop("bits", "_bit", "_grp", "_lim")
 
     def rows(self, direction: str) -> DataFrame:
         """``(seed, node, depth)`` of one direction."""
-        return self._named(self.deltas.filter(F.col("_dir") == direction)).select("seed", "node", "depth")
+        of = F.col("_dir") == direction
+        return self._named(self.deltas.filter(of).drop("_dir"), self.seeds.filter(of).drop("_dir"), ["_grp", "_lim"]).select("seed", "node", "depth")
+
+    def nodes(self) -> DataFrame:
+        """``(seed, node)`` of all directions, distinct: put together while the rows still hold bits."""
+        per = self.deltas.groupBy("_grp", "node").agg(F.bit_or("bits").alias("bits"))
+        return self._named(per, self.seeds.select("_grp", "_bit", "seed").distinct(), ["_grp"]).select("seed", "node")
 
     def levels(self) -> DataFrame:
         """``(seed, _dir, depth)``: the deepest level of every seed. The rows are put together while they still hold
         bits, so only one row per group and level is given names."""
         per = self.deltas.groupBy("_grp", "_dir", "_lim", "depth").agg(F.bit_or("bits").alias("bits"))
-        return self._named(per).groupBy("seed", "_dir").agg(F.max("depth").alias("depth"))
+        return self._named(per, self.seeds, ["_grp", "_dir", "_lim"], spread=False).groupBy("seed", "_dir").agg(F.max("depth").alias("depth"))
 
 
 def search(adj: Adjacency, start: DataFrame, hops: int | None = None) -> Reach:
@@ -271,7 +283,7 @@ def search(adj: Adjacency, start: DataFrame, hops: int | None = None) -> Reach:
     most = max(1, int(hops or HOPS_PER_JOB))
     while wave.steps and wave.depth < wave.deepest:
         wave.advance(min(most if wave.steps <= SMALL_FRONTIER else 1, wave.deepest - wave.depth))
-    return Reach(wave.deltas(), wave.seeds)
+    return Reach(wave.deltas(), wave.seeds, wave.held)
 
 
 def _start(seeds: DataFrame, direction: str, limit_col: str | None, max_depth: int | None = None) -> DataFrame:
@@ -319,8 +331,11 @@ def seeds_of(df: DataFrame, col: str = "id") -> DataFrame:
     return df.select(F.col(col).alias("seed"))
 
 
-def closure(up: DataFrame, down: DataFrame) -> DataFrame:
-    """Union (distinct) of the upstream and downstream node sets per seed."""
+def closure(up: DataFrame | None = None, down: DataFrame | None = None, reach: Reach | None = None) -> DataFrame:
+    """Union (distinct) of the upstream and downstream node sets per seed (``reach``: the search of both, whose bits
+    are united before they become rows)."""
+    if reach is not None:
+        return reach.nodes()
     return up.select("seed", "node").unionByName(down.select("seed", "node")).distinct()
 
 

@@ -257,3 +257,12 @@ def test_repeated_deletions_meet_a_node_once(spark, monkeypatch):
     hit = P.deleted_entities(nd, dels)
     assert hit.rdd.getNumPartitions() == 9
     assert rows(hit.groupBy("node").count(), "node", "count") == [("main.s.t", 3000), ("main.s.u", 1500)]
+
+
+def test_closure_of_a_search_is_united_while_it_holds_bits(spark, monkeypatch):
+    monkeypatch.setattr(TR, "ROWS_PER_TASK", 200)
+    la = api(spark, [(f"a{i}", "hub") for i in range(70)] + [("hub", f"a{i}") for i in range(0, 70, 2)] + [("a1", "x")])
+    reach = TR.reach_both(la, seeds(spark, "hub", *[f"a{i}" for i in range(70)]))
+    got = TR.closure(reach=reach)
+    assert rows(got, "seed", "node") == rows(TR.closure(reach.rows(TR.UP), reach.rows(TR.DOWN)), "seed", "node")
+    assert got.rdd.getNumPartitions() > 1 and reach.rows(TR.UP).rdd.getNumPartitions() > 1
