@@ -11,15 +11,17 @@ Components are wanted, not pairs, so work is spared where it changes nothing:
 
 1. equal sets are one node;
 2. star step: every member of a bucket is verified against its first member,
-   and verified links are joined to components;
-3. buckets that still hold more than one component get a signature tree; of
-   buckets with the same members only one does. A tree's nodes hold the OR and
+   its leader, and verified links are joined to components;
+3. the members of all buckets of one leader are a group. Groups that still hold
+   more than one component get a signature tree. A tree's nodes hold the OR and
    the AND of their members' token bitmaps, their size range and whether they
    lie in one component. A dual traversal goes down pairs of nodes whose
    largest possible overlap would do: no member shares what all members of its
-   node have and no member of the other node has. It leaves pairs of different
-   components, which are verified in turn. Large buckets are cut into blocks;
-   every pair of blocks is a traversal of its own.
+   node have and no member of the other node has. It leaves the members that
+   may link with one of another component. Their whole sets, one a member and
+   group, are verified in place, and only links that join components leave a
+   group: fewer than its members. Large groups are cut into blocks; every pair
+   of blocks is a traversal of its own.
 """
 
 from __future__ import annotations
@@ -82,9 +84,11 @@ def part_keys(s: np.ndarray, text: np.ndarray, num: int, den: int) -> tuple[np.n
         first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (part[1:] != part[:-1])]))
         total = np.add.reduceat(sh.mix(x), first)
         tag = (c[first] * 1_000_003 + part[first]).astype(np.uint64)
-        keys.append(sh.mix(total ^ sh.mix(tag)))
-        owners.append(t[first])
         held = np.bincount(t[first], minlength=len(n))
+        # of two linked sets' equal parts, the first has d others before it at most, in either set
+        early = np.arange(len(first)) - (np.cumsum(held) - held)[t[first]] <= d[first]
+        keys.append(sh.mix(total ^ sh.mix(tag))[early])
+        owners.append(t[first][early])
         tf = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         for k in tf[held[t[tf]] <= d[tf]].tolist():
             there = set(part[(t == t[k])].tolist())
@@ -120,10 +124,7 @@ def _facts(k: int):
         a, b = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
         np.add.at(a, t, sh.mix(s))
         np.add.at(b, t, sh.mix(s ^ np.uint64(0x5555)))
-        bits = np.zeros((len(ids), BITS), dtype=np.uint8)
-        bits[t, (s % np.uint64(BITS)).astype(np.int64)] = 1
-        packed = np.packbits(bits, axis=1)
-        return ids, n, a.view(np.int64), b.view(np.int64), [x.tobytes() for x in packed]
+        return ids, n, a.view(np.int64), b.view(np.int64), [x.tobytes() for x in token_bits(s, t, len(ids))]
     return _per_chunk(fn, ["doc", "n", "s1", "s2", "bitmap"])
 
 
@@ -216,25 +217,90 @@ def leaf_pairs(group: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.nda
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _in_group(label: np.ndarray, n: np.ndarray, side: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that :func:`dual_traversal` leaves; of two different blocks, one row of each."""
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    same = bool((side == 2).all())
+    tree = SignatureTree(n[left], label[left], bits[left])
+    i, j = dual_traversal(tree, tree if same else SignatureTree(n[right], label[right], bits[right]), num, den, same)
+    return left[i], right[j]
+
+
 def _traverse(num: int, den: int):
+    """Keeps the members of each group that may link with one of another component there."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole_groups(batches, "bucket"):
-            group, doc, side = b["bucket"].to_numpy(), b["doc"].to_numpy(), b["side"].to_numpy()
+            group, side = b["bucket"].to_numpy(), b["side"].to_numpy()
             n, label = b["n"].to_numpy(np.int64), pd.factorize(b["label"])[0]
             bits = np.frombuffer(b"".join(b["bitmap"]), dtype=np.uint64).reshape(len(b), -1)
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             size = np.diff(np.concatenate([first, [len(b)]]))
-            small = np.repeat((size <= LEAF) & (np.minimum.reduceat(side, first) == 2), size)
-            i, j = leaf_pairs(group[small], n[small], label[small], bits[small], num, den)
-            yield pd.DataFrame({"a": doc[small][i], "b": doc[small][j]}).drop_duplicates()
-            for at, count in zip(first[~small[first]].tolist(), size[~small[first]].tolist()):
-                own = np.arange(at, at + count)
-                left, right = own[side[own] != 1], own[side[own] != 0]
-                if len(left) and len(right):
-                    same = bool((side[own] == 2).all())
-                    tree = SignatureTree(n[left], label[left], bits[left])
-                    i, j = dual_traversal(tree, tree if same else SignatureTree(n[right], label[right], bits[right]), num, den, same)
-                    yield pd.DataFrame({"a": doc[left][i], "b": doc[right][j]})
+            small = np.flatnonzero(np.repeat((size <= LEAF) & (np.minimum.reduceat(side, first) == 2), size))
+            use = np.zeros(len(b), dtype=bool)
+            for x in leaf_pairs(group[small], n[small], label[small], bits[small], num, den):
+                use[small[x]] = True
+            large = np.ones(len(b), dtype=bool)
+            large[small] = False
+            for at, count in zip(first[large[first]].tolist(), size[large[first]].tolist()):
+                own = slice(at, at + count)
+                for x in _in_group(label[own], n[own], side[own], bits[own], num, den):
+                    use[at + x] = True
+            yield b.loc[use, ["bucket", "doc", "label", "side"]]
+    return run
+
+
+def token_bits(s: np.ndarray, t: np.ndarray, count: int) -> np.ndarray:
+    """Packed token bitmaps of ``count`` texts, whose shingles are ``s`` and texts ``t``."""
+    bits = np.zeros((count, BITS), dtype=np.uint8)
+    bits[t, (s % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1)
+
+
+def forest(sets: list[np.ndarray], label: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) those that link, but for pairs whose rows the links before, and equal labels, join already."""
+    root = list(range(int(label.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+    out = []
+    order = np.argsort(i, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1], [True]])) if len(i) else [0]
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        x = int(i[order[lo]])
+        others = [y for y in j[order[lo:hi]].tolist() if find(label[y]) != find(label[x])]
+        for at in range(0, len(others), 500):
+            part = others[at:at + 500]
+            size = np.array([len(sets[y]) for y in part])
+            theirs = np.concatenate([sets[y] for y in part])
+            place = np.minimum(np.searchsorted(sets[x], theirs), len(sets[x]) - 1)
+            o = np.add.reduceat((sets[x][place] == theirs).astype(np.int64), np.cumsum(size) - size)
+            for y in np.flatnonzero((num + den) * o >= num * (len(sets[x]) + size)).tolist():
+                a, b = find(label[x]), find(label[part[y]])
+                if a != b:
+                    root[b] = a
+                    out.append((x, part[y]))
+    return out
+
+
+def _verify(num: int, den: int):
+    """Links (a, b) that join the components of each group, verified on the whole sets ``s`` of its rows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches, "bucket"):
+            group, doc, side = b["bucket"].to_numpy(), b["doc"].to_numpy(), b["side"].to_numpy()
+            sets = [np.sort(np.asarray(x, np.int64)) for x in b["s"]]
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            rows = []
+            cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                label = pd.factorize(b["label"].iloc[lo:hi])[0]
+                bits = token_bits(np.concatenate(sets[lo:hi]).view(np.uint64), np.repeat(np.arange(hi - lo), n[lo:hi]), hi - lo).view(np.uint64)
+                i, j = _in_group(label, n[lo:hi], side[lo:hi], bits, num, den)
+                rows += [(doc[lo + x], doc[lo + y]) for x, y in forest(sets[lo:hi], label, i, j, num, den)]
+            yield pd.DataFrame(rows, columns=["a", "b"], dtype=np.int64)
     return run
 
 
@@ -251,6 +317,19 @@ def _in_reach(num: int, den: int):
     return run
 
 
+def _whole_sets(wanted: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(doc, s) of the documents wanted, staged; no other texts are read."""
+    texts = rows.join(sized_broadcast(wanted.distinct(), BROADCAST_ROWS), "doc")
+
+    def fn(ids, texts):
+        s, t = _sets(texts, k)
+        cut = np.searchsorted(t, np.arange(len(ids) + 1))
+        s = s.view(np.int64)
+        return ids, [s[cut[i]:cut[i + 1]] for i in range(len(ids))]
+
+    return stage(texts.select("doc", "body").mapInPandas(_per_chunk(fn, ["doc", "s"]), "doc long, s array<long>"))
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, verified on whole shingle sets; texts of candidates only are fetched.
 
@@ -260,16 +339,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, num: int
     pairs = (pairs.distinct().join(narrow.toDF("a", "n", "bits"), "a").join(narrow.toDF("b", "m", "bits2"), "b")
              .where(f"least(n, m) * {den} >= greatest(n, m) * {num}"))
     pairs = stage(pairs.select("a", "b", "n", "m", "bits", "bits2").mapInPandas(_in_reach(num, den), "a long, b long"))
-    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    texts = rows.join(sized_broadcast(ends, BROADCAST_ROWS), "doc")
-
-    def fn(ids, texts):
-        s, t = _sets(texts, k)
-        cut = np.searchsorted(t, np.arange(len(ids) + 1))
-        s = s.view(np.int64)
-        return ids, [s[cut[i]:cut[i + 1]] for i in range(len(ids))]
-
-    sets = stage(texts.select("doc", "body").mapInPandas(_per_chunk(fn, ["doc", "s"]), "doc long, s array<long>"))
+    sets = _whole_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")), rows, k)
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
     o = F.size(F.array_intersect("sa", "sb"))
@@ -299,33 +369,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = stage(keys.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"))
                    .where("leader < last").select("key", "leader"))
     held = stage(reps.mapInPandas(_emit(k, num, den, key_bitmap(shared, FILTER_BITS)), "key long, doc long, n int")
-                 .join(shared, "key"))
+                 .join(shared, "key").select("leader", "doc", "n").distinct())
     star = _links(held.where("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")), nodes, rows, k, num, den)
 
-    # buckets that hold several components
+    # groups of one leader that hold several components (of two members whose sizes are out of reach nothing can come)
     comp = components(star).withColumnRenamed("node", "doc").withColumnRenamed("component", "label")
-    named = stage(held.select("key", "doc", "n").join(sized_broadcast(comp, BROADCAST_ROWS), "doc", "left")
-                  .withColumn("label", F.coalesce("label", "doc")))
-    # (of two members whose sizes are out of reach nothing can come; members are told by 128 bits of sums of their hashes)
-    h, g = F.xxhash64("doc"), F.xxhash64(F.lit(1), "doc")
-    low = F.lit((1 << 32) - 1)
-    same = [F.sum(x).alias(f"m{i}") for i, x in enumerate((h.bitwiseAND(low), F.shiftrightunsigned(h, 32),
-                                                           g.bitwiseAND(low), F.shiftrightunsigned(g, 32)))]
-    mixed = (named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c"),
-                                      F.min("n").alias("least"), F.max("n").alias("most"), *same)
+    named = stage(held.join(sized_broadcast(comp, BROADCAST_ROWS), "doc", "left").withColumn("label", F.coalesce("label", "doc")))
+    mixed = (named.groupBy("leader").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c"),
+                                         F.min("n").alias("least"), F.max("n").alias("most"))
              .where(f"l <> m AND (c > 2 OR least * {den} >= most * {num})")
-             .groupBy("c", "m0", "m1", "m2", "m3").agg(F.min("key").alias("key"))
-             .select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
-    inside = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+             .select("leader", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    inside = named.join(mixed, "leader").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # the pairs of blocks that a member's block stands in; side 2: both sides are the same block
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q"),
         F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
-    split = inside.select("key", "doc", "label", "n", F.inline(sides)).join(
-        nodes.select("doc", "bitmap").dropDuplicates(["doc"]), "doc")
-    cross = (split.select(F.xxhash64("key", "p", "q").alias("bucket"), "doc", "label", "side", "n", "bitmap")
-             .repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_traverse(num, den), "a long, b long"))
-    more = _links(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, rows, k, num, den)
+    split = inside.select("leader", "doc", "label", "n", F.inline(sides)).join(nodes.select("doc", "n", "bitmap").distinct(), ["doc", "n"])
+    close = stage(split.select(F.xxhash64("leader", "p", "q").alias("bucket"), "doc", "label", "side", "n", "bitmap")
+                  .repartition("bucket").sortWithinPartitions("bucket")
+                  .mapInPandas(_traverse(num, den), "bucket long, doc long, label long, side int").distinct())
+    sets = _whole_sets(close.select("doc"), rows, k)
+    more = stage(close.join(sets, "doc").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_verify(num, den), "a long, b long"))
 
     whole = components(star.unionByName(more).unionByName(equal)).select(F.col("node").alias("doc"), "component")
     return facts.select("doc", "n").join(whole, "doc", "left").select(

@@ -101,6 +101,25 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, 2, 1, 2)
 
 
+def test_near_misses_make_few_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    base, rows = words(rng, 200), []
+    for i in range(60):                                        # two edits each: any two share 0.89 of their shingles at most
+        w = list(base)
+        w[3 * i + 4], w[3 * (i * 7 % 60) + 5] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(w)))
+    counts, real = [], ngram_join.stage
+
+    def counted(df):
+        out = real(df)
+        counts.append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    got = ngram_join.near_groups(frame(spark, rows), k=3, num=9, den=10).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, 3, 9, 10)
+    assert max(counts) < 10 * len(rows)                        # neither a row per pair nor one per member and bucket
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(None, 3), (5, 5)]
