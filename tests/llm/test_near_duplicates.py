@@ -179,6 +179,23 @@ def test_lines(spark):
             assert kept[i] == (None if t is None else "\n".join(left))
 
 
+def test_unlike_long_lines_are_no_candidates(spark, monkeypatch):
+    """Lines of 90 common words: most pairs share a prefix word, none matches."""
+    rng = random.Random(6)
+    common = [f"w{i}" for i in range(250)]
+    rows = [(i, " ".join(rng.sample(common, 90))) for i in range(200)]
+    pairs, real = [], line_dedup.stage
+
+    def counted(df):
+        out = real(df)
+        if "count" in out.columns:
+            pairs.append(out.count())
+        return out
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    assert {(r["doc"], r["line"]) for r in line_dedup.later_matches(frame(spark, rows)).collect()} == brute_lines(rows) == set()
+    assert pairs == [0]
+
+
 def test_lines_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c", 3), (1, "a b c", 9), (None, "a b c", 3)], "doc_id long, text string, __x int")
     assert sorted(map(tuple, line_dedup.dedup_lines(df, chars_col="__x").collect()), key=str) == sorted(
