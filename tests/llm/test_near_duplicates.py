@@ -196,6 +196,27 @@ def test_unlike_long_lines_are_no_candidates(spark, monkeypatch):
     assert pairs == [0]
 
 
+def test_near_copies_of_a_line_do_not_all_meet(spark, monkeypatch):
+    """One large group of near copies whose edits are words of their own: these come first in every prefix."""
+    rng = random.Random(9)
+    base, rows = words(rng, 70), []
+    for i in range(500):
+        w = list(base)
+        for k in rng.sample(range(70), rng.randrange(2, 7)):
+            w[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w)))
+    pairs, real = [], line_dedup.stage
+
+    def counted(df):
+        out = real(df)
+        if "count" in out.columns:
+            pairs.append(out.count())
+        return out
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    assert {(r["doc"], r["line"]) for r in line_dedup.later_matches(frame(spark, rows)).collect()} == brute_lines(rows)
+    assert pairs[0] < 20 * len(rows)
+
+
 def test_lines_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c", 3), (1, "a b c", 9), (None, "a b c", 3)], "doc_id long, text string, __x int")
     assert sorted(map(tuple, line_dedup.dedup_lines(df, chars_col="__x").collect()), key=str) == sorted(
