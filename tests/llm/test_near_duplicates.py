@@ -418,6 +418,30 @@ def test_joint_windows_have_the_least_hashes_of_all_their_functions():
             assert same.setdefault(own[at:at + compact_windows.MIN_SHINGLES].tobytes(), sorted(h)) == sorted(h)
 
 
+def test_runs_of_a_word_are_one_window():
+    rng = random.Random(71)
+    text = " ".join(words(rng, 60) + ["again"] * 1000 + words(rng, 60) + ["once", "more"] * 400 + words(rng, 60))
+    number, _, a, b = compact_windows.windows([text, text])
+    for i in (0, 1):
+        assert (b - a)[number == i].max() > 600 and (number == i).sum() < 200
+    assert sum((b - a + 1)[number == 0]) == 3 * (len(text.split()) - 4 - 45)     # every start, in all groups
+
+
+def test_runs_of_a_word_in_many_documents(spark):
+    """Documents that repeat one word, each in a run of its own length and place, at near and far diagonals."""
+    rng, rows, run = random.Random(72), [], {}
+    for i in range(12):
+        before, size = words(rng, rng.randrange(5, 300)), rng.randrange(70, 600)
+        run[i] = (len(before), len(before) + size)
+        rows.append((i, " ".join(before + ["again"] * size + words(rng, 40))))
+    got = compact_windows.near_passages(frame(spark, rows)).collect()
+    for i in range(1, 12):
+        assert any(r["doc_id"] == i and r["start_word"] <= run[i][0] + 5 and r["end_word"] >= run[i][1] - 5 for r in got)
+    assert all(r["similarity"] >= 0.8 and r["match_doc_id"] < r["doc_id"] for r in got)
+    met = {k: sum(1 for r in got if r["doc_id"] == k) for k in run}
+    assert max(met.values()) <= 4 * 12                       # passages of whole runs, not one for each place
+
+
 def test_longest_previous_factors():
     rng = random.Random(3)
     for _ in range(60):
