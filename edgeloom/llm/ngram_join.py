@@ -17,8 +17,10 @@ Components are wanted, not pairs, so work is spared where it changes nothing:
    the AND of their members' token bitmaps, their size range and whether they
    lie in one component. A dual traversal goes down pairs of nodes whose
    largest possible overlap would do: no member shares what all members of its
-   node have and no member of the other node has. It leaves the members that
-   may link with one of another component. Their whole sets, one a member and
+   node have and no member of the other node has. Trees have bitmaps of one
+   width, which large sets fill; the pairs that are left are held against
+   bitmaps as wide as their sets ask for. So only members that may link with one
+   of another component are left. Their whole sets, one a member and
    group, are verified in place, and only links that join components leave a
    group: fewer than its members. Large groups are cut into blocks; every pair
    of blocks is a traversal of its own.
@@ -34,14 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm import shingles as sh
-from edgeloom.llm.common import components, in_bitmap, key_bitmap, sized_broadcast, table, whole_groups
+from edgeloom.llm.common import components, filter_bits, in_bitmap, key_bitmap, sized_broadcast, table, whole_groups
 from edgeloom.session import stage
 
-BITS = 1024                      # of a document's token bitmap
+BITS = 1024                      # of a token bitmap in a tree, and of a small document's
+MOST_BITS = 1 << 16              # of a large document's
 FANOUT = 8
 LEAF = 16                        # members up to which a bucket is a single leaf
 BLOCK = 2000                     # members of one traversal's side
-FILTER_BITS = 1 << 26            # of the bitmap that tells shared keys, whatever their number
+FILTER_BITS = 1 << 26            # of the bitmap that tells shared keys, at least
 PARTS_OVER = 1.35                # parts for every shingle that may differ: few parts are empty
 BROADCAST_ROWS = 2_000_000
 
@@ -124,7 +127,7 @@ def _facts(k: int):
         a, b = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
         np.add.at(a, t, sh.mix(s))
         np.add.at(b, t, sh.mix(s ^ np.uint64(0x5555)))
-        return ids, n, a.view(np.int64), b.view(np.int64), [x.tobytes() for x in token_bits(s, t, len(ids))]
+        return ids, n, a.view(np.int64), b.view(np.int64), sized_bits(s, t, len(ids))
     return _per_chunk(fn, ["doc", "n", "s1", "s2", "bitmap"])
 
 
@@ -141,11 +144,13 @@ def _emit(k: int, num: int, den: int, seen=None):
 
 
 class SignatureTree:
-    """Levels of nodes over documents, those of one component side by side: size ranges, the component of pure nodes
-    (else -1), OR and AND bitmaps."""
+    """Levels of nodes over documents, those of one component side by side and components by their least size: size
+    ranges, the component of pure nodes (else -1), OR and AND bitmaps."""
 
     def __init__(self, n: np.ndarray, label: np.ndarray, bits: np.ndarray):
-        self.order = np.lexsort((n, label))
+        least = np.full(int(label.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, label, n)
+        self.order = np.lexsort((n, label, least[label]))
         lo = hi = n[self.order]
         lab, any_ = label[self.order], bits[self.order]
         all_ = any_
@@ -234,28 +239,65 @@ def _traverse(num: int, den: int):
         for b in whole_groups(batches, "bucket"):
             group, side = b["bucket"].to_numpy(), b["side"].to_numpy()
             n, label = b["n"].to_numpy(np.int64), pd.factorize(b["label"])[0]
-            bits = np.frombuffer(b"".join(b["bitmap"]), dtype=np.uint64).reshape(len(b), -1)
+            sized = b["bitmap"].tolist()
+            bits = folded(sized)
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             size = np.diff(np.concatenate([first, [len(b)]]))
             small = np.flatnonzero(np.repeat((size <= LEAF) & (np.minimum.reduceat(side, first) == 2), size))
             use = np.zeros(len(b), dtype=bool)
-            for x in leaf_pairs(group[small], n[small], label[small], bits[small], num, den):
-                use[small[x]] = True
+            i, j = (small[x] for x in leaf_pairs(group[small], n[small], label[small], bits[small], num, den))
+            for x in reachable(sized, n, i, j, num, den):
+                use[x] = True
             large = np.ones(len(b), dtype=bool)
             large[small] = False
             for at, count in zip(first[large[first]].tolist(), size[large[first]].tolist()):
                 own = slice(at, at + count)
-                for x in _in_group(label[own], n[own], side[own], bits[own], num, den):
-                    use[at + x] = True
+                i, j = _in_group(label[own], n[own], side[own], bits[own], num, den)
+                for x in reachable(sized, n, at + i, at + j, num, den):
+                    use[x] = True
             yield b.loc[use, ["bucket", "doc", "label", "side"]]
     return run
 
 
-def token_bits(s: np.ndarray, t: np.ndarray, count: int) -> np.ndarray:
-    """Packed token bitmaps of ``count`` texts, whose shingles are ``s`` and texts ``t``."""
-    bits = np.zeros((count, BITS), dtype=np.uint8)
-    bits[t, (s % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1)
+def sized_bits(s: np.ndarray, t: np.ndarray, count: int) -> list[bytes]:
+    """Packed token bitmaps of ``count`` texts, whose shingles are ``s`` and texts ``t``: of BITS to MOST_BITS, the power
+    of two that is twice the text's shingles or more. A bitmap folded in halves is that of fewer bits."""
+    n = np.bincount(t, minlength=count)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), BITS, MOST_BITS)
+    end = np.cumsum(width)
+    bits = np.zeros(int(end[-1]) if count else 0, dtype=np.uint8)
+    bits[(end - width)[t] + (s % width[t].astype(np.uint64)).astype(np.int64)] = 1
+    held = np.packbits(bits).tobytes()
+    return [held[(e - w) // 8:e // 8] for e, w in zip(end.tolist(), width.tolist())]
+
+
+def folded(bitmaps: list[bytes], size: int = BITS // 8) -> np.ndarray:
+    """Bitmaps of ``size`` bytes or more as rows of that many."""
+    out = np.empty((len(bitmaps), size // 8), np.uint64)
+    length = np.array([len(x) for x in bitmaps], dtype=np.int64)
+    for w in np.unique(length).tolist():
+        at = np.flatnonzero(length == w)
+        for x in range(0, len(at), max(1, (1 << 24) // w)):              # bounded memory
+            own = at[x:x + max(1, (1 << 24) // w)]
+            out[own] = np.bitwise_or.reduce(np.frombuffer(b"".join([bitmaps[k] for k in own.tolist()]), np.uint64).reshape(len(own), -1, size // 8), axis=1)
+    return out
+
+
+def reachable(bitmaps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) those whose bitmaps, in the narrower one's width, leave room for a link."""
+    length = np.array([len(x) for x in bitmaps], dtype=np.int64)
+    width, out = np.minimum(length[i], length[j]), []
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        rows = np.unique(np.concatenate([i[own], j[own]]))
+        bits = folded([bitmaps[k] for k in rows.tolist()], w)
+        for x in range(0, len(own), max(1, (1 << 24) // w)):             # bounded memory
+            p, q = i[own[x:x + max(1, (1 << 24) // w)]], j[own[x:x + max(1, (1 << 24) // w)]]
+            a, b = bits[np.searchsorted(rows, p)], bits[np.searchsorted(rows, q)]
+            most = np.minimum(n[p] - _popcount(a & ~b), n[q] - _popcount(b & ~a))
+            ok = most * (num + den) >= num * (n[p] + n[q])
+            out.append((p[ok], q[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (i[:0], j[:0])
 
 
 def forest(sets: list[np.ndarray], label: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -293,12 +335,13 @@ def _verify(num: int, den: int):
             group, doc, side = b["bucket"].to_numpy(), b["doc"].to_numpy(), b["side"].to_numpy()
             sets = [np.sort(np.asarray(x, np.int64)) for x in b["s"]]
             n = np.array([len(x) for x in sets], dtype=np.int64)
-            rows = []
+            sized = sized_bits(np.concatenate(sets).view(np.uint64), np.repeat(np.arange(len(sets)), n), len(sets))
+            bits, rows = folded(sized), []
             cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 label = pd.factorize(b["label"].iloc[lo:hi])[0]
-                bits = token_bits(np.concatenate(sets[lo:hi]).view(np.uint64), np.repeat(np.arange(hi - lo), n[lo:hi]), hi - lo).view(np.uint64)
-                i, j = _in_group(label, n[lo:hi], side[lo:hi], bits, num, den)
+                i, j = _in_group(label, n[lo:hi], side[lo:hi], bits[lo:hi], num, den)
+                i, j = reachable(sized[lo:hi], n[lo:hi], i, j, num, den)
                 rows += [(doc[lo + x], doc[lo + y]) for x, y in forest(sets[lo:hi], label, i, j, num, den)]
             yield pd.DataFrame(rows, columns=["a", "b"], dtype=np.int64)
     return run
@@ -310,10 +353,10 @@ def _in_reach(num: int, den: int):
         for p in batches:
             if not len(p):
                 continue
-            n, m = p["n"].to_numpy(np.int64), p["m"].to_numpy(np.int64)
-            x, y = (np.frombuffer(b"".join(p[c]), dtype=np.uint64).reshape(len(p), -1) for c in ("bits", "bits2"))
-            most = np.minimum(n - _popcount(x & ~y), m - _popcount(y & ~x))
-            yield p.loc[most * (num + den) >= num * (n + m), ["a", "b"]]
+            at = np.arange(len(p))
+            i, _ = reachable(p["bits"].tolist() + p["bits2"].tolist(), np.concatenate([p["n"].to_numpy(np.int64), p["m"].to_numpy(np.int64)]),
+                             at, at + len(p), num, den)
+            yield p.iloc[i][["a", "b"]]
     return run
 
 
@@ -368,7 +411,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = reps.mapInPandas(_emit(k, num, den), "key long, doc long")
     shared = stage(keys.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"))
                    .where("leader < last").select("key", "leader"))
-    held = stage(reps.mapInPandas(_emit(k, num, den, key_bitmap(shared, FILTER_BITS)), "key long, doc long, n int")
+    held = stage(reps.mapInPandas(_emit(k, num, den, key_bitmap(shared, filter_bits(shared, FILTER_BITS))), "key long, doc long, n int")
                  .join(shared, "key").select("leader", "doc", "n").distinct())
     star = _links(held.where("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")), nodes, rows, k, num, den)
 

@@ -120,6 +120,42 @@ def test_near_misses_make_few_rows(spark, monkeypatch):
     assert max(counts) < 10 * len(rows)                        # neither a row per pair nor one per member and bucket
 
 
+def test_near_misses_among_large_documents_are_told_by_their_bitmaps(spark, monkeypatch):
+    """Documents of 1,500 shingles fill a bitmap of 1,024 bits, so that no two of them look unlike in it."""
+    rng = random.Random(14)
+    base, rows = words(rng, 1500), []
+    for i in range(24):                                        # any two share about half of their shingles
+        w = list(base)
+        w[i % 20::20] = [f"x{i}x{k}" for k in range(len(w[i % 20::20]))]
+        rows.append((i, " ".join(w)))
+    rows.append((30, rows[5][1] + " end"))
+    counts, real = [], ngram_join.stage
+
+    def counted(df):
+        out = real(df)
+        if out.columns[:2] in (["a", "b"], ["bucket", "doc"]):
+            counts.append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    got = ngram_join.near_groups(frame(spark, rows), k=5, num=4, den=5).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, 5, 4, 5)
+    assert len(counts) == 4 and max(counts) < 10               # pairs, links, members left in a group, their links
+
+
+def test_bitmaps_of_all_widths_bound_the_overlap():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 60, n, dtype=np.uint64)) for n in (3, 400, 700, 900, 5000, 9000, 70000)]
+    sets += [np.unique(np.concatenate([s[:int(len(s) * .95)], rng.integers(0, 1 << 60, len(s) // 50 + 1, dtype=np.uint64)])) for s in sets]
+    n = np.array([len(s) for s in sets])
+    bitmaps = ngram_join.sized_bits(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets))
+    assert {8 * len(b) for b in bitmaps} == {ngram_join.BITS, 2048, 16384, 32768, ngram_join.MOST_BITS}
+    i, j = np.triu_indices(len(sets), 1)
+    kept = set(zip(*(x.tolist() for x in ngram_join.reachable(bitmaps, n, i, j, 4, 5))))
+    near = {(a, b) for a, b in zip(i.tolist(), j.tolist())
+            if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert len(near) == 6 and near <= kept and len(kept) < 9
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(None, 3), (5, 5)]
