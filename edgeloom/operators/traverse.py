@@ -12,7 +12,8 @@ costs max(up, down) levels.
 Scale notes:
 * up to 64 seeds share a row: its ``bits`` say which of the group's seeds have
   reached the node, so a hub is expanded once for all of them and not once per
-  seed, and the visited set has one row per group and node;
+  seed, and the visited set has one row per group and node. Searches from more than
+  ``NARROW`` seeds have ``WORDS`` columns of bits, a group each, so 512 seeds share a row;
 * the adjacency is deduplicated and staged once as a table bucketed by its
   probe key, so every level shuffles only the frontier against it; when the
   frontier is small AQE broadcasts it and the adjacency is streamed in place;
@@ -23,7 +24,12 @@ Scale notes:
 * every step carries how many steps lead on from its end, so the work of the
   next level is known before it is planned: a job advances up to
   ``HOPS_PER_JOB`` levels while that is below ``SMALL_FRONTIER`` steps and one
-  level beyond, and none at all once nothing leads on;
+  level beyond, and none at all once nothing leads on. Where all levels together may
+  have many more steps than that, the levels of a job follow from how the steps have grown;
+* nodes that all seeds have reached are closed: a job of many steps takes none
+  that lead to them, and their rows are not compared with new ones. Where all
+  goes through a hub, the level behind it would else follow every step of the graph
+  for every group;
 * a job is one running frame: rows found at its earlier levels pass the later
   ones through a step to themselves, so each level's join stands once in the
   plan and its new rows are written once, as the job's delta. The visited set is
@@ -33,15 +39,18 @@ Scale notes:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from edgeloom.session import stage, stage_bucketed, stage_path
 
-# Levels advanced per Spark job while the frontier has few steps ahead (see _Wave.advance).
+# Levels advanced per Spark job while the frontier has few steps ahead (see _Wave.hops).
 HOPS_PER_JOB = 4
 SMALL_FRONTIER = 100_000
+# Steps of the whole graph, followed once by each group of seeds, up to which a job's levels are not foreseen.
+SMALL_SEARCH = 10 * SMALL_FRONTIER
 UP, DOWN = "up", "down"
 
 
@@ -54,12 +63,17 @@ MIN_HOT_STEPS = 10_000
 # level, while a mid-size one already uses every core (one task per bucket).
 STEPS_PER_BUCKET = 50_000
 
-# Seeds that share a row: the bits of a long.
+# Seeds of a group: the bits of a long.
 GROUP = 64
+# Groups that share a row where there are more than NARROW seeds. (Of 16, planning a level took a minute: Catalyst names
+# the condition that any bit is set anew for every subset of renamed columns.)
+WORDS = 8
+NARROW = GROUP * WORDS
 # Seeds numbered by one task (a bound on a task, groups are cut inside it).
 SEEDS_PER_TASK = 64 * 1024
-# Rows per seed that one task makes of rows with bits.
+# Rows per seed that one task makes of rows with bits, and of how many tasks on each makes tenfold (rows only pass through a task).
 ROWS_PER_TASK = 500_000
+MANY_TASKS = 200
 # ``_lim`` of an unbounded search.
 NO_LIMIT = 2**31 - 1
 # ``_salt`` of a node's step to itself.
@@ -76,6 +90,7 @@ class Adjacency:
     steps: DataFrame
     hot: DataFrame | None  # (_dir, _from, _salts); None when no key is hot
     ends: DataFrame        # (_dir, node, deg)
+    total: int = 0         # steps of all directions
 
 
 def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst: str = "target",
@@ -119,7 +134,7 @@ def adjacency(links: DataFrame, directions=(DOWN, UP), src: str = "source", dst:
     stay = ends.select("_dir", F.col("node").alias("_from"), F.col("node").alias("_to"), F.col("deg").alias("_deg"),
                        F.lit(STAY).alias("_salt"))
     steps = steps.select("_dir", "_from", "_to", "_deg", salt.cast("int").alias("_salt")).unionByName(stay)
-    return Adjacency(stage_bucketed(steps, ["_dir", "_from", "_salt"], buckets), hot, ends)
+    return Adjacency(stage_bucketed(steps, ["_dir", "_from", "_salt"], buckets), hot, ends, total)
 
 
 def _probe(rows: DataFrame, adj: Adjacency, grow: Column, carry: bool) -> DataFrame:
@@ -139,7 +154,32 @@ def _probe(rows: DataFrame, adj: Adjacency, grow: Column, carry: bool) -> DataFr
 
 
 _KEY = ["_grp", "_dir", "_lim", "node"]
-_DELTA = [*_KEY, "bits", "deg", "depth"]
+
+
+def _columns(name: str, words: int) -> list[str]:
+    return [name] if words == 1 else [f"{name}_{k}" for k in range(words)]
+
+
+def _some(cols: list[str]) -> Column:
+    """Whether any bit is set."""
+    return reduce(Column.bitwiseOR, [F.col(c) for c in cols]) != 0
+
+
+def _count(words: int) -> Column:
+    return reduce(Column.__add__, [F.bit_count(c) for c in _columns("bits", words)])
+
+
+def _united(rows: DataFrame, by: list[str], words: int) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.bit_or(c).alias(c) for c in _columns("bits", words)])
+
+
+def _narrow(rows: DataFrame, words: int) -> DataFrame:
+    """Rows with the ``bits`` of one group each."""
+    if words == 1:
+        return rows
+    bits = _columns("bits", words)
+    each = F.array(*[F.struct((F.col("_grp") * words + k).alias("_grp"), F.col(c).alias("bits")) for k, c in enumerate(bits)])
+    return rows.select(*[c for c in rows.columns if c != "_grp" and c not in bits], F.inline(each)).filter(F.col("bits") != 0)
 
 
 def _held(bits: str) -> Column:
@@ -155,14 +195,17 @@ class _Wave:
     """One running search: the staged deltas of all levels so far and the last level.
 
     ``start``: distinct ``(seed, _dir, _lim)``; seeds are numbered and put into
-    groups of up to ``GROUP`` with the same direction and bound.
+    groups of up to ``GROUP`` with the same direction and bound. Rows hold the bits of
+    ``words`` groups that follow each other, under the number of the first divided by ``words``.
     """
 
-    def __init__(self, adj: Adjacency, start: DataFrame):
+    def __init__(self, adj: Adjacency, start: DataFrame, words: int | None = None):
         self.adj, self.spark = adj, start.sparkSession
         seen = Observation()
         start = stage(start.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("_lim").alias("lim")))
         rows, self.deepest = seen.get["rows"], seen.get["lim"] or 0
+        self.words = words or (WORDS if rows > NARROW else 1)
+        self.bits = _columns("bits", self.words)
         tasks = -(-rows // SEEDS_PER_TASK)
         order = ["_most", "seed"]
         each = start.groupBy("seed").agg(F.max("_lim").alias("_most"))
@@ -172,17 +215,21 @@ class _Wave:
         # (_grp, _dir, _lim, _bit, seed): who a bit of a group stands for, the same in all directions
         self.seeds = stage(start.join(numbered, "seed").select(
             F.shiftright("_at", 6).alias("_grp"), "_dir", "_lim", (F.col("_at") % GROUP).cast("int").alias("_bit"), "seed"))
+        none = F.lit(0).cast("long")
+        own = [F.when(F.col("_grp") % self.words == k, _bit("_bit")).otherwise(none).alias(c) for k, c in enumerate(self.bits)]
         first = (self.seeds.withColumn("node", F.col("seed")).join(adj.ends, ["_dir", "node"], "left")
-                 .select(*_KEY, _bit("_bit").alias("bits"), F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), F.lit(0).alias("depth")))
-        self.depth, self.paths, self.rows, self.held = 0, [], 0, 0
+                 .select(F.floor(F.col("_grp") / self.words).alias("_grp"), *_KEY[1:], *own, F.coalesce("deg", F.lit(0)).cast("long").alias("deg"),
+                         F.lit(0).alias("depth")))
+        self.depth, self.paths, self.rows, self.held, self.closed, self.few = 0, [], 0, 0, None, None
+        self.most, self.growth = -(-rows // GROUP) * adj.total, None
         self._keep(first, 0)
 
     def _keep(self, new: DataFrame, last: int) -> None:
         seen = Observation()
         ahead = F.sum(F.when((F.col("depth") == last) & (F.col("_lim") > last), F.col("deg")))
-        self.schema = new.select(*_DELTA).schema
-        frame, path = stage_path(new.select(*_DELTA).observe(seen, F.count(F.lit(1)).alias("rows"), ahead.alias("steps"),
-                                                                         F.sum(F.bit_count("bits")).alias("held")))
+        new = new.select(*_KEY, *self.bits, "deg", "depth")
+        self.schema = new.schema
+        frame, path = stage_path(new.observe(seen, F.count(F.lit(1)).alias("rows"), ahead.alias("steps"), F.sum(_count(self.words)).alias("held")))
         self.depth, self.steps, self.rows = last, seen.get["steps"] or 0, self.rows + seen.get["rows"]
         self.held += seen.get["held"] or 0
         if seen.get["rows"] or not self.paths:
@@ -195,7 +242,7 @@ class _Wave:
     def plan(self, hops: int, active: DataFrame | None = None) -> DataFrame:
         """New rows of the next ``hops`` levels, each level's join once.
 
-        ``_b1`` .. ``_bh`` are the seeds that reach the row's node first at each of
+        ``_b1`` .. ``_bh`` (each of ``words`` columns) are the seeds that reach the row's node first at each of
         the job's levels. A level joins the rows of the level before with their
         steps, and earlier rows with their step to themselves, then one grouped OR
         puts them together and the visited set is taken off. (In the first job that is the
@@ -203,73 +250,125 @@ class _Wave:
         _mask)``, the seeds of a group that still search (all, if None).
         """
         base = 0 if self.depth == 0 and active is None else 1
-        seen = self.deltas().groupBy(*_KEY).agg(F.bit_or("bits").alias("_seen"))
-        rows = self.last.select(*_KEY, F.col("bits").alias("_b0"))
+        level = lambda h: _columns(f"_b{h}", self.words)
+        none = F.lit(0).cast("long")
+        seen = self.deltas()
+        rows = self.last.select(*_KEY, *[F.col(c).alias(b) for c, b in zip(self.bits, level(0))])
         if active is not None:
             rows = rows.join(active, "_grp").withColumn("_b0", F.col("_b0").bitwiseAND(F.col("_mask"))).drop("_mask")
-        steps = self.adj.steps.select(F.col("_dir").alias("_way"), "_from", F.col("_salt").alias("_part"), "_to", "_deg")
+        steps = self.adj.steps if self.few is None else self.few
+        steps = steps.select(F.col("_dir").alias("_way"), "_from", F.col("_salt").alias("_part"), "_to", "_deg")
+        if self.closed is not None:
+            if self.few is None:
+                steps = steps.join(self.closed, (F.col("_way") == F.col("_of")) & (F.col("_to") == F.col("_full")) & (F.col("_part") != STAY), "left_anti")
+            seen = seen.join(self.closed, (F.col("_dir") == F.col("_of")) & (F.col("node") == F.col("_full")), "left_anti")
+        seen = seen.groupBy(*_KEY).agg(*[F.bit_or(c).alias(k) for c, k in zip(self.bits, _columns("_seen", self.words))])
         for h in range(1, hops + 1):
-            edge, new = f"_b{h - 1}", f"_b{h}"
-            grow = (F.col(edge) != 0) & (F.col("_lim") > self.depth + h - 1)
+            edge, new = level(h - 1), level(h)
+            held = [c for i in range(base, h) for c in level(i)]
+            grow = _some(edge) & (F.col("_lim") > self.depth + h - 1)
             if h == 1 and base:
                 rows = rows.filter(grow)
             probe = _probe(rows, self.adj, grow, carry=h > 1 or not base)
             moved = F.col("_part") != STAY
-            none = F.lit(0).cast("long")
-            kept = [F.when(moved, none).otherwise(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(base, h)]
+            kept = [F.when(moved, none).otherwise(F.col(c)).alias(c) for c in held]
             rows = (probe.join(steps, (F.col("_dir") == F.col("_way")) & (F.col("node") == F.col("_from")) & (F.col("_salt") == F.col("_part")))
                     .select("_grp", "_dir", "_lim", F.col("_to").alias("node"), F.col("_deg").alias("deg"), *kept,
-                            F.when(moved, F.col(edge)).otherwise(none).alias(new))
-                    .groupBy(*_KEY).agg(F.max("deg").alias("deg"), *[F.bit_or(f"_b{i}").alias(f"_b{i}") for i in range(base, h + 1)]))
-            known = none
+                            *[F.when(moved, F.col(c)).otherwise(none).alias(n) for c, n in zip(edge, new)])
+                    .groupBy(*_KEY).agg(F.max("deg").alias("deg"), *[F.bit_or(c).alias(c) for c in [*held, *new]]))
+            known = [none] * self.words
             if base:
                 rows = rows.join(seen, _KEY, "left")
-                known = F.coalesce("_seen", none)
+                known = [F.coalesce(c, none) for c in _columns("_seen", self.words)]
             for i in range(base, h):
-                known = known.bitwiseOR(F.col(f"_b{i}"))
-            rows = rows.select(*_KEY, "deg", *[f"_b{i}" for i in range(base, h)], F.col(new).bitwiseAND(F.bitwise_not(known)).alias(new))
-            any_ = F.lit(False)
-            for i in range(base, h + 1):
-                any_ = any_ | (F.col(f"_b{i}") != 0)
-            rows = rows.filter(any_)
-        levels = F.array(*[F.struct(F.col(f"_b{i}").alias("bits"), F.lit(self.depth + i).alias("depth")) for i in range(1, hops + 1)])
-        return rows.select(*_KEY, "deg", F.inline(levels)).filter(F.col("bits") != 0)
+                known = [k.bitwiseOR(F.col(c)) for k, c in zip(known, level(i))]
+            rows = rows.select(*_KEY, "deg", *held, *[F.col(n).bitwiseAND(F.bitwise_not(k)).alias(n) for n, k in zip(new, known)])
+            rows = rows.filter(_some([*held, *new]))
+        levels = F.array(*[F.struct(*[F.col(b).alias(c) for b, c in zip(level(i), self.bits)], F.lit(self.depth + i).alias("depth")) for i in range(1, hops + 1)])
+        return rows.select(*_KEY, "deg", F.inline(levels)).filter(_some(self.bits))
+
+    def hops(self, most: int) -> int:
+        """Levels of the next job. In a large search these are as many as stay below SMALL_FRONTIER steps if the steps
+        grow on as in the last job: one level of a hub may lead to the whole graph, for every group."""
+        if self.steps > SMALL_FRONTIER or self.words > 1:
+            return 1
+        if self.most <= SMALL_SEARCH:
+            return most
+        if self.growth is None:
+            return 1
+        hops, ahead = 1, self.steps * self.growth
+        while hops < most and ahead <= SMALL_FRONTIER:
+            hops, ahead = hops + 1, ahead * self.growth
+        return hops
+
+    def _closed(self) -> DataFrame | None:
+        """(_of, _full): direction and node where all seeds of the direction have been, staged; None if there is no such node.
+        (A bit of a node stands in one delta only.)"""
+        held = self.deltas().groupBy("_dir", "node").agg(F.sum(_count(self.words)).alias("_held"))
+        all_ = self.seeds.groupBy("_dir").agg(F.count(F.lit(1)).alias("_held"))
+        seen = Observation()
+        closed = stage(held.join(all_, ["_dir", "_held"]).select(F.col("_dir").alias("_of"), F.col("node").alias("_full"))
+                       .observe(seen, F.count(F.lit(1)).alias("rows")))
+        return closed if seen.get["rows"] else None
+
+    def _few(self) -> DataFrame | None:
+        """The frontier's steps to nodes that are not closed, staged, where these are few: they go to the frontier, which then stays in place."""
+        ahead = self.last.select("_dir", F.col("node").alias("_from")).distinct()
+        left = (self.adj.steps.filter(F.col("_salt") != STAY).join(ahead, ["_dir", "_from"], "left_semi")
+                .join(self.closed, (F.col("_dir") == F.col("_of")) & (F.col("_to") == F.col("_full")), "left_anti"))
+        return stage(left) if left.count() <= self.adj.total // 20 else None
 
     def advance(self, hops: int, active: DataFrame | None = None) -> None:
+        if self.steps > SMALL_FRONTIER:
+            self.closed = self._closed()
+            self.few = self._few() if self.closed is not None and active is None and hops == 1 and self.depth else None
+        else:
+            self.few = None
+        before = self.steps
         self._keep(self.plan(hops, active), self.depth + hops)
+        self.growth = max(1.0, (self.steps / max(1, before)) ** (1 / hops))
 
 
 @dataclass
 class Reach:
-    """What a search reached: ``deltas`` (a row per group of seeds, node and depth,
+    """What a search reached: ``wide`` (rows of ``words`` groups of seeds, node and depth,
     with the bits of the seeds) and ``seeds`` (who the bits stand for)."""
 
-    deltas: DataFrame
+    wide: DataFrame
     seeds: DataFrame
     held: int = 0          # bits set in all deltas: rows per seed that they stand for
+    words: int = 1
+
+    @property
+    def deltas(self) -> DataFrame:
+        """A row per group of seeds, node and depth."""
+        return _narrow(self.wide, self.words)
 
     def _named(self, rows: DataFrame, seeds: DataFrame, by: list[str], spread: bool = True) -> DataFrame:
         """Rows with ``bits`` as one row per seed. Where these are many, the rows are dealt evenly first, while they are few."""
         tasks = -(-self.held // ROWS_PER_TASK)
+        if tasks > MANY_TASKS:
+            tasks = max(MANY_TASKS, -(-tasks // 10))
         if spread and tasks > 1:
             rows = rows.repartition(tasks)
+        rows = _narrow(rows, self.words)
         return rows.join(F.broadcast(seeds) if spread and tasks > 1 and seeds.count() <= SEEDS_PER_TASK else seeds, by).filter(
             F.expr("getbit(bits, _bit) = 1")).drop("bits", "_bit", "_grp", "_lim")
 
     def rows(self, direction: str) -> DataFrame:
         """``(seed, node, depth)`` of one direction."""
         of = F.col("_dir") == direction
-        return self._named(self.deltas.filter(of).drop("_dir"), self.seeds.filter(of).drop("_dir"), ["_grp", "_lim"]).select("seed", "node", "depth")
+        return self._named(self.wide.filter(of).drop("_dir"), self.seeds.filter(of).drop("_dir"), ["_grp", "_lim"]).select("seed", "node", "depth")
 
     def nodes(self) -> DataFrame:
         """``(seed, node)`` of all directions, distinct: put together while the rows still hold bits."""
-        per = self.deltas.groupBy("_grp", "node").agg(F.bit_or("bits").alias("bits"))
+        per = _united(self.wide, ["_grp", "node"], self.words)
         return self._named(per, self.seeds.select("_grp", "_bit", "seed").distinct(), ["_grp"]).select("seed", "node")
 
     def levels(self) -> DataFrame:
         """``(seed, _dir, depth)``: the deepest level of every seed. The rows are put together while they still hold
         bits, so only one row per group and level is given names."""
-        per = self.deltas.groupBy("_grp", "_dir", "_lim", "depth").agg(F.bit_or("bits").alias("bits"))
+        per = _united(self.wide, ["_grp", "_dir", "_lim", "depth"], self.words)
         return self._named(per, self.seeds, ["_grp", "_dir", "_lim"], spread=False).groupBy("seed", "_dir").agg(F.max("depth").alias("depth"))
 
 
@@ -282,8 +381,8 @@ def search(adj: Adjacency, start: DataFrame, hops: int | None = None) -> Reach:
     wave = _Wave(adj, start)
     most = max(1, int(hops or HOPS_PER_JOB))
     while wave.steps and wave.depth < wave.deepest:
-        wave.advance(min(most if wave.steps <= SMALL_FRONTIER else 1, wave.deepest - wave.depth))
-    return Reach(wave.deltas(), wave.seeds, wave.held)
+        wave.advance(min(wave.hops(most), wave.deepest - wave.depth))
+    return Reach(wave.deltas(), wave.seeds, wave.held, wave.words)
 
 
 def _start(seeds: DataFrame, direction: str, limit_col: str | None, max_depth: int | None = None) -> DataFrame:
@@ -385,8 +484,8 @@ def node_depth(links: DataFrame, pairs: DataFrame, direction: str, adj: Adjacenc
     adj = adj if adj is not None else adjacency(links)
     back = UP if direction == DOWN else DOWN
     asked = stage(pairs.select("seed", "node").filter(F.col("seed") != F.col("node")).distinct())
-    ahead = _Wave(adj, _start(asked, direction, None))
-    behind = _Wave(adj, _start(asked.select(F.col("node").alias("seed")), back, None))
+    ahead = _Wave(adj, _start(asked, direction, None), words=1)
+    behind = _Wave(adj, _start(asked.select(F.col("node").alias("seed")), back, None), words=1)
     open_ = (asked.join(ahead.seeds.select("seed", F.col("_grp").alias("_ga"), F.col("_bit").alias("_a")), "seed")
              .join(behind.seeds.select(F.col("seed").alias("node"), F.col("_grp").alias("_gb"), F.col("_bit").alias("_b")), "node"))
     found, left = None, True

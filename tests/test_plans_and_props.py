@@ -365,3 +365,45 @@ def test_only_asked_rows_meet_the_ids(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     assert p.count("Exchange hashpartitioning") == 2 and "Union" in p       # the asked nodes and the ids; the rest is not moved
     assert p.index("Union") < p.index("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("narrow", [3, 1000])
+def test_nodes_that_all_seeds_reached_are_closed(spark, monkeypatch, narrow):
+    """70 seeds reach a clique through a hub: no job follows the clique's steps for each group. Exact, with one or more groups a row."""
+    monkeypatch.setattr(TR, "SMALL_FRONTIER", 20)
+    monkeypatch.setattr(TR, "SMALL_SEARCH", 20)
+    monkeypatch.setattr(TR, "NARROW", narrow)
+    ring = [f"t{i}" for i in range(12)]
+    edges = ([(f"s{i}", "hub") for i in range(70)] + [("hub", t) for t in ring] + [(a, b) for a in ring for b in ring if a != b]
+             + [("t3", "u0"), ("u0", "u1"), ("u1", "t0"), ("s5", "t1"), ("s6", "v"), ("v", "u1")])
+    la = api(spark, edges)
+    adj = TR.adjacency(la)
+    start = [f"s{i}" for i in range(70)]
+    met, real = [], TR._Wave.advance
+
+    def advance(self, hops, active=None):
+        real(self, hops, active)
+        met.append(None if self.few is None else self.few.count())
+    monkeypatch.setattr(TR._Wave, "advance", advance)
+    reach = TR.reach_both(la, seeds(spark, *start), adj=adj)
+    assert reach.words == (TR.WORDS if narrow == 3 else 1) and any(n is not None and n <= adj.total // 20 for n in met)
+    for direction, up in ((TR.DOWN, False), (TR.UP, True)):
+        want = {(s, n): d for s in start for n, d in _reach(edges, s, up).items()}
+        assert {(r.seed, r.node): r.depth for r in reach.rows(direction).collect()} == want
+        assert reach.rows(direction).count() == len(want)
+    both = {(s, n) for s in start for up in (True, False) for n in _reach(edges, s, up)}
+    assert sorted((r.seed, r.node) for r in reach.nodes().collect()) == sorted(both)
+    lv = {r["seed"]: (r["max_upstream"], r["max_downstream"]) for r in TR.max_levels(la, seeds(spark, *start), reach=reach).collect()}
+    assert lv == {s: tuple(max(_reach(edges, s, up).values()) for up in (True, False)) for s in start}
+
+
+def test_steps_that_grow_are_followed_level_by_level(spark, monkeypatch):
+    """In a large search a job's levels are foreseen: the hub's level, and what follows it, is no part of a job of several."""
+    monkeypatch.setattr(TR, "SMALL_FRONTIER", 50)
+    monkeypatch.setattr(TR, "SMALL_SEARCH", 50)
+    planned, real = [], TR._Wave.plan
+    monkeypatch.setattr(TR._Wave, "plan", lambda self, hops, active=None: planned.append(hops) or real(self, hops, active))
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(9)]
+    edges = chain + [("c9", f"x{i}") for i in range(30)] + [(f"x{i}", f"y{j}") for i in range(30) for j in range(3)]
+    got = {(r.node, r.depth) for r in TR.bfs(api(spark, edges), seeds(spark, "c0"), TR.DOWN).collect()}
+    assert got == set(_reach(edges, "c0", False).items()) and planned == [1, 4, 4, 1, 1]
