@@ -352,8 +352,14 @@ class Reach:
         if spread and tasks > 1:
             rows = rows.repartition(tasks)
         rows = _narrow(rows, self.words)
-        return rows.join(F.broadcast(seeds) if spread and tasks > 1 and seeds.count() <= SEEDS_PER_TASK else seeds, by).filter(
-            F.expr("getbit(bits, _bit) = 1")).drop("bits", "_bit", "_grp", "_lim")
+        if spread and tasks > 1:
+            # a list of a group's seeds is met once a row; its own join would be looked up, and written, for each of them
+            who = seeds.groupBy(*by).agg(F.collect_list(F.struct("_bit", "seed")).alias("_who"))
+            rows = (rows.join(F.broadcast(who) if seeds.count() <= SEEDS_PER_TASK else who, by).withColumn("_who", F.explode("_who"))
+                    .withColumn("_bit", F.col("_who._bit")).withColumn("seed", F.col("_who.seed")).drop("_who"))
+        else:
+            rows = rows.join(seeds, by)
+        return rows.filter(F.expr("getbit(bits, _bit) = 1")).drop("bits", "_bit", "_grp", "_lim")
 
     def rows(self, direction: str) -> DataFrame:
         """``(seed, node, depth)`` of one direction."""

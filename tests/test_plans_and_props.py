@@ -407,3 +407,15 @@ def test_steps_that_grow_are_followed_level_by_level(spark, monkeypatch):
     edges = chain + [("c9", f"x{i}") for i in range(30)] + [(f"x{i}", f"y{j}") for i in range(30) for j in range(3)]
     got = {(r.node, r.depth) for r in TR.bfs(api(spark, edges), seeds(spark, "c0"), TR.DOWN).collect()}
     assert got == set(_reach(edges, "c0", False).items()) and planned == [1, 4, 4, 1, 1]
+
+
+def test_many_rows_per_seed_are_made_by_a_bounded_number_of_tasks(spark, monkeypatch):
+    """The tasks that list a search's rows grow by a tenth of its rows where there would be many; the rows are the same."""
+    monkeypatch.setattr(TR, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(TR, "MANY_TASKS", 3, raising=False)
+    edges = [(f"s{i}", "hub") for i in range(70)] + [("hub", f"t{i}") for i in range(8)]
+    reach = TR.search(TR.adjacency(api(spark, edges)), TR._start(seeds(spark, *[f"s{i}" for i in range(70)]), TR.DOWN, None))
+    assert reach.held == 700
+    got = reach.rows(TR.DOWN)
+    assert "RoundRobinPartitioning(7)" in got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.seed, r.node): r.depth for r in got.collect()} == {(f"s{i}", n): d for i in range(70) for n, d in _reach(edges, f"s{i}", False).items()}
