@@ -435,6 +435,23 @@ def test_partners_beyond_two_leaders_are_met(spark):
     assert set(need) <= pairs
 
 
+def test_pairs_move_once_and_only_texts_that_are_asked_for(spark, monkeypatch):
+    """Pairs of windows are dealt to their documents once, without being made distinct first; where the lists of stretches
+    are too many to be sent, no other text moves to them."""
+    monkeypatch.setattr(compact_windows, "ARRAY_ROWS", 0)
+    rows, plans, real = corpus(23), [], compact_windows.stage
+
+    def seen(df, **more):
+        plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, **more)
+    monkeypatch.setattr(compact_windows, "stage", seen)
+    near, _ = compact_windows._near_and_seen(frame(spark, rows).selectExpr("doc_id as doc", "coalesce(text, '') as body"))
+    found = [p for c, p in plans if c == ["doc", "s", "e", "leader", "s2", "e2"]]
+    assert len(found) == 2 and not any("Aggregate" in p for p in found)
+    verified = [p for c, p in plans if "match_start" in c][:2]
+    assert len(verified) == 2 and all("LeftSemi" in p for p in verified) and near.count() > 10
+
+
 def test_joint_windows_have_the_least_hashes_of_all_their_functions():
     rng = random.Random(6)
     texts = [" ".join(words(rng, n)) for n in (49, 50, 51, 400)] + [None, "", " ".join(words(rng, 60) * 3)]
