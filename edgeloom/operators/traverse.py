@@ -13,7 +13,7 @@ Scale notes:
 * up to 64 seeds share a row: its ``bits`` say which of the group's seeds have
   reached the node, so a hub is expanded once for all of them and not once per
   seed, and the visited set has one row per group and node. Searches from more than
-  ``NARROW`` seeds have ``WORDS`` columns of bits, a group each, so 512 seeds share a row;
+  ``NARROW`` starts have ``WORDS`` columns of bits, a group each, so 512 seeds share a row;
 * the adjacency is deduplicated and staged once as a table bucketed by its
   probe key, so every level shuffles only the frontier against it; when the
   frontier is small AQE broadcasts it and the adjacency is streamed in place;
@@ -65,7 +65,7 @@ STEPS_PER_BUCKET = 50_000
 
 # Seeds of a group: the bits of a long.
 GROUP = 64
-# Groups that share a row where there are more than NARROW seeds. (Of 16, planning a level took a minute: Catalyst names
+# Groups that share a row where there are more than NARROW starts (a seed and direction each). (Of 16, planning a level took a minute: Catalyst names
 # the condition that any bit is set anew for every subset of renamed columns.)
 WORDS = 8
 NARROW = GROUP * WORDS
